@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.scratch import Scratch
-from . import bpe, media, mixing, quality, simhash
+from . import bpe, imatch, linededup, lm, media, mixing, quality, simhash, tokenfiles, toxicity
 
 #: A score from which a text is predicted to have the label.
 THRESHOLD = 0.3
@@ -58,6 +58,47 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    flags = imatch.lexicon(docs)
+    first = imatch.with_fingerprint(docs, "text", flags, "fp")
+    paired = imatch.with_next(first, ["text", "fp"], tie="text")
+    changed = paired.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_fp", imatch.edited(F.col("text"), F.col("next_text")).alias("edited"))
+    second = imatch.with_fingerprint(changed, "edited", flags, "edited_fp")
+    return second.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        imatch.as_text(F.col("fp")).alias("fingerprint"),
+        imatch.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        imatch.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.line_dedup(_documents(spark, sf_dir), Scratch(spark, "lines"), keep=["doc_id"])
+    return out.select("doc_id", "n_lines", "n_dropped", F.char_length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    aside = quality.held_out("doc_id", 4, 2)
+    model = toxicity.fit(docs, _labels(spark, sf_dir), ~aside)
+    return model.score(docs, keep=["doc_id"]).select("doc_id", aside.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aside = quality.held_out("doc_id", 5, 1)
+    out = lm.score(_documents(spark, sf_dir), ~aside, vocabulary(), Scratch(spark, "lm"), keep=["doc_id"])
+    return out.select("doc_id", aside.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write(_documents(spark, sf_dir), Scratch(spark, "tokens").where("files"), vocabulary())
+    return files.read(spark).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_documents(spark, sf_dir), keep=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -68,7 +109,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_media": op3_media,
     "op4_simhash": op4_simhash,
+    "op5_imatch": op5_imatch,
+    "op6_toxicity": op6_toxicity,
+    "op7_lm": op7_lm,
+    "op8_tokenfiles": op8_tokenfiles,
     "op9_mixing": op9_mixing,
+    "op10_linededup": op10_linededup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import signals
+from . import scoring, signals
 
-_FAMILIES = (signals,)
+_FAMILIES = (signals, scoring)
 
 
 def queries() -> dict[str, Callable]:

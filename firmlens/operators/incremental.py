@@ -52,7 +52,7 @@ BACKOFF = (1, 7, 30)
 
 def due(items: DataFrame, as_of: Column, done: str, failures: str, newest: str, stale_days: int) -> DataFrame:
     """Items with why they are due: never done, newer input, retry time reached after failures, or stale; the rest are left out."""
-    wait = F.element_at(F.array(*map(F.lit, BACKOFF)), F.least(F.greatest(F.col(failures), F.lit(1)), F.lit(len(BACKOFF))))
+    wait = F.element_at(F.array(*map(F.lit, BACKOFF)), F.least(F.greatest(F.col(failures), F.lit(1)), F.lit(len(BACKOFF))).cast("int"))
     age = F.datediff(as_of, F.col(done))
     why = (
         F.when(F.col(done).isNull(), "never")

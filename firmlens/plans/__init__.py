@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import scoring, signals
+from . import scoring, serving, signals, streams
 
-_FAMILIES = (signals, scoring)
+_FAMILIES = (signals, scoring, serving, streams)
 
 
 def queries() -> dict[str, Callable]:

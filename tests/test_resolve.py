@@ -1,0 +1,64 @@
+"""Names, people, conventions and contacts on hand-made rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from firmlens.functions import names as N
+from firmlens.operators import contacts as P, resolve as R
+
+
+def one(spark, column, **values):
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
+    return df.select(column).first()[0]
+
+
+def test_org_key(spark):
+    key = lambda s: one(spark, N.org_key(F.col("n")), n=s)
+    assert key("The Acme, Inc.") == "ACME" and key("Acme Co. LLC") == "ACME" and key("INC") == "INC" and key("A.B.C. Corp") == "ABC"
+
+
+def test_parse_name(spark):
+    parse = lambda s: tuple(one(spark, N.parse_name(F.col("n")), n=s))
+    assert parse("SMITH, JOHN, Q") == ("JOHN", "Q", "SMITH")
+    assert parse('John "Jack" Smith, CFA') == ("JOHN", None, "SMITH")
+    assert parse("Dr. María del Río Jr.") == ("MARIA", "DEL", "RIO")
+
+
+def test_dates_places_hosts(spark):
+    date = lambda s: str(one(spark, N.parse_date(F.col("d")), d=s))
+    assert [date(x) for x in ("2020-03-04", "3/4/2020", "3-4-2020", "03/2020", "x")] == ["2020-03-04"] * 3 + ["2020-03-01", "None"]
+    assert one(spark, N.place_key(F.col("c"), F.col("s")), c="St. Louis", s="mo") == "SAINT LOUIS|MO"
+    assert one(spark, N.place_key(F.col("c"), F.col("s")), c="Paris", s="France") is None
+    assert one(spark, N.host(F.col("u")), u="WWW.Example.com/x") == "example.com"
+    assert one(spark, N.display_name(F.col("n")), n="BANK OF o'neil mcdonald llc") == "Bank of O'Neil McDonald LLC"
+
+
+def test_match_people(spark):
+    roster = spark.createDataFrame([("1", "o", "robert", "q", "lee", True), ("2", "o", "roberta", None, "lee", False), ("3", "o", "ann", None, "ray", True)], "person string, org string, first string, middle string, last string, current boolean")
+    names = spark.createDataFrame([("a", "o", "Bob", None, "Lee"), ("b", "o", "R", None, "Lee"), ("c", "o", "Ann", None, "Ray"), ("d", "x", "Ann", None, "Ray")], "name_id string, org string, first string, middle string, last string")
+    got = {r.name_id: r.person for r in R.match_people(names, roster, "org", [("bob", "robert")]).collect()}
+    assert got == {"a": "1", "b": "1", "c": "3"}
+
+
+def test_learn_pattern_and_ambiguity(spark):
+    pairs = spark.createDataFrame([("o", "Ann", "Ray", "aray@x.com"), ("o", "Bob", "Lee", "blee@x.com"), ("o", "Cy", "Fox", "cy@x.com")], "org string, f string, l string, a string")
+    assert tuple(R.learn_pattern(pairs, "org", "f", "l", "a").first()) == ("o", "flast", 2)
+
+
+def test_contacts(spark):
+    raw = spark.createDataFrame([("e", "p", "email", " Mailto:Ann@X.com "), ("e", None, "phone", "+1 (212) 555-0100 ext 4"), ("e", None, "email", "info@x.com"), ("e", "p", "phone", "12")], "entity string, person string, kind string, value string")
+    got = {(r.kind, r.value, r.is_role) for r in P.normalise_contacts(raw).collect()}
+    assert got == {("email", "ann@x.com", False), ("phone", "2125550100", False), ("email", "info@x.com", True)}
+    cols = "entity string, person string, kind string, value string, confidence int, source string, label string, title string, seen int"
+    a = spark.createDataFrame([("e", "p", "email", "a", 50, "web", None, "CFO", 1)], cols)
+    b = spark.createDataFrame([("e", "p", "email", "a", 80, "feed", "work", None, 2), ("e", None, "email", "a", 90, "web", None, None, 3)], cols)
+    rows = P.drop_firm_copies(P.merge_contacts(a, b)).collect()
+    assert [(r.confidence, r.source, r.sources, r.label, r.title) for r in rows] == [(80, "feed", ["feed", "web"], "work", "CFO")]
+
+
+def test_suppress_order(spark):
+    people = spark.createDataFrame([(1, "f", "p"), (2, "f", None)], "row int, firm string, person string")
+    listed = spark.createDataFrame([("person", "p", None), ("firm", "f", "2020-01-01")], "scope string, value string, lifted_at string")
+    got = {r.row: r.suppressed_by for r in P.suppress(people, listed, {"firm": "firm", "person": "person"}, "row").collect()}
+    assert got == {1: "person", 2: None}

@@ -5,7 +5,7 @@ counts for every code the documents that have it. The lexicon is the band of cod
 document frequency ln(documents / frequency) lies in ``BAND``; a document keeps its distinct
 codes of the lexicon, sorted (all its codes if it has none of them). At level l the lexicon is
 dealt at random to 2^l disjoint subsets, of which the first ``SUBSETS`` are used: a document's
-fingerprint has one hash for each subset, of all its terms there in order, or 0 if it has none.
+fingerprint has one hash for each subset, of all its terms there in order, or EMPTY if it has none.
 The level is chosen by the document's number of terms so that a subset holds about one of them;
 a fingerprint has the hashes of this level and the next, so that texts of somewhat different
 length can be compared. The likeness of two fingerprints is the share of equal hashes among the
@@ -28,6 +28,8 @@ CODES = 1 << 18
 BAND = (2.3, 7.5)
 #: Subsets used of each level, and terms of a document in a subset at least before the next level is taken.
 SUBSETS, FILL = 16, 0.75
+#: The hash of no terms. A fixed value of the engine's hash function.
+EMPTY = 42
 
 
 def terms(text: Column) -> Column:
@@ -54,22 +56,23 @@ def kept_terms(codes: Column, flags: Column) -> Column:
     return F.sort_array(F.when(F.size(inside) > 0, inside).otherwise(codes))
 
 
-def _hashes(kept: Column, level: Column) -> Column:
-    """SUBSETS hashes at a level, 0 for a subset without terms."""
-    size = F.pow(F.lit(2.0), level).cast("long")
-    place = lambda c: F.pmod(F.xxhash64(c), size)
-    few = F.filter(kept, lambda c: place(c) < SUBSETS)
-    mine = lambda j: F.filter(few, lambda c: place(c) == j)
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.when(F.size(mine(j)) > 0, F.hash(mine(j))).otherwise(F.lit(0)))
+def _hashes(few: str, size: Column) -> Column:
+    """SUBSETS hashes of the terms (struct of hash and code) by subset; EMPTY for a subset without terms."""
+    mine = lambda j: F.filter(few, lambda t: F.pmod(t["h"], size) == j)
+    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.hash(mine(j)))
 
 
 def with_fingerprint(df: DataFrame, text: str, flags: Column, out: str) -> DataFrame:
     """``df`` with the fingerprint of a text column: struct of level, here and next (arrays of hashes)."""
-    clash(df, out, "_kept", "_level")
+    clash(df, out, "_kept", "_size", "_few")
     kept = df.withColumn("_kept", kept_terms(terms(F.col(text)), flags))
-    level = F.greatest(F.floor(F.log2(F.greatest(F.size("_kept"), F.lit(1)) / FILL)), F.lit(4)).cast("int")
-    leveled = kept.withColumn("_level", level)
-    return leveled.withColumn(out, F.struct(F.col("_level").alias("level"), _hashes(F.col("_kept"), F.col("_level")).alias("here"), _hashes(F.col("_kept"), F.col("_level") + 1).alias("next"))).drop("_kept", "_level")
+    level = F.greatest(F.floor(F.log2(F.greatest(F.size("_kept"), F.lit(1)) / FILL)), F.lit(4))
+    sized = kept.withColumn("_size", F.pow(F.lit(2.0), level).cast("long"))
+    # terms of the next level's subsets are among those of this level's
+    marked = F.transform("_kept", lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("c")))
+    few = sized.withColumn("_few", F.filter(marked, lambda t: F.pmod(t["h"], F.col("_size")) < SUBSETS))
+    fp = F.struct(F.log2("_size").cast("int").alias("level"), _hashes("_few", F.col("_size")).alias("here"), _hashes("_few", F.col("_size") * 2).alias("next"))
+    return few.withColumn(out, fp).drop("_kept", "_size", "_few")
 
 
 def as_text(fp: Column) -> Column:
@@ -83,8 +86,8 @@ def likeness(a: Column, b: Column) -> Column:
 
     def counted(x: Column, y: Column) -> Column:
         return F.struct(
-            F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != 0)), lambda t: t)).alias("same"),
-            F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != 0) | (q != 0)), lambda t: t)).alias("any"),
+            F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != EMPTY)), lambda t: t)).alias("same"),
+            F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != EMPTY) | (q != EMPTY)), lambda t: t)).alias("any"),
         )
 
     def share(*parts: Column) -> Column:

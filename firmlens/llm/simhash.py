@@ -105,35 +105,47 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
     return leader, np.array(single, np.int64)
 
 
+def syndromes(words: np.ndarray) -> np.ndarray:
+    """The syndrome of each word of LENGTH bits."""
+    _, single = golay()
+    out = np.zeros(len(words), np.int64)
+    for k in range(LENGTH):
+        out ^= np.where(words >> k & 1, single[k], 0)
+    return out
+
+
 def homes(words: np.ndarray) -> np.ndarray:
     """The code word nearest to each word of LENGTH bits."""
-    leader, single = golay()
-    syndrome = np.zeros(len(words), np.int64)
-    for k in range(LENGTH):
-        syndrome ^= np.where(words >> k & 1, single[k], 0)
-    return words ^ leader[syndrome]
+    return words ^ golay()[0][syndromes(words)]
+
+
+@cache
+def changes(weight: int) -> tuple[np.ndarray, np.ndarray]:
+    """All words of LENGTH bits with so many ones, and their syndromes."""
+    words = np.array([sum(1 << k for k in places) for places in combinations(range(LENGTH), weight)], np.int64)
+    return words, syndromes(words)
 
 
-def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) of all anchors at which a fingerprint has to appear; its home comes first for each row."""
+def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, is home) of all anchors at which a fingerprint has to appear."""
+    leader, _ = golay()
     mask = (1 << LENGTH) - 1
-    low, high = fps & mask, fps >> LENGTH & mask
     near: dict[tuple[int, int], np.ndarray] = {}  # by half and changed bits: homes, a column for each change
-    for half, value in ((0, low), (1, high)):
+    for half in (0, 1):
+        value = fps >> (half * LENGTH) & mask
+        syndrome = syndromes(value)[:, None]
         for weight in range(threshold + 1):
-            near[half, weight] = np.column_stack([homes(value ^ sum(1 << k for k in places)) for places in combinations(range(LENGTH), weight)])
-    rows, found = [], []
-    for i in range(len(fps)):
-        own = set()
-        sides = {key: np.unique(v[i]) for key, v in near.items()}
-        for a in range(threshold + 1):
-            for b in range(threshold + 1 - a):
-                own.update((sides[0, a][:, None] | sides[1, b][None, :] << LENGTH).ravel().tolist())
-        home = int(near[0, 0][i, 0] | near[1, 0][i, 0] << LENGTH)
-        own.discard(home)
-        rows += [i] * (len(own) + 1)
-        found += [home, *own]
-    return np.array(rows, np.int64), np.array(found, np.int64)
+            words, own = changes(weight)
+            near[half, weight] = (value[:, None] ^ words ^ leader[syndrome ^ own]) << (half * LENGTH)
+    rows = len(fps)
+    found = np.concatenate([(near[0, a][:, :, None] | near[1, b][:, None, :]).reshape(rows, -1) for a in range(threshold + 1) for b in range(threshold + 1 - a)], axis=1)
+    home = found[:, 0].copy()  # no bit changed
+    found.sort(axis=1)
+    first = np.ones(found.shape, bool)
+    first[:, 1:] = found[:, 1:] != found[:, :-1]
+    row, column = np.nonzero(first)
+    anchor = found[row, column]
+    return row, anchor, anchor == home[row]
 
 
 def links(fps: DataFrame, scratch: Scratch, threshold: int = 2, fp: str = "fp") -> DataFrame:
@@ -141,13 +153,13 @@ def links(fps: DataFrame, scratch: Scratch, threshold: int = 2, fp: str = "fp")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for at in range(0, batch.num_rows, 2000):
-                values = batch.column(0).slice(at, 2000).to_numpy(zero_copy_only=False)
-                row, anchor = anchors(values, threshold)
-                home = np.r_[True, row[1:] != row[:-1]]
+            for at in range(0, batch.num_rows, 500):
+                values = batch.column(0).slice(at, 500).to_numpy(zero_copy_only=False)
+                row, anchor, home = anchors(values, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(values[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    sent = scratch.save(fps.select(F.col(fp).cast("long").alias("fp")).distinct().mapInArrow(run, "anchor long, fp long, home boolean"), "anchors")
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are narrow, the work on each isn't
+    sent = scratch.save(fps.select(F.col(fp).cast("long").alias("fp")).distinct().repartition(spread, "fp").mapInArrow(run, "anchor long, fp long, home boolean"), "anchors")
     at_home = sent.filter("home").select(F.col("anchor").alias("at"), F.col("fp").alias("a"))
     met = sent.select("anchor", F.col("fp").alias("b")).join(at_home, (F.col("anchor") == F.col("at")) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -33,6 +33,8 @@ from .tables import corpus_table
 CLASSES, WIDTH = 1 << 15, 32
 #: Neighbours to either side, and places of an index vector that aren't zero.
 WINDOW, PLACES = 2, 2
+#: Pooled features of a text: mean, spread, four numbers.
+FEATURES = 2 * WIDTH + 4
 #: The most labelled rows that the network learns from.
 TRAIN_ROWS = 20_000
 
@@ -143,7 +145,7 @@ class Network:
 def fit_network(x: np.ndarray, y: np.ndarray, units: int = 24, epochs: int = 40, seed: int = 7) -> Network:
     """Adam on cross-entropy with weight decay; every fifth row is kept for the temperature."""
     x, y = x.astype(np.float64), y.astype(np.float64)
-    width = x.shape[1] if x.ndim == 2 else 2 * WIDTH + 4
+    width = x.shape[1] if x.size else FEATURES
     share = (y.sum() + 0.5) / (len(y) + 1)
     if len(y) < 2 or y.min() == y.max():
         return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))), 1.0)
@@ -228,5 +230,5 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, corpus: DataFrame | N
 
     rows = labelled(docs, labels, label, train, most, doc_id, text).select(F.col(doc_id).cast("long").alias(doc_id), F.col("y").cast("int").alias("y"), text).mapInArrow(features, "doc_id long, y int, x binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.x))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), FEATURES)
     return QualityModel(vectors, fit_network(x, np.array([r.y for r in rows], float)))

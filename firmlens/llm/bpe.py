@@ -12,8 +12,8 @@ letters, single digits and runs of symbols apart):
 * a null or empty text, or one of white space, has no ids; it decodes to the empty text;
 * the two special tokens' strings in a text give their ids;
 * decoding joins the tokens' strings by spaces and leaves out ids that the file doesn't have;
-* rows are handled one by one, so repeated rows give repeated results; columns that clash with
-  the new ones are refused with a ValueError.
+* rows are handled one by one, so repeated rows give repeated results; an input column with the
+  name of a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -218,11 +218,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def clash(df: DataFrame, *names: str) -> None:
-    """Refuse to shadow columns of the input (names count in any case)."""
-    have = {c.lower() for c in df.columns}
-    if found := [n for n in names if n.lower() in have]:
-        raise ValueError(f"the input already has {', '.join(found)}; rename these columns or choose other names")
+def room(columns: list[str], *names: str) -> list[str]:
+    """The columns without those of a result's names (in any case): an input column gives way to a new one of its name."""
+    new = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in new]
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", count: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
@@ -236,9 +235,8 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
 
 
 def _mapped(df: DataFrame, vocabulary: str, text: str, ids: str, count: str, decoded: str | None, keep: list[str] | None) -> DataFrame:
-    keep = [c for c in df.columns if c != text] if keep is None else keep
     new = [ids, count] + ([decoded] if decoded else [])
-    clash(df.select(*keep), *new)
+    keep = room([c for c in df.columns if c != text] if keep is None else keep, *new)
     schema = T.StructType([f for f in df.schema if f.name in keep] + [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())] + ([T.StructField(decoded, T.StringType())] if decoded else []))
     kept = [f.name for f in schema][: len(keep)]
 
@@ -258,7 +256,7 @@ def _mapped(df: DataFrame, vocabulary: str, text: str, ids: str, count: str, dec
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids (binary as ``encode`` makes; null: the empty text)."""
-    clash(df, decoded)
+    df = df.select(*room(df.columns, decoded))
     schema = T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

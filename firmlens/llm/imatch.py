@@ -12,7 +12,8 @@ length can be compared. The likeness of two fingerprints is the share of equal h
 subsets, on levels that both have, in which either has terms.
 
 Null and empty texts have no terms; their fingerprints are equal, with likeness 1 to each other
-and 0 to others. Equal texts have equal fingerprints. Only DataFrame functions are used. The table
+and 0 to others. Equal texts have equal fingerprints. An
+input column with the name of a new one gives way to it. Only DataFrame functions are used. The table
 of codes has a fixed size, so the lexicon travels as a constant of ``CODES`` bits.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .bpe import clash
+from .bpe import room
 
 #: Number of term codes.
 CODES = 1 << 18
@@ -64,15 +65,15 @@ def _hashes(few: str, size: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, flags: Column, out: str) -> DataFrame:
     """``df`` with the fingerprint of a text column: struct of level, here and next (arrays of hashes)."""
-    clash(df, out, "_kept", "_size", "_few")
-    kept = df.withColumn("_kept", kept_terms(terms(F.col(text)), flags))
-    level = F.greatest(F.floor(F.log2(F.greatest(F.size("_kept"), F.lit(1)) / FILL)), F.lit(4))
-    sized = kept.withColumn("_size", F.pow(F.lit(2.0), level).cast("long"))
+    df = df.select(*room(df.columns, out))
+    kept = df.withColumn("_fl_kept", kept_terms(terms(F.col(text)), flags))
+    level = F.greatest(F.floor(F.log2(F.greatest(F.size("_fl_kept"), F.lit(1)) / FILL)), F.lit(4))
+    sized = kept.withColumn("_fl_size", F.pow(F.lit(2.0), level).cast("long"))
     # terms of the next level's subsets are among those of this level's
-    marked = F.transform("_kept", lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("c")))
-    few = sized.withColumn("_few", F.filter(marked, lambda t: F.pmod(t["h"], F.col("_size")) < SUBSETS))
-    fp = F.struct(F.log2("_size").cast("int").alias("level"), _hashes("_few", F.col("_size")).alias("here"), _hashes("_few", F.col("_size") * 2).alias("next"))
-    return few.withColumn(out, fp).drop("_kept", "_size", "_few")
+    marked = F.transform("_fl_kept", lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("c")))
+    few = sized.withColumn("_fl_few", F.filter(marked, lambda t: F.pmod(t["h"], F.col("_fl_size")) < SUBSETS))
+    fp = F.struct(F.log2("_fl_size").cast("int").alias("level"), _hashes("_fl_few", F.col("_fl_size")).alias("here"), _hashes("_fl_few", F.col("_fl_size") * 2).alias("next"))
+    return few.withColumn(out, fp).drop("_fl_kept", "_fl_size", "_fl_few")
 
 
 def as_text(fp: Column) -> Column:
@@ -110,7 +111,7 @@ def with_next(df: DataFrame, columns: list[str], doc_id: str = "doc_id", blocks:
     of a block is also sent to the block before it. So a row moves once and no task holds more
     than a few blocks, whatever the ids are. Null ids come last; ``tie`` orders equal ids.
     """
-    clash(df, *(f"next_{c}" for c in columns), "_block", "_guest")
+    df = df.select(*room(df.columns, *(f"next_{c}" for c in columns)))
     n = blocks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / n for i in range(n)]
     found = df.agg(F.min(doc_id), F.percentile_approx(doc_id, shares, 100 * n)).first()  # n numbers
@@ -124,12 +125,12 @@ def with_next(df: DataFrame, columns: list[str], doc_id: str = "doc_id", blocks:
         to = F.when(starts, F.array(place(own, False), place(guest, True))).otherwise(F.array(place(own, False)))
     else:
         to = F.array(F.struct(F.lit(0).alias("block"), F.lit(False).alias("guest")))
-    dealt = df.withColumn("_to", F.explode(to)).withColumns({"_block": F.col("_to.block"), "_guest": F.col("_to.guest")}).drop("_to")
-    order = Window.partitionBy("_block").orderBy("_guest", F.col(doc_id).asc_nulls_last(), *([tie] if tie else []))
+    dealt = df.withColumn("_fl_to", F.explode(to)).withColumns({"_fl_block": F.col("_fl_to.block"), "_fl_guest": F.col("_fl_to.guest")}).drop("_fl_to")
+    order = Window.partitionBy("_fl_block").orderBy("_fl_guest", F.col(doc_id).asc_nulls_last(), *([tie] if tie else []))
     every = F.struct(*columns)
     following = F.coalesce(F.lead(every).over(order), F.first(every).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = dealt.withColumn("_next", following).filter(~F.col("_guest"))
-    return out.withColumns({f"next_{c}": F.col(f"_next.{c}") for c in columns}).drop("_next", "_block", "_guest")
+    out = dealt.withColumn("_fl_next", following).filter(~F.col("_fl_guest"))
+    return out.withColumns({f"next_{c}": F.col(f"_fl_next.{c}") for c in columns}).drop("_fl_next", "_fl_block", "_fl_guest")
 
 
 def edited(text: Column, following: Column) -> Column:

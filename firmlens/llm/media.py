@@ -8,7 +8,8 @@ the next peaks of the following frames. A pair is a time code and (low bin, high
 
 Null and empty texts are a payload of ``PAD`` spaces; they have no peaks. Equal payloads give
 equal media and fingerprints; every row is handled by itself. Long payloads are transformed some
-frames at a time. An input column of a name that the result needs is refused with a ValueError.
+frames at a time. An input column with the
+name of a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import batches as B
-from .bpe import clash
+from .bpe import room
 
 PAD, RATE = 192, 8000
 #: Samples of a frame and between frames; frames transformed at a time.
@@ -99,9 +100,8 @@ def pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def media_columns(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (by default all columns) with n_bytes, media (the WAV file), payload (read back) and fingerprint (array of time and code)."""
-    keep = df.columns if keep is None else keep
     new = ["n_bytes", "media", "payload", "fingerprint"]
-    clash(df.select(*keep), *new)
+    keep = room(df.columns if keep is None else keep, *new)
     pair = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("code", T.IntegerType())])
     schema = T.StructType([f for f in df.schema if f.name in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("fingerprint", T.ArrayType(pair))])
     kept = [f.name for f in schema][: -len(new)]

@@ -8,8 +8,8 @@ document is taken floor(rate) times, and once more where a hash of its id falls
 fraction, so reruns agree and no document is taken more than ``most`` times if that is whole.
 
 Null and empty texts have size 0 and are never taken; a source of no words has target 0 and rate
-0. Rows with the same id fall together; a null id hashes like the text "null". Only DataFrame
-functions are used. Sizes are summed before any shuffle, so a hot source is one small row; the
+0. Rows with the same id fall together; a null id hashes like the text "null". An input
+column with the name of a new one gives way to it. Only DataFrame functions are used. Sizes are summed before any shuffle, so a hot source is one small row; the
 table that is ranked has one row for each source.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .bpe import clash
+from .bpe import room
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -67,16 +67,14 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``keep`` (by default all columns) with size, source_size, target and copies of every document."""
-    keep = df.columns if keep is None else keep
-    new = ["size", "source_size", "target", "copies"]
-    clash(df.select(*keep), *new)
+    keep = room(df.columns if keep is None else keep, "size", "source_size", "target", "copies")
     held = list(dict.fromkeys([*keep, doc_id, source]))
     sized = df.select(*held, size_of(text).alias("size"))
     by_source = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
-    rates = targets(by_source, share, most).select(F.col("source").alias("source_"), "source_size", "target", "rate")
-    joined = sized.join(rates, F.col(source).eqNullSafe(F.col("source_")))
-    whole = F.floor("rate")
-    copies = (whole + (draw(doc_id) < F.col("rate") - whole).cast("long")).cast("long")
+    rates = targets(by_source, share, most).select(F.col("source").alias("_fl_source"), "source_size", "target", F.col("rate").alias("_fl_rate"))
+    joined = sized.join(rates, F.col(source).eqNullSafe(F.col("_fl_source")))
+    whole = F.floor("_fl_rate")
+    copies = (whole + (draw(doc_id) < F.col("_fl_rate") - whole).cast("long")).cast("long")
     return joined.select(*keep, "size", "source_size", "target", copies.alias("copies"))
 
 

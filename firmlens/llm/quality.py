@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import batches as B
-from .bpe import clash
+from .bpe import room
 from .tables import corpus_table
 
 #: Rows and width of the table of word vectors.
@@ -194,8 +194,7 @@ class QualityModel:
 
     def score(self, df: DataFrame, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
         """``keep`` (by default all columns) with the probability of a good text."""
-        keep = df.columns if keep is None else keep
-        clash(df.select(*keep), score)
+        keep = room(df.columns if keep is None else keep, score)
         model = df.sparkSession.sparkContext.broadcast(self)  # CLASSES x WIDTH floats: a fixed size
         schema = T.StructType([f for f in df.schema if f.name in keep] + [T.StructField(score, T.DoubleType())])
         kept = [f.name for f in schema][:-1]

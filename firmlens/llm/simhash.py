@@ -13,7 +13,7 @@ there by all 64 bits. Links are joined to components.
 * Texts with equal fingerprints are one node, so a group of copies costs one row, whatever its size.
 * A component is named by its smallest id. Rows with a null id share the class of their
   fingerprint but name it only if it has no other id.
-* Extra columns pass through; clashing names are refused with a ValueError.
+* Extra columns pass through; one with the name of a new column gives way to it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..core.scratch import Scratch
 from . import batches as B
-from .bpe import clash
+from .bpe import room
 from .components import components
 
 #: Hash seed of the shingles and words of a shingle.
@@ -72,8 +72,7 @@ def fingerprint(text: str) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (by default all columns) with the text's fingerprint as a long."""
-    keep = df.columns if keep is None else keep
-    clash(df.select(*keep), out)
+    keep = room(df.columns if keep is None else keep, out)
     schema = T.StructType([f for f in df.schema if f.name in keep] + [T.StructField(out, T.LongType())])
     kept = [f.name for f in schema][:-1]
 
@@ -167,12 +166,11 @@ def links(fps: DataFrame, scratch: Scratch, threshold: int = 2, fp: str = "fp")
 
 def near_duplicates(df: DataFrame, scratch: Scratch, threshold: int = 2, doc_id: str = "doc_id", text: str = "text", fp: str = "fp", component: str = "component_id", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (by default all columns) with the fingerprint and the component's smallest id."""
-    keep = df.columns if keep is None else keep
-    clash(df.select(*keep), fp, component)
+    keep = room(df.columns if keep is None else keep, fp, component)
     marked = scratch.save(fingerprints(df, text, fp, list(dict.fromkeys([*keep, doc_id]))), "fingerprints")
     least = scratch.save(marked.groupBy(F.col(fp).alias("node")).agg(F.min(doc_id).alias("least")), "nodes")
     found = components(links(least, scratch, threshold, "node"), scratch).select(F.col("node").alias("n"), F.col("component").alias("c"))
     grouped = least.join(found, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("c", "node").alias("c"))
     named = grouped.groupBy("c").agg(F.min("least").alias(component)).withColumnRenamed("c", "c2")
-    of = grouped.join(named, F.col("c") == F.col("c2")).select(F.col("node").alias("fp_"), component)
-    return marked.join(of, F.col(fp) == F.col("fp_")).select(*keep, fp, component)
+    of = grouped.join(named, F.col("c") == F.col("c2")).select(F.col("node").alias("_fl_fp"), component)
+    return marked.join(of, F.col(fp) == F.col("_fl_fp")).select(*keep, fp, component)

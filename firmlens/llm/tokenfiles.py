@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,11 +55,30 @@ class LibraryEncoder(Encoder):
         self.library.no_padding()
         self.library.no_truncation()
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for a in range(0, len(words), 5000) for e in self.library.encode_batch_fast(words[a : a + 5000], add_special_tokens=False)]
+        self.ends = np.array([bool(t) and t.endswith("</w>") for t in self.vocabulary.tokens])
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
 
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As one by one, in one text with a line for each word; words are told apart by the ids that end one of their parts."""
+        parts = np.fromiter((len(self.vocabulary.cut.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower())) for w in words), np.int64, len(words))
+        ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != parts.sum():  # the library parts some word in another way
+            return self._one_by_one(words)
+        edges = np.r_[0, ends + 1][np.r_[0, np.cumsum(parts)]]
+        return ids, np.diff(edges)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs = [words[a : a + 500] for a in range(0, len(words), 500)]
+        found = [self._one_by_one(run) if any("<|" in w for w in run) else self._together(run) for run in runs]
+        if not found:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
 
 @functools.cache
 def library_encoder(path: str) -> LibraryEncoder:

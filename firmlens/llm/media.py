@@ -2,11 +2,13 @@
 
 A payload is a text's UTF-8 bytes, padded with spaces to a positive multiple of ``PAD``. It is
 stored without loss as 8-bit mono samples of a WAV file, written and read by the wave module.
-The samples that were read back are cut to overlapping frames; the strongest bin of each band
+The samples that were read back are cut to overlapping frames centred on their ``HOP`` samples, with
+spaces (a payload's silence) before the first and after the last, so every sample has a weight in
+some frame and the smallest payload has one; the strongest bin of each band
 of a frame is a peak where it stands out from its neighbours in time; each peak is paired with
-the next peaks of the following frames. A pair is a time code and (low bin, high bin, distance).
+the next peaks of the same and the following frames. A pair is a time code and (low bin, high bin, distance).
 
-Null and empty texts are a payload of ``PAD`` spaces; they have no peaks. Equal payloads give
+Null and empty texts are a payload of ``PAD`` spaces; they have no pairs. Equal payloads give
 equal media and fingerprints; every row is handled by itself. Long payloads are transformed some
 frames at a time. An input column with the
 name of a new one gives way to it.
@@ -61,7 +63,8 @@ def load(media: bytes) -> bytes:
 
 def peaks(samples: np.ndarray) -> np.ndarray:
     """(frame, bin) of the spectral peaks, in order of time, then of bin."""
-    n = max(0, (len(samples) - FRAME) // HOP + 1)
+    n, edge = -(-len(samples) // HOP), (FRAME - HOP) // 2
+    samples = np.pad(samples, (edge, n * HOP - len(samples) + FRAME - HOP - edge), constant_values=ord(" "))
     window = np.hanning(FRAME).astype(np.float32)
     best, power = np.zeros((n, len(BANDS)), np.int32), np.zeros((n, len(BANDS)), np.float32)
     for a in range(0, n, BLOCK):

@@ -93,6 +93,25 @@ def test_media_round_trip_and_tone():
     assert len(media.pairs(media.peaks(np.full(3000, 32, np.uint8)))[0]) == 0
 
 
+def feature(text):
+    time, code = media.pairs(media.peaks(np.frombuffer(media.payload(text), np.uint8)))
+    return time.tolist(), code.tolist()
+
+
+def test_media_fingerprint_covers_the_whole_payload():
+    short = ["One short text of a few words.", "Quite another one: 1234567890!", "zebra"]
+    assert all(feature(t)[0] for t in short) and len({str(feature(t)) for t in short}) == len(short)
+    assert feature("") == ([], [])
+    rng = np.random.default_rng(8)
+    text = "".join(map(chr, rng.integers(97, 123, 192 * 5)))
+    ends = [text, text[:-128] + "~ " * 64, text[:-128] + "~~~   " * 21 + "~~", text[:-128] + "zzzz    " * 16]
+    assert len({str(feature(t)) for t in ends}) == len(ends)
+    # a change at any place reaches the spectrum, the first and the last byte's too
+    window = np.hanning(media.FRAME)
+    edge = (media.FRAME - media.HOP) // 2
+    assert window[edge : edge + media.HOP].min() > 0.1
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = A.Attention.fresh(rng.normal(0, 1, (40, A.WIDTH)), np.zeros(A.CLASSES))

@@ -164,13 +164,30 @@ def links(fps: DataFrame, scratch: Scratch, threshold: int = 2, fp: str = "fp")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _grouped(nodes: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    """``nodes`` (node, a fingerprint, and least) with c, the least fingerprint of the node's component."""
+    found = components(links(nodes, scratch, threshold, "node"), scratch).select(F.col("node").alias("n"), F.col("component").alias("c"))
+    return nodes.join(found, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("c", "node").alias("c"))
+
+
 def near_duplicates(df: DataFrame, scratch: Scratch, threshold: int = 2, doc_id: str = "doc_id", text: str = "text", fp: str = "fp", component: str = "component_id", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (by default all columns) with the fingerprint and the component's smallest id."""
     keep = room(df.columns if keep is None else keep, fp, component)
     marked = scratch.save(fingerprints(df, text, fp, list(dict.fromkeys([*keep, doc_id]))), "fingerprints")
     least = scratch.save(marked.groupBy(F.col(fp).alias("node")).agg(F.min(doc_id).alias("least")), "nodes")
-    found = components(links(least, scratch, threshold, "node"), scratch).select(F.col("node").alias("n"), F.col("component").alias("c"))
-    grouped = least.join(found, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("c", "node").alias("c"))
+    grouped = _grouped(least, scratch, threshold)
     named = grouped.groupBy("c").agg(F.min("least").alias(component)).withColumnRenamed("c", "c2")
     of = grouped.join(named, F.col("c") == F.col("c2")).select(F.col("node").alias("_fl_fp"), component)
     return marked.join(of, F.col(fp) == F.col("_fl_fp")).select(*keep, fp, component)
+
+
+def one_of_each(df: DataFrame, scratch: Scratch, threshold: int = 2, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (by default all columns) of exactly one row of each component: the least by id (null last), hash of the text, and a number of the row."""
+    keep = room(df.columns if keep is None else keep, "_fl_fp", "_fl_tag", "_fl_rid")
+    tagged = df.withColumn("_fl_tag", F.xxhash64(text))
+    marked = fingerprints(tagged, text, "_fl_fp", list(dict.fromkeys([*keep, doc_id, "_fl_tag"]))).withColumn("_fl_rid", F.monotonically_increasing_id())
+    marked = scratch.save(marked, "fingerprints")
+    order = F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), F.col("_fl_tag").alias("tag"), F.col("_fl_rid").alias("rid"))
+    least = scratch.save(marked.groupBy(F.col("_fl_fp").alias("node")).agg(F.min(order).alias("least")), "nodes")
+    stays = _grouped(least, scratch, threshold).groupBy("c").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_fl_stays"))
+    return marked.join(stays, F.col("_fl_rid") == F.col("_fl_stays"), "left_semi").select(*keep)

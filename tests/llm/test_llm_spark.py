@@ -128,6 +128,19 @@ def test_simhash(spark, sf, texts, edge, empty):
     assert simhash.near_duplicates(empty, Scratch(spark, "t")).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    other, third = "another text of quite different words without any copy at all", "a third text, seen twice and never with an id of its own"
+    rows = [
+        (None, "a null id and a text of some words", "en", "a", 1),  # alone in its group
+        (None, third, "en", "a", 1), (None, third, "en", "a", 1),  # a group without ids
+        (7, LONG, "de", "c", 1), (7, LONG, "de", "c", 1), (8, LONG, "de", "c", 1), (None, LONG, "de", "c", 1),  # repeated rows
+        (9, other, "en", "a", 1), (9, other.upper(), "en", "a", 1),  # two texts of one id
+    ]
+    got = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, SCHEMA), LEARN).collect()
+    found = sorted((r.text.lower(), r.doc_id) for r in got)
+    assert found == sorted([(rows[0][1], None), (third, None), (LONG, 7), (other, 9)])
+
+
 def test_imatch(spark, sf, texts, edge, empty):
     rows = {r.doc_id: r for r in Q.op5_imatch(spark, sf).collect()}
     ids = sorted(texts)

@@ -1,11 +1,13 @@
 """I-Match document fingerprints over several randomised lexicon subsets.
 
-Terms are lower-case words, as codes: a 64-bit hash of the term modulo ``CODES``. A first pass
-counts for every code the documents that have it. The lexicon is the band of codes whose inverse
-document frequency ln(documents / frequency) lies in ``BAND``; a document keeps its distinct
-codes of the lexicon, sorted (all its codes if it has none of them). At level l the lexicon is
-dealt at random to 2^l disjoint subsets, of which the first ``SUBSETS`` are used: a document's
-fingerprint has one hash for each subset, of all its terms there in order, or EMPTY if it has none.
+Terms are lower-case words, as 62-bit hashes. A first pass counts for every code, a term's hash
+modulo ``CODES``, the documents that have it. The lexicon is the band of codes whose inverse document
+frequency ln(documents / frequency) lies in ``BAND`` (terms that share a code share its frequency);
+a document keeps its distinct terms with codes of the lexicon,
+sorted (all its terms if it has none of them). At level l the lexicon is dealt at random to 2^l
+disjoint subsets, by the first l bits of a term's hash; a document's fingerprint has one hash for
+each subset in which it has terms, of all its terms there in order. So every kept term is in a
+hashed subset, whatever the text's length, and fingerprints grow with the number of terms.
 The level is chosen by the document's number of terms so that a subset holds about one of them;
 a fingerprint has the hashes of this level and the next, so that texts of somewhat different
 length can be compared. The likeness of two fingerprints is the share of equal hashes among the
@@ -23,26 +25,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import room
 
-#: Number of term codes.
+#: Number of codes by which documents are counted.
 CODES = 1 << 18
 #: Least and greatest inverse document frequency of the lexicon (natural logarithm).
 BAND = (2.3, 7.5)
-#: Subsets used of each level, and terms of a document in a subset at least before the next level is taken.
-SUBSETS, FILL = 16, 0.75
-#: The hash of no terms. A fixed value of the engine's hash function.
-EMPTY = 42
+#: Terms of a document in a subset at least before the next level is taken.
+FILL = 0.75
+#: Bits of a term's hash.
+BITS = 62
 
 
 def terms(text: Column) -> Column:
-    """Distinct term codes of a text; an empty array for null."""
+    """Distinct term hashes of a text; an empty array for null."""
     bare = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
-    codes = F.transform(F.split(bare, "[\\x20\\x09-\\x0D]+"), lambda w: F.pmod(F.xxhash64(w), F.lit(CODES)).cast("int"))
-    return F.when(bare == "", F.array().cast("array<int>")).otherwise(F.array_distinct(codes))
+    hashes = F.transform(F.split(bare, "[\\x20\\x09-\\x0D]+"), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))
+    return F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(hashes))
 
 
 def lexicon(df: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> Column:
     """The codes in the band over all rows of ``df``, as a constant array of CODES / 64 words of 64 flags."""
-    found = df.select(F.explode(terms(F.col(text))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    codes = F.array_distinct(F.transform(terms(F.col(text)), lambda t: (t % CODES).cast("int")))
+    found = df.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     documents = df.select(F.count("*").alias("documents")).scalar()
     inside = found.filter(F.log(F.greatest(documents, F.lit(1)) / F.col("n")).between(*band))
     word = F.expr("code div 64").cast("int").alias("word")
@@ -51,34 +54,41 @@ def lexicon(df: DataFrame, text: str = "text", band: tuple[float, float] = BAND)
     return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(CODES // 64))), ",").cast("array<bigint>")
 
 
-def kept_terms(codes: Column, flags: Column) -> Column:
-    """The codes in the lexicon, sorted; all of them if there is none."""
-    inside = F.filter(codes, lambda c: F.getbit(F.get(flags, F.shiftright(c, 6)), c % 64) == 1)
-    return F.sort_array(F.when(F.size(inside) > 0, inside).otherwise(codes))
+def kept_terms(found: Column, flags: Column) -> Column:
+    """The terms with codes in the lexicon, sorted; all of them if there is none."""
+    inside = F.filter(found, lambda t: F.getbit(F.get(flags, F.shiftright(t % CODES, 6).cast("int")), (t % 64).cast("int")) == 1)
+    return F.sort_array(F.when(F.size(inside) > 0, inside).otherwise(found))
 
 
-def _hashes(few: str, size: Column) -> Column:
-    """SUBSETS hashes of the terms (struct of hash and code) by subset; EMPTY for a subset without terms."""
-    mine = lambda j: F.filter(few, lambda t: F.pmod(t["h"], size) == j)
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.hash(mine(j)))
+def _starts(kept: str, level: str, more: int) -> Column:
+    """Where in the sorted terms each subset of the level begins, and their number at the end."""
+    subset = lambda i: F.call_function("shiftright", F.get(kept, i), F.lit(BITS - more) - F.col(level))
+    places = F.filter(F.sequence(F.lit(0), F.size(kept)), lambda i: (i == 0) | (i == F.size(kept)) | (subset(i) != subset(i - 1)))
+    return F.when(F.size(kept) > 0, places).otherwise(F.array().cast("array<int>"))
+
+
+def _hashes(kept: str, starts: str, level: str, more: int) -> Column:
+    """Subset (upper 32 bits) and hash of its terms (lower 32) for every subset with terms."""
+    one = lambda i, j: F.shiftleft(F.call_function("shiftright", F.get(kept, i), F.lit(BITS - more) - F.col(level)), 32).bitwiseOR(
+        F.xxhash64(F.slice(kept, i + 1, F.get(starts, j + 1) - i)).bitwiseAND(F.lit(0xFFFFFFFF))
+    )
+    return F.transform(F.filter(starts, lambda i: i < F.size(kept)), one)
 
 
 def with_fingerprint(df: DataFrame, text: str, flags: Column, out: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column: struct of level, here and next (arrays of hashes)."""
+    """``df`` with the fingerprint of a text column: struct of level, here and next (arrays of subsets and hashes)."""
     df = df.select(*room(df.columns, out))
     kept = df.withColumn("_fl_kept", kept_terms(terms(F.col(text)), flags))
-    level = F.greatest(F.floor(F.log2(F.greatest(F.size("_fl_kept"), F.lit(1)) / FILL)), F.lit(4))
-    sized = kept.withColumn("_fl_size", F.pow(F.lit(2.0), level).cast("long"))
-    # terms of the next level's subsets are among those of this level's
-    marked = F.transform("_fl_kept", lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("c")))
-    few = sized.withColumn("_fl_few", F.filter(marked, lambda t: F.pmod(t["h"], F.col("_fl_size")) < SUBSETS))
-    fp = F.struct(F.log2("_fl_size").cast("int").alias("level"), _hashes("_fl_few", F.col("_fl_size")).alias("here"), _hashes("_fl_few", F.col("_fl_size") * 2).alias("next"))
-    return few.withColumn(out, fp).drop("_fl_kept", "_fl_size", "_fl_few")
+    level = F.greatest(F.floor(F.log2(F.greatest(F.size("_fl_kept"), F.lit(1)) / FILL)), F.lit(4)).cast("int")
+    sized = kept.withColumn("_fl_level", level)
+    begun = sized.withColumns({"_fl_here": _starts("_fl_kept", "_fl_level", 0), "_fl_next": _starts("_fl_kept", "_fl_level", 1)})
+    fp = F.struct(F.col("_fl_level").alias("level"), _hashes("_fl_kept", "_fl_here", "_fl_level", 0).alias("here"), _hashes("_fl_kept", "_fl_next", "_fl_level", 1).alias("next"))
+    return begun.withColumn(out, fp).drop("_fl_kept", "_fl_level", "_fl_here", "_fl_next")
 
 
 def as_text(fp: Column) -> Column:
-    """A fingerprint as a string: level and hexadecimal hashes."""
-    shown = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))), ".")
+    """A fingerprint as a string: level, and subsets with their hashes in hexadecimal."""
+    shown = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), ".")
     return F.concat_ws(":", fp["level"].cast("string"), shown(fp["here"]), shown(fp["next"]))
 
 
@@ -86,10 +96,8 @@ def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets in which either fingerprint has terms, from 0 to 1."""
 
     def counted(x: Column, y: Column) -> Column:
-        return F.struct(
-            F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != EMPTY)), lambda t: t)).alias("same"),
-            F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != EMPTY) | (q != EMPTY)), lambda t: t)).alias("any"),
-        )
+        subsets = lambda h: F.transform(h, lambda v: F.shiftright(v, 32))
+        return F.struct(F.size(F.array_intersect(x, y)).alias("same"), F.size(F.array_union(subsets(x), subsets(y))).alias("any"))
 
     def share(*parts: Column) -> Column:
         same, some = sum((p["same"] for p in parts[1:]), parts[0]["same"]), sum((p["any"] for p in parts[1:]), parts[0]["any"])

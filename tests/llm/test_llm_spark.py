@@ -158,6 +158,16 @@ def test_imatch(spark, sf, texts, edge, empty):
     assert imatch.with_next(empty, ["text"]).count() == 0
 
 
+def test_imatch_reads_every_term(spark):
+    base = [f"w{i}" for i in range(1000)]
+    texts = [" ".join(base), *(" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in range(0, 1000, 50))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = imatch.with_fingerprint(df, "text", imatch.lexicon(df), "fp").select("doc_id", "fp", imatch.as_text(F.col("fp")).alias("shown")).collect()
+    assert len({r.shown for r in rows}) == len(texts)  # any one term of a thousand shows
+    whole, other = [next(r.fp for r in rows if r.doc_id == i) for i in (0, 1)]
+    assert len(whole.here) > 500 and 0.99 < len(set(whole.next) & set(other.next)) / len(whole.next) < 1
+
+
 def test_toxicity(spark, edge, empty):
     docs, labels = (spark.read.parquet(f"{LEARN}/{t}.parquet") for t in ("documents", "labels"))
     rows = Q.op6_toxicity(spark, LEARN).join(labels, "doc_id").collect()

@@ -2,7 +2,8 @@
 
 A table that is read more than once, or that an iteration carries forward, is written
 as Parquet below ``spark.checkpoint.dir`` and read back. Every executor sees that
-folder, so a lost executor costs at most the tasks it was running.
+folder, so a lost executor costs at most the tasks it was running. Shuffle files of a
+write are removed when it ends: nothing reads them again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -41,7 +44,15 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         path = self.where(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -226,31 +226,39 @@ def test_line_dedup(spark, edge, empty):
     assert out[1, ROWS[0][1]].n_dropped == 0
     assert (out[2, ROWS[1][1]].n_dropped, out[2, ROWS[1][1]].kept_text) == (2, "")
     assert out[3, None].kept_text is None and out[4, ""].kept_text == "" and out[5, " \n "].kept_text == " \n "
+    assert out[7, "x"].n_dropped == 0  # repeated rows count as one
     assert linededup.line_dedup(empty, Scratch(spark, "t")).count() == 0
+    short = spark.createDataFrame([(1, "ab\n\nab"), (2, "AB "), (2, "a longer line, twice under one id"), (2, "a longer line, twice under one id"), (3, "a longer line, twice under one id")], "doc_id long, text string")
+    got = linededup.line_dedup(short, Scratch(spark, "t")).collect()
+    assert sorted((r.doc_id, r.kept_text, r.n_dropped) for r in got) == [(1, "ab\n", 1), (2, "", 1), (2, short.collect()[2].text, 0), (2, short.collect()[2].text, 0), (3, "", 1)]
 
 
-def brute_lines(texts):
-    """Kept text of each document, by comparing every pair of different lines."""
-    def norm(x):
-        return re.sub(r"[\t\n\x0b\f\r ]+", " ", x.lower()).strip(" ")
+def line_norm(x):
+    return re.sub(r"[\t\n\x0b\f\r ]+", " ", x.lower()).strip(" ")
+
+
+def line_shingles(x):
+    return {x[i : i + linededup.EXACT] for i in range(len(x) - linededup.EXACT + 1)}
+
 
-    def shingles(x):
-        return {x[i : i + linededup.EXACT] for i in range(len(x) - linededup.EXACT + 1)}
+def jaccard(x, y):
+    return len(x & y) / max(1, len(x | y))
 
+
+def brute_lines(texts):
+    """Kept text of each document, by comparing every pair of different lines."""
     spots = {}
     for i in sorted(texts):
         for place, line in enumerate(texts[i].split("\n")):
-            if len(norm(line)) >= linededup.LEAST:
-                spots.setdefault(norm(line), []).append((i, place))
+            if line_norm(line):
+                spots.setdefault(line_norm(line), []).append((i, place))
     lines = sorted(spots)
-    sets = [shingles(x) for x in lines]
+    sets = [line_shingles(x) for x in lines]
     pairs = []
     for a in range(len(lines)):
         for b in range(a + 1, len(lines)):
-            if min(len(sets[a]), len(sets[b])) >= linededup.SIMILAR * max(len(sets[a]), len(sets[b])):
-                both = len(sets[a] & sets[b])
-                if both >= linededup.SIMILAR * (len(sets[a]) + len(sets[b]) - both):
-                    pairs.append((a, b))
+            if min(len(sets[a]), len(sets[b])) >= linededup.SIMILAR * max(len(sets[a]), len(sets[b])) > 0 and jaccard(sets[a], sets[b]) >= linededup.SIMILAR:
+                pairs.append((a, b))
     group = brute_components(pairs, range(len(lines)))
     members = {}
     for k, line in enumerate(lines):
@@ -266,6 +274,68 @@ def test_line_dedup_against_brute_force(spark, sf, texts):
     assert same >= 0.98 * len(want)  # banding finds nearly all pairs at the threshold
 
 
+def edited_line(rng, line):
+    """A copy with a similarity from 0.8 to 0.85, by changed characters or words."""
+    for _ in range(200):
+        x, by_word = list(line), rng.random() < 0.5
+        base = line_shingles(line)
+        while jaccard(base, line_shingles("".join(x))) > 0.85:
+            at = rng.integers(len(x))
+            if by_word:
+                end = next((k for k in range(at, len(x)) if x[k] == " "), len(x))
+                x[at:end] = list("qxzjv"[rng.integers(5)] * max(1, end - at))
+            else:
+                x[at] = "qxzjv"[rng.integers(5)]
+        if jaccard(base, line_shingles("".join(x))) >= 0.8:
+            return "".join(x)
+    return None
+
+
+def test_line_dedup_recall(spark):
+    """Of edited lines at the threshold, by length, the share whose copy goes."""
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{LEARN}/documents.parquet").select("text").collect()
+    lines = sorted({line_norm(x) for r in docs for x in (r.text or "").split("\n")})
+    rows, classes = [], {}
+    for low, high in ((25, 80), (80, 160), (160, 500), (500, 2000)):
+        found = [x for x in lines if low <= len(x) < high]
+        for x in [found[i] for i in rng.choice(len(found), 250, replace=False)]:
+            if y := edited_line(rng, x):
+                classes[len(rows) + 1] = low
+                rows += [(len(rows), x), (len(rows) + 1, y)]
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), keep=["doc_id"]).collect()
+    gone = {r.doc_id for r in out if r.n_dropped}
+    recall = {low: np.mean([i in gone for i, c in classes.items() if c == low]) for low in set(classes.values())}
+    print(recall)
+    assert all(r >= 0.93 for r in recall.values()), recall
+
+
+def test_line_dedup_hot_bucket(spark):
+    """Thousands of alike lines: comparisons stay in proportion, and all copies go but one."""
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        for k in rng.choice(40, rng.integers(1, 7), replace=False):
+            w[k] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    made = []
+
+    class Counting(Scratch):
+        def save(self, df, name):
+            out = super().save(df, name)
+            made.append((name, out.count()))
+            return out
+
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Counting(spark, "t"), keep=["doc_id"]).collect()
+    sets = [line_shingles(t) for _, t in rows]
+    lonely = sum(1 for i in range(0, 3000, 60) if not any(jaccard(sets[i], sets[j]) >= 0.8 for j in range(3000) if i != j))
+    assert dict(made)["second-likely"] < 60 * len(rows) and dict(made)["first-likely"] < 12 * len(rows)
+    kept = sum(r.n_dropped == 0 for r in out)
+    assert kept <= 1 + 3000 * (lonely / 50 + 0.12)
+
+
 def test_clashing_columns(spark, edge):
     names = ["ids", "decoded", "score", "fp", "component_id", "media", "size", "rate", "copies", "kept_text", "doc", "tag", "places", "fingerprint", "n_tokens", "tail", "rid", "next_text"]
     odd = edge.withColumns({n: F.lit("x") for n in names})

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .scratch import Scratch
+
 
 def _cols(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -36,12 +38,15 @@ def consecutive(df: DataFrame, key: str | Sequence[str], order: Sequence[str], c
 
 
 def islands(df: DataFrame, key: str | Sequence[str], start: str, end: str, gap_days: int, island: str = "island") -> DataFrame:
-    """Rows numbered by runs: a row joins the run before it if it starts at most ``gap_days`` after the latest end so far."""
-    order = Window.partitionBy(*_cols(key)).orderBy(F.col(start), F.col(end))
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    """Rows numbered by runs: a row joins the run before it if it starts at most ``gap_days`` after the latest end so far.
+
+    Both windows have range frames over the day of the start, so rows of one day get one number in any order.
+    """
+    order = Window.partitionBy(*_cols(key)).orderBy(F.datediff(start, F.lit("1970-01-01").cast("date")))
+    reach = F.max(end).over(order.rangeBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.datediff(start, reach) > gap_days), 1).otherwise(0)
     marked = df.withColumn("_fresh", fresh)
-    return marked.withColumn(island, F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    return marked.withColumn(island, F.sum("_fresh").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
 
 def count_where(condition: Column, name: str) -> Column:
@@ -72,9 +77,41 @@ def group_fingerprint(df: DataFrame, key: str | Sequence[str], cols: Sequence[st
 
 
 def peer_median(df: DataFrame, band: Column, value: str, min_n: int = 20, out: str = "peer_median") -> DataFrame:
-    """Exact median of each band with at least ``min_n`` members, else null."""
-    banded = df.withColumn("band", band).filter(F.col(value).isNotNull())
-    return banded.groupBy("band").agg(F.count("*").alias("n"), F.median(value).alias("_m")).select("band", "n", F.when(F.col("n") >= min_n, F.col("_m")).alias(out))
+    """Exact median of each band with at least ``min_n`` members, else null.
+
+    Equal values are counted first; then the values are dealt by ranges and the counts before each
+    range added to it, so a band that holds all rows is no single task and no state of all its values.
+    """
+    banded = df.select(band.alias("band"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    counted = banded.groupBy("band", "v").agg(F.count("*").alias("n"))
+    placed = cumulative(counted, ["band"], [F.asc("v")], "n", "upto")
+    whole = banded.groupBy("band").agg(F.count("*").alias("n")).withColumnsRenamed({"band": "_band", "n": "_n"})
+    met = placed.join(whole, F.col("band").eqNullSafe(F.col("_band")))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    first = F.col("upto") - F.col("n") + 1
+    middle = lambda at: F.max(F.when((first <= at) & (F.col("upto") >= at), F.col("v")))
+    return met.groupBy("band").agg(F.max("_n").alias("n"), middle(low).alias("_a"), middle(high).alias("_b")).select("band", "n", F.when(F.col("n") >= min_n, (F.col("_a") + F.col("_b")) / 2).alias(out))
+
+
+def cumulative(df: DataFrame, key: Sequence[str], order: Sequence[Column], amount: str, out: str) -> DataFrame:
+    """Rows with the sum of ``amount`` over the rows of their key up to them, in an order that must be total.
+
+    The rows are sorted over all tasks by ranges of key and order; each range adds the sums of the ranges
+    before it, of which there is one row for each key and range. So a key that holds all rows is spread
+    over all tasks. The ranges are written once to the shared folder: they come from a sample, and a
+    second reading must not find others.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(parts, *key, *order).withColumn("_part", F.spark_partition_id())
+    here = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = Scratch(spark, "cumulative").save(dealt.withColumn("_here", F.sum(amount).over(here)), "rows")
+    sums = rows.groupBy("_part", *key).agg(F.max("_here").alias("_sum"))
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k_{k}") for k in key), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    same = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key)]
+    joined = rows.join(before, same, "left")
+    return joined.select(*df.columns, (F.col("_here") + F.col("_before")).alias(out))
 
 
 def sample_keys(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -132,7 +132,8 @@ def suppress(people: DataFrame, listed: DataFrame, scopes: Mapping[str, str], ro
 def eligibility(people: DataFrame, row: str, individual: str, address: str, order: Sequence[Column], history: DataFrame, cool_days: int, as_of: Column) -> DataFrame:
     """People with one reason in rule order, or eligible: suppressed, no address, sent lately, individual or address taken by one before.
 
-    ``people`` has suppressed_by; ``history`` has the individual and sent_on.
+    ``people`` has suppressed_by; ``history`` has the individual and sent_on. A missing individual takes
+    nothing and is taken by none; such rows are dealt by their own row, not as one key.
     """
     last = history.groupBy(F.col(individual).alias("_i")).agg(F.max("sent_on").alias("_sent"))
     j = people.join(last, F.col(individual) == F.col("_i"), "left")
@@ -143,10 +144,11 @@ def eligibility(people: DataFrame, row: str, individual: str, address: str, orde
     )
     marked = j.withColumn("_early", early)
     open_ = F.col("_early").isNull()
-    nth = lambda c: F.row_number().over(Window.partitionBy(c, open_).orderBy(*order, F.asc(row)))
+    alone = lambda c: F.when(F.col(c).isNull(), F.col(row).cast("string"))
+    nth = lambda c, of: F.row_number().over(Window.partitionBy(c, alone(c), of).orderBy(*order, F.asc(row)))
     # an address counts only among those that are first for their individual
-    one = marked.withColumn("_nth", nth(individual))
-    two = one.withColumn("_alive", open_ & (F.col("_nth") == 1)).withColumn("_at", F.row_number().over(Window.partitionBy(address, "_alive").orderBy(*order, F.asc(row))))
+    one = marked.withColumn("_nth", nth(individual, open_))
+    two = one.withColumn("_alive", open_ & (F.col("_nth") == 1)).withColumn("_at", nth(address, F.col("_alive")))
     why = F.coalesce("_early", F.when(F.col("_nth") > 1, "individual already in this batch"), F.when(F.col("_at") > 1, "address already in this batch"), F.lit("eligible"))
     return two.select(*people.columns, why.alias("reason"))
 

@@ -47,14 +47,13 @@ def latest_before(df: DataFrame, other: DataFrame, key: str, at: str, other_at:
     return rid.join(best, "_rid", "left").select(*df.columns, *(F.col(f"_o.{c}").alias(prefix + c) for c in carry))
 
 
-def active_at(spans: DataFrame, points: DataFrame, start: str, end: str, point: str) -> DataFrame:
-    """(span row, point) for every point inside a span, ends included; an open end reaches every point.
+def active_at(spans: DataFrame, points: Sequence[str], start: str, end: str, point: str) -> DataFrame:
+    """(span row, point) for every one of the days ``points`` (ISO dates, a short list of the caller's) inside a span.
 
-    Points are few and of a fixed number (year ends); each span makes the list of its own ones, so
-    there is no join at all.
+    Ends are included and an open end reaches every point. Each span makes the list of its own points,
+    so there is no join at all.
     """
-    held = [r[0] for r in points.select(point).distinct().orderBy(point).collect()]
-    inside = F.filter(F.array(*map(F.lit, held)), lambda p: (F.col(start) <= p) & (F.col(end).isNull() | (F.col(end) >= p)))
+    inside = F.filter(F.array(*(F.lit(p).cast("date") for p in points)), lambda p: (F.col(start) <= p) & (F.col(end).isNull() | (F.col(end) >= p)))
     return spans.withColumn(point, F.explode(inside))
 
 
@@ -71,24 +70,34 @@ def asof_join(df: DataFrame, key: str, at: str, carry: Sequence[str], min_gap_da
 
 
 def last_start_before(events: DataFrame, spans: DataFrame, key: Sequence[str], at: str, start: str, out: str = "span_start") -> DataFrame:
-    """Each event with the latest start of a span of its key that isn't after it."""
-    both = events.select(*key, F.col(at).alias("_at")).distinct().join(spans.select(*key, start), list(key))
-    found = both.filter(F.col(start) <= F.col("_at")).groupBy(*key, "_at").agg(F.max(start).alias(out))
-    joined = events.join(found.withColumnsRenamed({k: f"_{k}" for k in key}), [events[k] == F.col(f"_{k}") for k in key] + [events[at] == F.col("_at")], "left")
-    return joined.select(*events.columns, out)
+    """Each event with the latest start of a span of its key that isn't after it.
+
+    Events and starts lie in one window by key and time, so no event meets every span of its key.
+    """
+    names = list(events.columns)
+    marked = events.select(*key, F.col(at).alias("_at"), F.lit(None).cast(spans.schema[start].dataType).alias("_start"), F.struct(*names).alias("_row"))
+    starts = spans.filter(F.col(start).isNotNull()).select(*key, F.col(start).alias("_at"), F.col(start).alias("_start"), F.lit(None).cast(marked.schema["_row"].dataType).alias("_row")).distinct()
+    order = Window.partitionBy(*key).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marked.union(starts).withColumn(out, F.max("_start").over(order)).filter(F.col("_row").isNotNull())
+    return found.select("_row.*", out)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: str, at: str, other_at: str, lo: int, hi: int, carry: Sequence[str], order: Sequence[Column], prefix: str) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, key: str, at: str, other_at: str, lo: int, hi: int, carry: Sequence[str], order: Sequence[str] = (), other_than: str | None = None, prefix: str = "") -> DataFrame:
     """Each left row with the nearest right row of its key whose date lies from ``lo`` to ``hi`` days after it.
 
-    The key makes it an equi join with a residual; ties follow ``order`` on the right columns.
+    Ties go to the row with the greatest ``order`` columns, then by the least carried ones. With
+    ``other_than`` a right row with the same value there doesn't count. What is found depends on the
+    key, the date and that value alone: it is found once for each of these and joined back, so no row
+    needs a number that a lost task could give anew.
     """
-    r = right.select(F.col(key).alias("_k"), F.col(other_at).alias("_at"), *(F.col(c).alias(f"_{c}") for c in carry))
-    rows = left.withColumn("_rid", F.monotonically_increasing_id())
-    gap = F.datediff("_at", at)
-    met = rows.join(r, (F.col(key) == F.col("_k")) & gap.between(lo, hi), "left").withColumn("_gap", F.abs(F.datediff("_at", at)))
-    best = first_per_key(met, [*left.columns, "_rid"], [F.col("_gap").asc_nulls_last(), *order])
-    return best.select(*left.columns, *(F.col(f"_{c}").alias(prefix + c) for c in carry))
+    by = list(dict.fromkeys([key, at, *([other_than] if other_than else [])]))
+    r = right.select(F.col(key).alias("_k"), F.col(other_at).alias("_at"), *(F.col(c).alias(f"_o_{c}") for c in order), *(F.col(c).alias(f"_c_{c}") for c in carry), *([F.col(other_than).alias("_than")] if other_than else []))
+    near = (F.col(key) == F.col("_k")) & F.datediff("_at", at).between(lo, hi)
+    met = left.select(*by).distinct().join(r, near & (F.col("_than") != F.col(other_than)) if other_than else near)
+    best = first_per_key(met, by, [F.abs(F.datediff("_at", at)), *(F.col(f"_o_{c}").desc_nulls_last() for c in order), *(F.col(f"_c_{c}").asc_nulls_last() for c in carry)])
+    found = best.select(*(F.col(c).alias(f"_b_{c}") for c in by), *(F.col(f"_c_{c}").alias(prefix + c) for c in carry))
+    same = [F.col(c) == F.col(f"_b_{c}") for c in by]
+    return left.join(found, same, "left").drop(*(f"_b_{c}" for c in by))
 
 
 def within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:

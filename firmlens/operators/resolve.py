@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.frames import first_per_key, mode_by
+from ..functions.names import fold_accents, parse_name
 
 #: Confidence by kind of key and agreement of states, the penalty of ambiguity, and the bands. Fixed values.
 MATCH = {"exact": (0.95, 0.45, 0.78), "generic": (0.72, 0.25, 0.55), "ambiguous": 0.20, "auto": 0.85, "review": 0.50}
@@ -135,26 +136,64 @@ def place_set(frames: Sequence[DataFrame], entity: str, state: str) -> DataFrame
     return out.filter(F.upper(state).rlike("^[A-Z]{2}$")).distinct().groupBy(entity).agg(F.array_sort(F.collect_set(F.upper(state))).alias("states"))
 
 
+#: Words before a surname that are no surname of their own. Fixed values.
+PARTICLES = ("DE", "LA", "LE", "DEL", "DELLA", "DA", "DI", "DU", "DOS", "VAN", "VON", "DER", "DEN", "TER", "ST", "SAN", "BIN", "AL", "EL")
+
+
+def _parts(name: Column) -> Column:
+    """The words of a name in upper case, letters only; none of a null."""
+    words = F.split(F.regexp_replace(F.upper(fold_accents(F.coalesce(name, F.lit("")))), "[^A-Z]+", " "), " ")
+    return F.filter(words, lambda w: w != "")
+
+
+def _first_points(a: Column, b: Column, nicknames: Sequence[tuple[str, str]]) -> Column:
+    """4 for equal first names, 3 for a nickname, 1 for an initial of the other, 2 for its beginning, else 0."""
+    nick = F.lit(False)
+    for x, y in nicknames:
+        x, y = x.upper(), y.upper()
+        nick = nick | ((a == x) & (b == y)) | ((a == y) & (b == x))
+    initial = (F.length(a) == 1) | (F.length(b) == 1)
+    stem = (F.least(F.length(a), F.length(b)) >= 3) & (a.startswith(b) | b.startswith(a))
+    points = F.when(a == b, 4).when(nick, 3).when(initial, F.when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 1).otherwise(0)).when(stem, 2).otherwise(0)
+    return F.coalesce(F.when((a != "") & (b != ""), points), F.lit(0))
+
+
 def match_people(names: DataFrame, roster: DataFrame, org: str, nicknames: Sequence[tuple[str, str]] = (), least: float = 3.0) -> DataFrame:
     """Names (name_id, org, first, middle, last) to people of the roster (person, org, first, middle, last, current): a unique best or nothing.
 
-    Candidates share the organisation and the surname, so a roster is never crossed. The surname gives
-    2 points; the first name 4 if equal, 3 as a nickname, 2 by its beginning, 1 by its initial; equal
-    middle initials add 1, different ones veto; a current person adds 0.5.
+    Candidates share the organisation and a word of the surname (or all of it without spaces, the last
+    middle name before it included), so a roster is never crossed. The surname gives 2 points if equal,
+    1 for a shared word of three letters; the first name 4 if equal, 3 as a nickname, 2 by its beginning,
+    1 as an initial. Who goes by a middle name gets 2 and no test of middle names. Equal middle names add
+    1, equal initials of them 0.5, different ones rule out. A current person adds 0.5. With a column
+    other_names (array) a person is also met under those, for 0.25 less.
     """
-    r = roster.select(F.col(org).alias("_org"), "person", F.lower("first").alias("_f"), F.lower("middle").alias("_m"), F.lower("last").alias("_l"), "current")
-    n = names.select("name_id", org, F.lower("first").alias("f"), F.lower("middle").alias("m"), F.lower("last").alias("l"))
-    met = n.join(r, (F.col(org) == F.col("_org")) & (F.col("l") == F.col("_l")))
-    nick = F.lit(False)
-    for a, b in nicknames:
-        nick = nick | ((F.col("f") == a) & (F.col("_f") == b)) | ((F.col("f") == b) & (F.col("_f") == a))
-    first = F.when(F.col("f") == F.col("_f"), 4.0).when(nick, 3.0).when((F.length("f") >= 3) & (F.col("_f").startswith(F.col("f")) | F.col("f").startswith(F.col("_f"))), 2.0).when(F.substring("f", 1, 1) == F.substring("_f", 1, 1), 1.0).otherwise(0.0)
-    same = F.substring("m", 1, 1) == F.substring("_m", 1, 1)
-    middle = F.when(F.col("m").isNull() | F.col("_m").isNull(), 0.0).when(same, 1.0)
-    scored = met.withColumn("_first", first).withColumn("score", 2.0 + F.col("_first") + middle + F.when(F.col("current"), 0.5).otherwise(0.0))
-    good = scored.filter(F.col("score").isNotNull() & (F.col("_first") > 0) & (F.col("score") >= least))
-    best = good.withColumn("_top", F.rank().over(Window.partitionBy("name_id").orderBy(F.desc("score")))).filter("_top = 1")
-    return best.groupBy("name_id").agg(F.min("person").alias("person"), F.max("score").alias("score"), F.countDistinct("person").alias("_n")).filter("_n = 1").drop("_n")
+    some = F.array(F.struct(F.col("first").alias("first"), F.col("middle").alias("middle"), F.col("last").alias("last"), F.lit(False).alias("alias")))
+    if "other_names" in roster.columns:
+        others = F.transform(F.coalesce("other_names", F.array().cast("array<string>")), lambda x: F.struct(parse_name(x)["first"].alias("first"), parse_name(x)["middle"].alias("middle"), parse_name(x)["last"].alias("last"), F.lit(True).alias("alias")))
+        some = F.concat(some, others)
+    head = lambda c: F.coalesce(F.get(_parts(c), F.lit(0)), F.lit(""))
+    known = roster.select(F.col(org).alias("_org"), "person", F.coalesce("current", F.lit(False)).alias("current"), F.inline(some)).select("_org", "person", "current", "alias", head(F.col("first")).alias("_f"), _parts(F.col("middle")).alias("_m"), _parts(F.col("last")).alias("_l"))
+    asked = names.select("name_id", org, head(F.col("first")).alias("f"), _parts(F.col("middle")).alias("m"), _parts(F.col("last")).alias("l")).withColumn("alt", F.when(F.size("m") > 0, F.concat(F.element_at("m", -1), F.array_join("l", ""))))
+    words = lambda c: F.filter(c, lambda w: (F.length(w) >= 3) & ~w.isin(*PARTICLES))
+    whole = lambda c: F.array(F.array_join(c, ""))
+    n = asked.withColumn("k", F.explode(F.array_distinct(F.filter(F.concat(words("l"), whole("l"), F.array("alt")), lambda w: w != ""))))
+    r = known.withColumn("_k", F.explode(F.array_distinct(F.filter(F.concat(words("_l"), whole("_l")), lambda w: w != ""))))
+    met = n.join(r, (F.col(org) == F.col("_org")) & (F.col("k") == F.col("_k"))).drop("k", "_k").distinct()
+    joined = F.array_join("_l", "")
+    via = F.coalesce((joined != F.array_join("l", "")) & (joined == F.col("alt")), F.lit(False))
+    last = F.when((joined == F.array_join("l", "")) | via, 2).when(F.arrays_overlap(words("l"), words("_l")), 1).otherwise(0)
+    own = F.when(via, F.slice("m", 1, F.greatest(F.size("m") - 1, F.lit(0)))).otherwise(F.col("m"))
+    placed = met.withColumns({"last": last, "own": own}).withColumn("plain", _first_points(F.col("f"), F.col("_f"), nicknames))
+    called = (_first_points(F.col("f"), F.coalesce(F.get("_m", F.lit(0)), F.lit("")), nicknames) >= 3) | (_first_points(F.coalesce(F.get("own", F.lit(0)), F.lit("")), F.col("_f"), nicknames) >= 3)
+    first = F.when(F.col("plain") > 0, F.col("plain")).when(called, 2).otherwise(0)
+    initials = lambda c: F.transform(c, lambda w: F.substring(w, 1, 1))
+    middle = F.when((F.col("plain") == 0) | (F.size("own") == 0) | (F.size("_m") == 0), 0.0).when(F.arrays_overlap("own", "_m"), 1.0).when(F.arrays_overlap(initials("own"), initials("_m")), 0.5)
+    rated = placed.withColumns({"first": first, "middle": middle}).filter((F.col("last") > 0) & (F.col("first") > 0) & (F.col("first") + F.col("last") >= 3) & F.col("middle").isNotNull())
+    points = F.col("first") + F.col("last") + F.col("middle") + F.when(F.col("current"), 0.5).otherwise(0.0) - F.when(F.col("alias"), 0.25).otherwise(0.0)
+    of = rated.groupBy("name_id", "person").agg(F.max(points).alias("score")).filter(F.col("score") >= least)
+    best = of.groupBy("name_id").agg(F.max("score").alias("score"), F.max_by("person", F.struct("score", "person")).alias("person"), F.collect_list("score").alias("_all"))
+    return best.filter(F.size(F.filter("_all", lambda s: s == F.col("score"))) == 1).select("name_id", "person", "score")
 
 
 def observe_ids(holdings: DataFrame, patterns: Sequence[tuple[str, str]], prior: DataFrame, id_col: str, name: str, document: str) -> DataFrame:
@@ -215,10 +254,44 @@ def controlling_parent(owners: DataFrame, known: DataFrame, entity: str, name_ke
 
 
 def resolve_history_org(history: DataFrame, regs: DataFrame, person: str, name_key: str, org: str) -> DataFrame:
-    """History rows with the org of the same person's registration whose name is equal, or of which they are a prefix of two words or more."""
+    """History rows with the org of the same person's registration whose name is equal, or of which they are a prefix of two words or more.
+
+    It depends on person and name alone: found once for each of these and joined back.
+    """
     r = regs.select(F.col(person).alias("_p"), F.col(name_key).alias("_n"), F.col(org).alias("_org")).distinct()
-    rows = history.withColumn("_rid", F.monotonically_increasing_id())
     prefix = (F.size(F.split(F.col(name_key), " ")) >= 2) & F.col("_n").startswith(F.concat(F.col(name_key), F.lit(" ")))
-    met = rows.join(r, (F.col(person) == F.col("_p")) & ((F.col("_n") == F.col(name_key)) | prefix), "left")
-    best = first_per_key(met, "_rid", [F.desc(F.coalesce(F.col("_n") == F.col(name_key), F.lit(False))), F.asc("_org")])
-    return best.select(*history.columns, F.col("_org").alias(org))
+    met = history.select(person, name_key).distinct().join(r, (F.col(person) == F.col("_p")) & ((F.col("_n") == F.col(name_key)) | prefix))
+    best = first_per_key(met, [person, name_key], [F.desc(F.col("_n") == F.col(name_key)), F.asc("_org")]).select(F.col(person).alias("_bp"), F.col(name_key).alias("_bn"), F.col("_org").alias(org))
+    return history.drop(org).join(best, (F.col(person) == F.col("_bp")) & (F.col(name_key) == F.col("_bn")), "left").select(*(c for c in history.columns if c != org), org)
+
+
+def known_entity(df: DataFrame, name: str, named: Sequence[tuple[str, str]], patterns: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Rows with the known entity in their name and the strength of the match, null without one.
+
+    ``named`` are (entity, phrase), found between word ends in the normalised name; the longest wins.
+    ``patterns`` are (entity, expression); a phrase beats them by 1,000. Both are fixed lists of the
+    caller's, so the best is one expression for each different name and nothing is crossed. Ties go to the
+    entity that comes first by name.
+    """
+    plain = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " ")), F.lit(" "))
+    hits = [F.when(plain(F.col(name)).contains(plain(F.lit(phrase))), F.struct(F.lit(1000 + len(phrase)).alias("strength"), F.lit(entity).alias("entity"))) for entity, phrase in named]
+    hits += [F.when(F.col(name).rlike(f"(?i){pattern}"), F.struct(F.lit(len(pattern)).alias("strength"), F.lit(entity).alias("entity"))) for entity, pattern in patterns]
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    best = F.get(F.array_sort(F.transform(found, lambda h: F.struct((-h["strength"]).alias("less"), h["entity"].alias("entity"), h["strength"].alias("strength")))), F.lit(0))
+    names = df.select(name).distinct().withColumn("_best", best).withColumnRenamed(name, "_name")
+    joined = df.join(names, F.col(name).eqNullSafe(F.col("_name")), "left")
+    return joined.select(*df.columns, F.col("_best.entity").alias("known_entity"), F.col("_best.strength").alias("known_strength"))
+
+
+def officer_titles(roster: DataFrame, officers: DataFrame, org: str, name: str = "name", title: str = "title") -> DataFrame:
+    """Roster rows with the title of the organisation's officer of the same surname and first three letters of the first name.
+
+    Officers are filed as LAST, FIRST, MIDDLE. Of several the title that comes first is taken; a name
+    without a part has no title.
+    """
+    key = lambda last, first: F.concat_ws("|", F.nullif(F.regexp_replace(F.upper(last), "[^A-Z]", ""), F.lit("")), F.nullif(F.substring(F.regexp_replace(F.upper(first), "[^A-Z]", ""), 1, 3), F.lit("")))
+    whole = lambda c: F.when(c.contains("|"), c)
+    filed = lambda i: F.trim(F.split_part(F.col(name), F.lit(","), F.lit(i)))
+    known = officers.select(F.col(org).alias("_org"), whole(key(filed(1), filed(2))).alias("_key"), F.col(title).alias("_title")).filter("_key is not null").groupBy("_org", "_key").agg(F.min("_title").alias("officer_title"))
+    rows = roster.withColumn("_k", whole(key(F.col("last"), F.col("first"))))
+    return rows.join(known, (F.col(org) == F.col("_org")) & (F.col("_k") == F.col("_key")), "left").select(*roster.columns, "officer_title")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..core.frames import cumulative
 
 
 def factor(points: Column, evidence: Column | None = None, known: Column | None = None) -> Column:
@@ -150,10 +152,14 @@ def score(features: DataFrame, entity: str, product: Product, overrides: DataFra
 
 
 def rank_lists(scores: DataFrame, entity: str, size: str | None = None) -> DataFrame:
-    """Scores with the place in each product's list; rows that aren't scored have none."""
+    """Scores with the place in each product's list; rows that aren't scored have none.
+
+    Places are counted over ranges of the order, so a product's list is no single task.
+    """
     order = [F.desc("score"), F.col("coverage").desc_nulls_last(), *([F.col(size).desc_nulls_last()] if size else []), F.asc(entity)]
-    place = F.row_number().over(Window.partitionBy("product", "status").orderBy(*order))
-    return scores.withColumn("rank", F.when(F.col("status") == "scored", place))
+    placed = cumulative(scores.filter("status = 'scored'").withColumn("_one", F.lit(1).cast("long")), ["product"], order, "_one", "rank").drop("_one")
+    rest = scores.filter("status is null or status <> 'scored'").withColumn("rank", F.lit(None).cast("long"))
+    return placed.unionByName(rest)
 
 
 def scope(scores: DataFrame, entity: str, floors: Mapping[str, float] | None = None) -> DataFrame:

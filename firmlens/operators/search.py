@@ -68,6 +68,133 @@ def tri_state(column: str) -> Filter:
     return where(lambda v: F.col(column).isNull() if v is None else F.col(column) == v)
 
 
+def above_below(column: str) -> Filter:
+    """(least, below): the least included, the upper bound not; an open bound is null."""
+
+    def make(v: tuple[float, float | None]) -> Column:
+        low, high = v
+        return (F.col(column) >= low) & (F.lit(True) if high is None else F.col(column) < high)
+
+    return where(make)
+
+
+def any_contains(columns: Sequence[str], whole: Sequence[str] = ()) -> Filter:
+    """Some column holds the words, or one of ``whole`` is equal to them; nulls hold nothing."""
+
+    def make(v: object) -> Column:
+        hit = F.lit(False)
+        for c in columns:
+            hit = hit | F.coalesce(F.lower(c).contains(str(v).lower().strip()), F.lit(False))
+        for c in whole:
+            hit = hit | F.coalesce(F.col(c).cast("string") == str(v), F.lit(False))
+        return hit
+
+    return where(make)
+
+
+def choice(options: Mapping[str, Filter]) -> Filter:
+    """A filter by a word: the option of that name; a word that isn't one leaves all rows."""
+    return lambda df, v: options[v](df, True) if v in options else df
+
+
+def owner(column: str, me: str) -> Filter:
+    """none (nobody), me, or part of an owner's name."""
+
+    def make(v: str) -> Column:
+        if v == "none":
+            return F.coalesce(F.col(column), F.lit("")) == ""
+        return F.col(column) == me if v == "me" else F.lower(column).contains(v.lower())
+
+    return where(make)
+
+
+def open_signals(events: DataFrame, actions: DataFrame, key: str, cutoff: str) -> DataFrame:
+    """Keys with an event since the cutoff that is neither suppressed nor acted upon."""
+    live = events.filter(~F.coalesce("suppressed", F.lit(False)) & (F.col("date") >= cutoff))
+    return live.join(actions.filter("state is not null").select("event_id").distinct(), "event_id", "left_anti").select(key).distinct()
+
+
+def reach_filters(contacts: DataFrame, key: str) -> Filter:
+    """email, verified, phone, linkedin, or none (no personal address), by contacts (kind, person, is_role, source, verify_status, label)."""
+    named = F.coalesce(F.col("person"), F.lit("")) != ""
+    email = contacts.filter((F.col("kind") == "email") & named & ~F.coalesce("is_role", F.lit(False)))
+    sure = email.filter((F.col("source") != "pattern") & ~F.coalesce("verify_status", F.lit("")).isin("invalid", "no_mail_server"))
+    return choice(
+        {
+            "email": exists(sure, key),
+            "verified": exists(contacts.filter("kind = 'email' and verify_status = 'valid'"), key),
+            "phone": exists(contacts.filter((F.col("kind") == "phone") & named & F.col("label").isin("direct", "mobile")), key),
+            "linkedin": exists(contacts.filter((F.col("kind") == "linkedin") & named), key),
+            "none": exists(email, key, negate=lambda v: True),
+        }
+    )
+
+
+def firm_filters(key: str, scores: DataFrame, members: DataFrame, signals: DataFrame, contacts: DataFrame, classes: DataFrame, me: str = "") -> dict[str, Filter]:
+    """The filters of the list of firms (is_exempt, regulator, names, city, state, raum, status, owner, hires_12m).
+
+    ``members`` has list_id, ``scores`` product and status, ``classes`` category; ``signals`` are keys as
+    ``open_signals`` gives them.
+    """
+    scored = scores.filter("status = 'scored'")
+    register = {"ERA": where(lambda _: F.col("is_exempt")), "all": lambda df, _: df} | {r: where(lambda _, r=r: ~F.col("is_exempt") & (F.col("regulator") == r)) for r in ("SEC", "STATE")}
+    listed = lambda df, v: exists(scored, key, negate=lambda _: v == "none")(df, True) if v in ("any", "none") else exists(scored, key, lambda p: F.col("product") == p)(df, v)
+    return {
+        "q": any_contains(["legal_name", "business_name", "city"], [key]),
+        "register": lambda df, v: register.get(v, where(lambda _: ~F.col("is_exempt")))(df, v),
+        "state": equals("state"),
+        "size": above_below("raum"),
+        "list": listed,
+        "member_of": exists(members, key, lambda v: F.col("list_id") == v),
+        "status": equals("status"),
+        "owner": owner("owner", me),
+        "signal": choice({"open": exists(signals, key)}),
+        "hires": at_least("hires_12m"),
+        "reach": reach_filters(contacts, key),
+        "category": exists(classes, key, lambda v: F.col("category") == v),
+    }
+
+
+def list_filters(key: str, signals: DataFrame, contacts: DataFrame, classes: DataFrame, postings: DataFrame, me: str = "") -> dict[str, Filter]:
+    """The filters of a product's list: scored rows (product, state_of_score, coverage) with the columns of firms."""
+    coverage = choice({"full": where(lambda _: F.col("coverage") >= 90), "most": where(lambda _: F.col("coverage") >= 70), "gaps": where(lambda _: F.col("coverage") < 70)})
+    working = where(lambda v: ~F.coalesce("status", F.lit("")).isin("disqualified", "customer") if v == "open" else F.col("status") == v)
+    return {
+        "product": equals("product"),
+        "state_of_score": equals("state_of_score"),
+        "q": any_contains(["legal_name", "business_name", "city"], [key]),
+        "state": equals("state"),
+        "owner": owner("owner", me),
+        "status": working,
+        "signal": lambda df, v: exists(signals, key)(df, True) if v else df,
+        "reach": reach_filters(contacts, key),
+        "coverage": coverage,
+        "size": at_least("raum"),
+        "category": exists(classes, key, lambda v: F.col("category") == v),
+        "hiring": lambda df, v: exists(postings.filter("active"), key)(df, True) if v else df,
+    }
+
+
+def people_filters(key: str, scores: DataFrame, as_of: str, title: Callable[[Column, str], Column]) -> dict[str, Filter]:
+    """The filters of the list of people (name, firm, state, priority, is_leader, is_officer, start_date, cfp, cfa,
+    has_disclosure, raum, category, src, desig, title); ``title`` tells whether a title fits typed words."""
+    scored = scores.filter("status = 'scored'")
+    return {
+        "q": any_contains(["name", "firm"], [key]),
+        "state": equals("state"),
+        "on": lambda df, v: df.filter("priority is not null") if v == "any" else exists(scored, key, lambda p: F.col("product") == p)(df, v),
+        "role": choice({"leader": where(lambda _: F.col("is_leader")), "officer": where(lambda _: F.col("is_officer"))}),
+        "joined": where(lambda days: F.col("start_date") >= F.date_sub(F.lit(as_of).cast("date"), int(days))),
+        "credential": choice({"cfp": where(lambda _: F.col("cfp")), "cfa": where(lambda _: F.col("cfa"))}),
+        "disclosure": lambda df, v: df.filter("has_disclosure") if v else df,
+        "size": at_least("raum"),
+        "category": equals("category"),
+        "src": equals("src"),
+        "designations": where(lambda v: F.arrays_overlap("desig", F.array(*map(F.lit, v)))),
+        "title": where(lambda v: title(F.col("title"), v)),
+    }
+
+
 def search(df: DataFrame, filters: Mapping[str, Filter], spec: Mapping[str, object]) -> tuple[DataFrame, list[str]]:
     """The rows for which every filter of the spec holds, and a description of what was applied.
 

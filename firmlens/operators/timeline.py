@@ -34,23 +34,17 @@ def movement_events(spans: DataFrame, tracked: DataFrame, person: str, org: str,
 
 def came_from(spans: DataFrame, person: str, org: str, start: str, end: str, lo: int = -730, hi: int = 90) -> DataFrame:
     """Each stint with from_<org>: the person's other stint whose end is nearest its start, from 730 days before to 90 after."""
-    other = spans.filter(F.col(end).isNotNull()).select(person, F.col(end).alias("moved"), F.col(org).alias("other"))
-    r = other.withColumnsRenamed({person: "_k", "moved": "_at"})
-    rows = spans.withColumn("_rid", F.monotonically_increasing_id())
-    met = rows.join(r, (F.col(person) == F.col("_k")) & (F.col("other") != F.col(org)) & F.datediff("_at", start).between(lo, hi), "left")
-    best = first_per_key(met, ["_rid"], [F.abs(F.datediff("_at", start)).asc_nulls_last(), F.col("_at").desc_nulls_last(), F.col("other").asc_nulls_last()])
-    return best.select(*spans.columns, F.col("other").alias(f"from_{org}"))
+    other = spans.filter(F.col(end).isNotNull()).select(person, F.col(end).alias("_end"), org).distinct()
+    return nearest_join(spans, other, person, start, "_end", lo, hi, [org], ["_end"], other_than=org, prefix="from_")
 
 
 def went_to(spans: DataFrame, person: str, org: str, start: str, end: str, lo: int = -90, hi: int = 730) -> DataFrame:
     """Each ended stint with to_<org>: the other stint with the nearest start, a current one first on ties; else the open stint that started last."""
-    rows = spans.filter(F.col(end).isNotNull()).withColumn("_rid", F.monotonically_increasing_id())
-    r = spans.select(F.col(person).alias("_k"), F.col(start).alias("_at"), F.col(end).isNull().alias("_open"), F.col(org).alias("other"))
-    met = rows.join(r, (F.col(person) == F.col("_k")) & (F.col("other") != F.col(org)) & F.datediff("_at", end).between(lo, hi), "left")
-    best = first_per_key(met, ["_rid"], [F.abs(F.datediff("_at", end)).asc_nulls_last(), F.col("_open").desc_nulls_last(), F.col("_at").desc_nulls_last(), F.col("other").asc_nulls_last()])
-    latest = first_per_key(r.filter("_open"), ["_k"], [F.col("_at").desc_nulls_last(), F.col("other")]).select(F.col("_k").alias("_p"), F.col("other").alias("_latest"))
+    other = spans.select(person, F.col(start).alias("_start"), F.col(end).isNull().alias("_open"), org).distinct()
+    best = nearest_join(spans.filter(F.col(end).isNotNull()), other, person, end, "_start", lo, hi, [org], ["_open", "_start"], other_than=org, prefix="_to_")
+    latest = first_per_key(other.filter("_open"), [person], [F.col("_start").desc_nulls_last(), F.col(org)]).select(F.col(person).alias("_p"), F.col(org).alias("_latest"))
     out = best.join(latest, F.col(person) == F.col("_p"), "left")
-    return out.select(*spans.columns, F.coalesce("other", F.when(F.col("_latest") != F.col(org), F.col("_latest"))).alias(f"to_{org}"))
+    return out.select(*spans.columns, F.coalesce(f"_to_{org}", F.when(F.col("_latest") != F.col(org), F.col("_latest"))).alias(f"to_{org}"))
 
 
 def windows_12m(events: DataFrame, group: str, date: str, as_of: Column, who: str | None = None) -> DataFrame:
@@ -205,3 +199,56 @@ def recent_moves(events: DataFrame, as_of: Column, days: int, limit: int, date:
 def flows(events: DataFrame, source: str, target: str, person: str) -> DataFrame:
     """(source, target, people) between organisations."""
     return events.filter(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(source, target).agg(F.countDistinct(person).alias("people"))
+
+
+def capacity_growth(assets_now: Column, assets_before: Column, advisors_now: Column, advisors_before: Column) -> Column:
+    """Growth of assets per advisor: the ratio of the two ratios less one; null without a part or with a zero below."""
+    ratio = lambda a, b: a / F.nullif(b, F.lit(0))
+    return ratio(ratio(assets_now, advisors_now), ratio(assets_before, advisors_before)) - 1
+
+
+def firm_growth(firms: DataFrame, pairs: DataFrame, team: DataFrame, departed: DataFrame, veterans: DataFrame, places: DataFrame, lifts: DataFrame, events: DataFrame, as_of: Column, entity: str = "entity_id") -> DataFrame:
+    """The growth row of every firm, with its nested detail.
+
+    ``pairs`` has one row for each entity with now and before of raum, clients and advisors and the days
+    between; ``team`` entity, person, kind (joined, left) and date; ``departed`` entity, name, tenure and
+    senior; ``veterans`` entity, n30 and people; ``places`` entity, city, state of new offices; ``lifts``
+    entity, org and n; ``events`` entity, type and date. A rate over more than 456 days is a yearly one.
+    A firm without rows of a part has null or 0 there. Lists hold at most the 20 first rows by their order,
+    which is the report's size; the counts beside them cover all.
+    """
+    e = F.col(entity)
+    days = F.col("days")
+    annual = lambda now, before: growth_rate(F.col(now), F.col(before), days)
+    change = lambda now, before: F.col(now) / F.nullif(F.col(before), F.lit(0)) - 1
+    capacity = lambda: capacity_growth(F.col("raum_now"), F.col("raum_before"), F.col("advisors_now"), F.col("advisors_before"))
+    rates = pairs.select(
+        e.alias("_pairs"),
+        "days",
+        *(F.round(change(f"{m}_now", f"{m}_before"), 6).alias(f"{m}_change") for m in ("raum", "clients", "advisors")),
+        *(F.round(annual(f"{m}_now", f"{m}_before"), 6).alias(f"{m}_rate") for m in ("raum", "clients", "advisors")),
+        F.round(capacity(), 6).alias("capacity_change"),
+    )
+    age = F.datediff(as_of, F.col("date"))
+    moves = team.groupBy(e.alias("_team")).agg(*(F.countDistinct(F.when((F.col("kind") == k) & (age >= lo) & (age < lo + 365), F.col("person"))).alias(f"{k}_{w}") for k in ("joined", "left") for w, lo in (("12m", 0), ("prior_12m", 365))))
+
+    def nested(df: DataFrame, order: Sequence[str], cols: Sequence[str], name: str, *counts: Column) -> DataFrame:
+        ranked = top_n_per_key(df, entity, [*(F.desc_nulls_last(o) for o in order), *(F.asc_nulls_last(c) for c in cols)], 20, "_at")
+        rows = ranked.groupBy(e.alias(f"_{name}")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", *cols))), lambda r: F.struct(*(r[c].alias(c) for c in cols))).alias(name))
+        return rows.join(df.groupBy(e.alias("_of")).agg(F.count("*").alias(f"n_{name}"), *counts), F.col(f"_{name}") == F.col("_of")).drop("_of")
+
+    recent = events.filter((age >= 0) & (age < 365))
+    parts = [
+        (rates, "_pairs"),
+        (moves, "_team"),
+        (nested(departed, ["senior", "tenure"], ["name", "tenure", "senior"], "departures", F.count_if("senior").alias("departures_senior")), "_departures"),
+        (veterans.select(e.alias("_veterans"), "n30", "people", F.round(F.col("n30") / F.nullif(F.col("people"), F.lit(0)), 6).alias("veteran_share")), "_veterans"),
+        (nested(places, [], ["state", "city"], "locations"), "_locations"),
+        (nested(lifts, ["n"], ["org", "n"], "lift_outs"), "_lift_outs"),
+        (nested(recent, ["date"], ["type", "date"], "events"), "_events"),
+    ]
+    out = firms
+    for frame, key in parts:
+        out = out.join(frame, e == F.col(key), "left").drop(key)
+    zero = [c for c in out.columns if c.startswith(("n_", "joined_", "left_")) or c == "departures_senior"]
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero} | {"net_12m": F.coalesce("joined_12m", F.lit(0)) - F.coalesce("left_12m", F.lit(0))})

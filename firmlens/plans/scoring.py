@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.frames import mode_by
-from ..operators import classify as C, incremental as N, joins as J, resolve as R, scoring as K
-from .tables import as_of, lineitem, orders, read
+from ..operators import classify as C, factors as X, incremental as N, joins as J, resolve as R, scoring as K
+from .tables import AS_OF, as_of, lineitem, orders, read
 
 SQL: dict[str, str] = {}
 
@@ -231,4 +231,97 @@ def suppression(spark: SparkSession, d: str) -> DataFrame:
 SQL["suppression"] = """WITH l AS (SELECT DISTINCT 'firm' AS scope, CAST(s_nationkey AS VARCHAR) AS value FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT 'phone', lpad(CAST(s_suppkey % 1000 AS VARCHAR), 4, '0') FROM supplier WHERE s_acctbal < 500 UNION SELECT 'domain', 'building.example' FROM supplier WHERE s_suppkey = 3)
 SELECT c_custkey, concat_ws('|', CASE WHEN lower(c_mktsegment) || '.example' IN (SELECT value FROM l WHERE scope = 'domain') THEN 'domain' END, CASE WHEN CAST(c_nationkey AS VARCHAR) IN (SELECT value FROM l WHERE scope = 'firm') THEN 'firm' END, CASE WHEN lpad(CAST(c_custkey % 1000 AS VARCHAR), 4, '0') IN (SELECT value FROM l WHERE scope = 'phone') THEN 'phone' END) AS scopes_hit FROM customer"""
 
-QUERIES = {f.__name__: f for f in (name_match, alias_match, concentration, cascade_match, pattern_vote, ambiguous_keys, segment, decision_list, score_products, scope, list_kpis, score_summary, pivot_scores, rerank_delta, title_search, suppression)}
+
+
+def _factor_features(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in the part of firms: orders stand for assets, urgent ones for wealthy clients, priorities for tags."""
+    o = orders(spark, d).withColumn("urgent", F.col("o_orderpriority") == "1-URGENT")
+    year = F.datediff(as_of(), F.col("odate"))
+    sums = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.sum("price").cast("double").alias("raum"), F.sum(F.when(F.col("urgent"), F.col("price")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double").alias("hnw_aum"), F.count_if("urgent").cast("double").alias("hnw_clients"), F.count("*").cast("double").alias("clients_total"),
+        F.count_if((year >= 0) & (year < 365)).cast("double").alias("team_now"), F.count_if((year >= 365) & (year < 730)).cast("double").alias("team_before"),
+    )
+    c = read(spark, d, "customer")
+    k = F.col("c_custkey")
+    firms = c.select(
+        "c_custkey", (k % 30).cast("double").alias("iar_count"), (k % 3).cast("double").alias("fund_count"), F.when(k % 4 > 0, k % 2 == 0).alias("brochure_read"), F.when(k % 7 < 4, F.element_at(F.array(*map(F.lit, ("customer", "qualified", "meeting set", "new"))), (k % 7 + 1).cast("int"))).alias("status"),
+        F.when(k % 6 > 0, (k % 6 - 1).cast("double")).alias("postings"), F.when(k % 5 > 0, F.element_at(F.array(*map(F.lit, ("page", "no_openings", "unreachable", "none"))), (k % 5).cast("int"))).alias("careers"), (F.col("c_acctbal") / 10000).alias("aum_rate"), (k % 9).cast("double").alias("new_states"), (k % 11 == 0).alias("first_fund"), (k % 8 > 0).alias("growth_loaded"),
+        (k % 13 == 0).alias("is_exempt"), F.when(k % 10 > 0, F.lit("SEC")).otherwise(F.lit("STATE")).alias("regulator"), F.when(k % 12 == 0, F.lit("competitor")).alias("segment"),
+    )
+    tag = F.element_at(F.create_map(*(F.lit(x) for pair in (("1-URGENT", "income"), ("2-HIGH", "tax"), ("3-MEDIUM", "exchange_1031"), ("4-NOT SPECIFIED", "illiquid"), ("5-LOW", "referrals")) for x in pair)), F.col("o_orderpriority"))
+    tags = o.groupBy(F.col("o_custkey").alias("c_custkey"), tag.alias("tag")).agg((F.count("*") > 1).alias("present"), F.count("*").alias("hits"), F.countDistinct(F.year("odate")).alias("phrases")).withColumn("sections", F.array(F.lit(4)))
+    return X.assemble_features(firms, "c_custkey", [sums], tags)
+
+
+#: Factors of the query with the parameters of those with bands.
+_FACTORS = {
+    **{k: {} for k in ("hnw_fit", "portfolio_need", "exchange_frequency", "repeat_potential", "relationship_strength", "referral_potential", "check_size", "decision_speed", "advisor_count", "team_growth", "asset_growth", "expansion", "open_roles")},
+    "clients_per_advisor": {"bands": [(0.5, 100), (0.1, 60)], "damping": [(150000, 1.0), (100000, 0.5)]},
+}
+
+
+def factor_points(spark: SparkSession, d: str) -> DataFrame:
+    rated = X.with_factors(_factor_features(spark, d), _FACTORS)
+    rows = F.array(*(F.struct(F.lit(k).alias("factor"), F.col(f"f_{k}.points").alias("points"), F.col(f"f_{k}.known").alias("known")) for k in _FACTORS))
+    return rated.select("c_custkey", F.inline(rows))
+
+
+_FEATURES = f"""o AS (SELECT o_custkey AS c_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS raum, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS hnw, count(*) FILTER (o_orderpriority = '1-URGENT') AS hn, count(*) AS n,
+ count(*) FILTER (date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') BETWEEN 0 AND 364) AS now, count(*) FILTER (date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') BETWEEN 365 AND 729) AS before FROM orders GROUP BY 1),
+t AS (SELECT o_custkey, o_orderpriority AS p, count(*) AS hits, count(DISTINCT year(o_orderdate)) AS phrases FROM orders GROUP BY ALL),
+g AS (SELECT o_custkey, max(CASE WHEN p = '1-URGENT' THEN hits ELSE 0 END) AS income, max(CASE WHEN p = '2-HIGH' THEN hits ELSE 0 END) AS tax, max(CASE WHEN p = '3-MEDIUM' THEN hits ELSE 0 END) AS ex, max(CASE WHEN p = '3-MEDIUM' THEN phrases ELSE 0 END) AS exp, max(CASE WHEN p = '4-NOT SPECIFIED' THEN hits ELSE 0 END) AS ill, max(CASE WHEN p = '5-LOW' THEN hits ELSE 0 END) AS ref FROM t GROUP BY 1),
+f AS (SELECT c.c_custkey, c.c_custkey AS k, c_acctbal / 10000 AS rate, o.*, coalesce(income, 0) AS income, coalesce(tax, 0) AS tax, coalesce(ex, 0) AS ex, coalesce(exp, 0) AS exp, coalesce(ill, 0) AS ill, coalesce(ref, 0) AS ref, coalesce(c.c_custkey % 4 > 0 AND c.c_custkey % 2 = 0, false) AS isread, coalesce(hnw / nullif(hn, 0), 0) AS av, hnw / nullif(raum, 0) AS share FROM customer c LEFT JOIN o ON o.c_custkey = c.c_custkey LEFT JOIN g ON g.o_custkey = c.c_custkey)"""
+_POINTS = {
+    "hnw_fit": "CASE WHEN coalesce(raum, 0) > 0 THEN CASE WHEN share >= 0.6 AND av >= 2e6 THEN 100 WHEN share >= 0.4 THEN 75 WHEN share >= 0.2 THEN 50 ELSE 25 END END",
+    "portfolio_need": "CASE WHEN income > 1 AND tax > 1 THEN 80 WHEN income > 1 THEN 55 WHEN isread THEN 25 END",
+    "exchange_frequency": "CASE WHEN ex > 1 AND (ex >= 5 OR exp >= 3) THEN 60 WHEN ex > 1 THEN 28 WHEN isread THEN 0 END",
+    "repeat_potential": "CASE WHEN k % 30 >= 10 OR coalesce(hn, 0) >= 200 THEN 100 WHEN k % 30 >= 3 OR coalesce(hn, 0) >= 50 THEN 40 ELSE 0 END",
+    "relationship_strength": "CASE k % 7 WHEN 0 THEN 100 WHEN 1 THEN 70 WHEN 2 THEN 70 ELSE 0 END",
+    "referral_potential": "CASE WHEN ref > 1 AND coalesce(n, 0) >= 50 THEN 100 WHEN ref > 1 THEN 50 WHEN isread THEN 0 END",
+    "check_size": "CASE WHEN coalesce(raum, 0) >= 2e9 OR av >= 5e7 THEN 100 WHEN coalesce(raum, 0) >= 5e8 THEN 75 ELSE 40 END",
+    "decision_speed": "CASE WHEN k % 3 > 0 THEN 100 END",
+    "advisor_count": "CASE WHEN k % 30 >= 25 THEN 100 WHEN k % 30 >= 10 THEN 70 WHEN k % 30 >= 5 THEN 40 ELSE 10 END",
+    "team_growth": "CASE WHEN now IS NOT NULL THEN CASE WHEN gr >= 0.25 OR now - before >= 10 THEN 100 WHEN gr >= 0.15 OR now - before >= 5 THEN 85 WHEN gr >= 0.08 THEN 65 WHEN gr >= 0.03 THEN 45 WHEN now > before THEN 30 WHEN now = before THEN 10 ELSE 0 END END",
+    "asset_growth": "CASE WHEN rate >= 0.3 THEN 100 WHEN rate >= 0.2 THEN 85 WHEN rate >= 0.1 THEN 65 WHEN rate >= 0.05 THEN 45 WHEN rate > 0 THEN 25 WHEN rate IS NOT NULL THEN 0 END",
+    "expansion": "CASE WHEN k % 8 > 0 THEN (CASE WHEN k % 9 >= 2 THEN 30 WHEN k % 9 = 1 THEN 20 ELSE 0 END) + (CASE WHEN k % 11 = 0 THEN 20 ELSE 0 END) END",
+    "open_roles": "CASE WHEN k % 6 > 0 AND k % 6 - 1 >= 3 THEN 100 WHEN k % 6 > 0 AND k % 6 - 1 >= 1 THEN 80 WHEN k % 6 = 0 AND k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 20 WHEN k % 5 = 2 THEN 10 WHEN k % 5 = 3 THEN NULL ELSE 0 END",
+    "clients_per_advisor": "CASE WHEN k % 30 > 0 THEN round((CASE WHEN coalesce(hn, 0) / (k % 30) >= 0.5 THEN 100 WHEN coalesce(hn, 0) / (k % 30) >= 0.1 THEN 60 ELSE 0 END) * (CASE WHEN av >= 150000 THEN 1 WHEN av >= 100000 THEN 0.5 ELSE 0.25 END), 1) END",
+}
+SQL["factor_points"] = f"WITH {_FEATURES}, r AS (SELECT *, CASE WHEN before > 0 THEN (now - before) / before WHEN now > before THEN 1 ELSE 0 END AS gr FROM f), p AS (" + " UNION ALL ".join(f"SELECT k AS c_custkey, '{k}' AS factor, CAST({e} AS DOUBLE) AS points FROM r" for k, e in _POINTS.items()) + ") SELECT c_custkey, factor, coalesce(points, 0) AS points, points IS NOT NULL AS known FROM p"
+
+
+def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    gates = [X.gate("registered"), X.gate("raum_range", low=200_000, high=3_000_000), X.gate("no_private_funds"), X.gate("partner_type", tags=["income", "tax"])]
+    out = X.apply_gates(_factor_features(spark, d), gates, [X.disqualifier("bans_illiquid"), X.disqualifier("re_competitor"), X.disqualifier("exempt_reporting")])
+    return out.select("c_custkey", "failed_gate", "removed_by")
+
+
+SQL["gate_verdicts"] = f"""WITH {_FEATURES} SELECT k AS c_custkey, CASE WHEN k % 13 = 0 OR k % 10 = 0 THEN 'registered' WHEN coalesce(raum, 0) < 200000 OR coalesce(raum, 0) >= 3000000 THEN 'raum_range' WHEN k % 3 > 0 THEN 'no_private_funds' WHEN income <= 1 AND tax <= 1 THEN 'partner_type' END AS failed_gate,
+CASE WHEN ill = 1 THEN 'bans_illiquid' WHEN k % 12 = 0 THEN 're_competitor' WHEN k % 13 = 0 THEN 'exempt_reporting' END AS removed_by FROM f"""
+
+
+def known_entity(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").select("p_name", "p_brand", "p_type")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    found = R.known_entity(words, "w", [("first", "blue"), ("second", "green"), ("third", "red")], [("vowel", "^[aeiou]"), ("ends in k", "k$")])
+    return found.select("w", "n", "known_entity", F.col("known_strength").cast("long").alias("known_strength"))
+
+
+SQL["known_entity"] = """WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1)
+SELECT w, n, CASE WHEN lower(w) = 'blue' THEN 'first' WHEN lower(w) = 'green' THEN 'second' WHEN lower(w) = 'red' THEN 'third' WHEN regexp_matches(lower(w), '^[aeiou]') THEN 'vowel' WHEN regexp_matches(lower(w), 'k$') THEN 'ends in k' END AS known_entity,
+CAST(CASE WHEN lower(w) IN ('blue', 'green', 'red') THEN 1000 + length(w) WHEN regexp_matches(lower(w), '^[aeiou]') THEN 8 WHEN regexp_matches(lower(w), 'k$') THEN 2 END AS BIGINT) AS known_strength FROM w"""
+
+
+def officer_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a roster (segment as surname) and suppliers as officers of the same nation."""
+    seg = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")
+    roster = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("org"), F.col("c_mktsegment").alias("last"), F.element_at(F.array(*map(F.lit, ("Annabel", "Robert", "Maria"))), (F.col("c_custkey") % 3 + 1).cast("int")).alias("first"))
+    who = F.concat(F.element_at(F.array(*map(F.lit, seg)), (F.col("s_suppkey") % 5 + 1).cast("int")), F.lit(", "), F.element_at(F.array(*map(F.lit, ("ANN", "ROB", "JO", "MARY"))), (F.col("s_suppkey") % 4 + 1).cast("int")))
+    officers = read(spark, d, "supplier").select(F.col("s_nationkey").alias("org"), who.alias("name"), F.concat(F.lit("officer "), F.col("s_suppkey").cast("string")).alias("title"))
+    return R.officer_titles(roster, officers, "org").select("c_custkey", "officer_title")
+
+
+SQL["officer_titles"] = """WITH s AS (SELECT s_nationkey, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][s_suppkey % 5 + 1] AS l, ['ANN', 'ROB', 'JO', 'MAR'][s_suppkey % 4 + 1] AS f, min('officer ' || s_suppkey) AS t FROM supplier GROUP BY ALL)
+SELECT c_custkey, t AS officer_title FROM customer LEFT JOIN s ON s_nationkey = c_nationkey AND l = c_mktsegment AND f = ['ANN', 'ROB', 'MAR'][c_custkey % 3 + 1]"""
+
+QUERIES = {f.__name__: f for f in (name_match, alias_match, concentration, cascade_match, pattern_vote, ambiguous_keys, segment, decision_list, score_products, scope, list_kpis, score_summary, pivot_scores, rerank_delta, title_search, suppression, factor_points, gate_verdicts, known_entity, officer_titles)}

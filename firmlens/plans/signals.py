@@ -156,10 +156,10 @@ def stints(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "event_type", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"), "n")
 
 
-_STINTS = """d AS (SELECT user_id, event_type, CAST(ts AS DATE) AS s FROM events),
+_STINTS = """d AS (SELECT user_id, event_type, CAST(ts AS DATE) AS s, count(*) AS k FROM events GROUP BY ALL),
 m AS (SELECT *, CASE WHEN max(s) OVER w IS NULL OR date_diff('day', max(s) OVER w, s) > 2 THEN 1 ELSE 0 END AS fresh FROM d WINDOW w AS (PARTITION BY user_id, event_type ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM m),
-st AS (SELECT user_id, event_type, min(s) AS start_date, max(s) AS end_date, count(*) AS n FROM i GROUP BY user_id, event_type, island)"""
+st AS (SELECT user_id, event_type, min(s) AS start_date, max(s) AS end_date, CAST(sum(k) AS BIGINT) AS n FROM i GROUP BY user_id, event_type, island)"""
 SQL["stints"] = f"WITH {_STINTS} SELECT user_id, event_type, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date, n FROM st"
 
 

@@ -183,9 +183,9 @@ def parse_holdings(docs: DataFrame, targets: DataFrame, filing: str = "filing",
 
     Ids have nine characters; numbers are digits only. ``targets`` (security_id, target) is joined by id.
     """
-    blocks = F.regexp_extract_all(text, F.lit(r"(?is)<(?:\w+:)?infoTable>(.*?)</(?:\w+:)?infoTable>"), F.lit(1))
+    blocks = F.regexp_extract_all(text, F.lit(r"(?is)<(?:\w+:)?infoTable(?:\s[^>]*)?>(.*?)</(?:\w+:)?infoTable>"), F.lit(1))
     rows = docs.select(filing, F.explode(blocks).alias("b"))
-    pick = lambda tag: F.trim(F.regexp_extract("b", rf"(?is)<(?:\w+:)?{tag}>(.*?)</(?:\w+:)?{tag}>", 1))
+    pick = lambda tag: F.trim(F.regexp_extract("b", rf"(?is)<(?:\w+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{tag}>", 1))
     digits = lambda tag: F.nullif(F.regexp_replace(pick(tag), "[^0-9]", ""), F.lit("")).cast("long")
     typed = rows.select(filing, F.upper(pick("cusip")).alias("security_id"), pick("nameOfIssuer").alias("issuer"), digits("value").alias("value"), digits("sshPrnamt").alias("shares")).filter(F.length("security_id") == 9)
     totals = typed.groupBy(filing).agg(F.count("*").alias("positions"), F.sum("value").alias("total"), F.round(F.max("value") / F.nullif(F.sum("value"), F.lit(0)), 6).alias("largest_share"))
@@ -233,21 +233,31 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
+_POINTER = "version string, number long"
+
+
 def publish(df: DataFrame, path: str) -> str:
     """Write a new version of a table below ``path`` and then point to it; readers see the old one or the new one, whole.
 
-    Returns the version. The pointer is a file of its own that is replaced last.
+    Returns the version. The pointer is written last, with the number after the greatest that is there.
     """
     spark = df.sparkSession
     version = uuid.uuid4().hex
     df.write.parquet(f"{path}/versions/{version}")
-    pointer = spark.createDataFrame([(version,)], "version string").coalesce(1)
+    pointer = spark.createDataFrame([(version, _last_number(spark, path) + 1)], _POINTER).coalesce(1)
     pointer.write.mode("append").parquet(f"{path}/pointers")
     return version
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """The version that was published last."""
-    named = spark.read.parquet(f"{path}/pointers").select("version", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"))
-    version = named.orderBy(F.desc("at"), F.desc("file")).first().version
+    """The version with the greatest number; of two that were published at once under one number the greater name."""
+    version = spark.read.schema(_POINTER).parquet(f"{path}/pointers").orderBy(F.desc("number"), F.desc("version")).first().version
     return spark.read.parquet(f"{path}/versions/{version}")
+
+
+def _last_number(spark: SparkSession, path: str) -> int:
+    """The greatest number of a published version, 0 before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0
+    return spark.read.schema(_POINTER).parquet(f"{path}/pointers").agg(F.max("number")).first()[0] or 0

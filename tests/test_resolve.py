@@ -31,7 +31,11 @@ def test_dates_places_hosts(spark):
     assert one(spark, N.place_key(F.col("c"), F.col("s")), c="St. Louis", s="mo") == "SAINT LOUIS|MO"
     assert one(spark, N.place_key(F.col("c"), F.col("s")), c="Paris", s="France") is None
     assert one(spark, N.host(F.col("u")), u="WWW.Example.com/x") == "example.com"
-    assert one(spark, N.display_name(F.col("n")), n="BANK OF o'neil mcdonald llc") == "Bank of O'Neil McDonald LLC"
+    show = lambda n: one(spark, N.display_name(F.col("n")), n=n)
+    assert show("BANK OF O'NEIL MCDONALD LLC") == "Bank of O'Neil McDonald LLC"
+    assert [show(x) for x in ("eBay", "PGIM", "CONSULTING,LLC", "UBS SUN CAPITAL, INC.", "A.B.C. TRUST")] == ["eBay", "PGIM", "Consulting, LLC", "UBS Sun Capital, Inc.", "A.B.C. Trust"]
+    assert show(None) is None
+    assert [one(spark, N.name_key(F.col("n")), n=x) for x in ("RAY, ANN", "Ray", "", None)] == ["ann ray", None, None, None]
 
 
 def test_match_people(spark):
@@ -41,6 +45,44 @@ def test_match_people(spark):
     assert got == {"a": "1", "b": "1", "c": "3"}
 
 
+def test_match_people_rules(spark):
+    schema = "person string, org string, first string, middle string, last string, current boolean, other_names array<string>"
+    roster = spark.createDataFrame(
+        [
+            ("1", "o", "James", None, "Smith", True, None),
+            ("2", "o", "J", "Michael", "Stone", False, None),
+            ("3", "o", "Ann", "Q", "de la Cruz-Lopez", True, None),
+            ("4", "o", "Maria", None, "Novak", False, ["Mary Jones"]),
+            ("5", "p", "Tom", "A", "Reed", True, None),
+            ("6", "p", "Tom", "B", "Reed", True, None),
+            ("7", "p", "Tom", None, None, True, None),
+        ],
+        schema,
+    )
+    names = spark.createDataFrame(
+        [
+            ("a", "o", "John", None, "Smith"),  # another first name of the same initial is nobody
+            ("b", "o", "Michael", None, "Stone"),  # by the middle name
+            ("c", "o", "Ann", None, "Lopez"),  # a shared word of the surname
+            ("d", "o", "Mary", None, "Jones"),  # an alias
+            ("e", "p", "Tom", None, "Reed"),  # two of the name
+            ("f", "p", "Tom", "A", "Reed"),
+            ("g", "p", "Tom", "C", "Reed"),  # another middle name
+            ("h", "p", None, None, None),
+        ],
+        "name_id string, org string, first string, middle string, last string",
+    )
+    got = {r.name_id: (r.person, r.score) for r in R.match_people(names, roster, "org").collect()}
+    assert got == {"b": ("2", 4.0), "c": ("3", 5.5), "d": ("4", 5.75), "f": ("5", 7.5)}
+
+
+def test_eligibility_nulls(spark):
+    people = spark.createDataFrame([(1, None, "x@a", None), (2, None, "y@a", None), (3, "i", "z@a", None), (4, "i", "w@a", None), (5, "j", "x@a", None), (6, "k", None, None)], "row int, ind string, addr string, suppressed_by string")
+    history = spark.createDataFrame([], "ind string, sent_on date")
+    got = {r.row: r.reason for r in P.eligibility(people, "row", "ind", "addr", [F.asc("row")], history, 30, F.lit("2024-01-01").cast("date")).collect()}
+    assert got == {1: "eligible", 2: "eligible", 3: "eligible", 4: "individual already in this batch", 5: "address already in this batch", 6: "no address"}
+
+
 def test_learn_pattern_and_ambiguity(spark):
     pairs = spark.createDataFrame([("o", "Ann", "Ray", "aray@x.com"), ("o", "Bob", "Lee", "blee@x.com"), ("o", "Cy", "Fox", "cy@x.com")], "org string, f string, l string, a string")
     assert tuple(R.learn_pattern(pairs, "org", "f", "l", "a").first()) == ("o", "flast", 2)

@@ -47,7 +47,7 @@ def test_archive_texts_and_offerings(spark, tmp_path):
     assert [(r.entity_id, r.name, r.assets) for r in rows] == [("7", "Acme", 12), (None, None, None)] and '"Name"' not in rows[1].raw
     lines = spark.createDataFrame([("13F-HR      A VERY LONG NAME THAT OVERFLOWS CO  1234567  2024-02-01  edgar/data/1.txt",), ("10-K  X  1  2024-01-01  y",)], "value string")
     assert [(r.company, r.cik, str(r.filed)) for r in A.parse_form_index(lines, "2024Q1").collect()] == [("A VERY LONG NAME THAT OVERFLOWS CO", "0001234567", "2024-02-01")]
-    doc = "<ns1:infoTable><ns1:nameOfIssuer>A</ns1:nameOfIssuer><ns1:cusip>123456789</ns1:cusip><ns1:value>1,000</ns1:value></ns1:infoTable><infoTable><cusip>12</cusip><value>5</value></infoTable><infoTable><cusip>987654321</cusip><value>3000</value></infoTable>"
+    doc = "<ns1:infoTable><ns1:nameOfIssuer>A</ns1:nameOfIssuer><ns1:cusip>123456789</ns1:cusip><ns1:value>1,000</ns1:value></ns1:infoTable><infoTable><cusip>12</cusip><value>5</value></infoTable><infoTable id='1'><cusip x='2'>987654321</cusip><value>3000</value></infoTable>"
     held, totals = A.parse_holdings(spark.createDataFrame([("f", doc)], "filing string, text string"), spark.createDataFrame([("123456789", "T")], "security_id string, target string"))
     assert [(r.target, r.value) for r in held.collect()] == [("T", 1000)]
     assert tuple(totals.first()) == ("f", 2, 4000, 0.75)

@@ -54,3 +54,12 @@ def test_latest_before_is_strict(spark):
     right = spark.createDataFrame([("k", 5, "same"), ("k", 3, "three"), ("k", 2, "two")], "k string, u int, v string")
     got = {r.t: r.before_v for r in J.latest_before(left, right, "k", "t", "u", ["v"]).collect()}
     assert got == {5: "three", 1: None}
+
+
+def test_active_and_last_start(spark):
+    spans = spark.createDataFrame([("p", D("2019-01-01"), D("2020-06-01")), ("p", D("2020-03-01"), None)], "p string, s date, e date")
+    got = sorted((r.s, str(r.day)) for r in J.active_at(spans, ["2019-12-31", "2020-12-31"], "s", "e", "day").collect())
+    assert got == [(D("2019-01-01"), "2019-12-31"), (D("2020-03-01"), "2020-12-31")]
+    events = spark.createDataFrame([("p", D("2018-01-01")), ("p", D("2020-03-01")), ("p", D("2020-03-01")), ("q", D("2020-01-01"))], "p string, at date")
+    found = sorted((r.p, r.at, str(r.span_start)) for r in J.last_start_before(events, spans, ["p"], "at", "s").collect())
+    assert found == [("p", D("2018-01-01"), "None"), ("p", D("2020-03-01"), "2020-03-01"), ("p", D("2020-03-01"), "2020-03-01"), ("q", D("2020-01-01"), "None")]

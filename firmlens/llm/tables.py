@@ -13,24 +13,17 @@ from . import batches as B
 _BLOCK = 1 << 14
 
 
-def corpus_table(df: DataFrame, size: int, add: Callable[[list[str], np.ndarray], None], text: str = "text") -> np.ndarray:
-    """The sum over all rows of what ``add(texts, table)`` adds to an integer table of ``size`` cells.
+def blocks(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(number, packed cells) of the blocks of an integer table that aren't zero."""
+    whole = np.zeros(-(-len(table) // _BLOCK) * _BLOCK, np.int64)
+    whole[: len(table)] = table
+    parts = whole.reshape(-1, _BLOCK)
+    for at in np.flatnonzero(parts.any(axis=1)):
+        yield int(at), _packed(parts[at])
 
-    Each task holds one table and sends its blocks that aren't zero; a second stage sums the
-    blocks as a stream, one block's cells at a time. The sums are of integers, so they don't
-    depend on the order of rows or tasks. ``size`` is a parameter of the model, not of the data;
-    only the finished table comes to the driver.
-    """
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.zeros(-(-size // _BLOCK) * _BLOCK, np.int64), False
-        for batch in B.cut(it, text):
-            add(B.texts(batch, text), table)
-            seen = True
-        if seen:
-            blocks = table.reshape(-1, _BLOCK)
-            for at in np.flatnonzero(blocks.any(axis=1)):
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_packed(blocks[at])], pa.binary())], names=["block", "cells"])
+def add_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of tables of ``size`` cells that ``parts`` (block, cells) hold in blocks, added up block by block as a stream."""
 
     def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -43,14 +36,35 @@ def corpus_table(df: DataFrame, size: int, add: Callable[[list[str], np.ndarray]
         for at, cells in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["block", "cells"])
 
-    parts = df.select(text).mapInArrow(count, "block int, cells binary")
-    tasks = max(1, min(-(-size // _BLOCK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    out = np.zeros((-(-size // _BLOCK), _BLOCK), np.int64)
+    n = -(-size // _BLOCK)
+    tasks = max(1, min(n, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    out = np.zeros((n, _BLOCK), np.int64)
     for row in parts.repartition(tasks, F.col("block")).mapInArrow(total, "block int, cells binary").collect():
         out[row.block] = np.frombuffer(row.cells, np.int64)
     return out.reshape(-1)[:size]
 
 
+def corpus_table(df: DataFrame, size: int, add: Callable[[list[str], np.ndarray], None], text: str = "text") -> np.ndarray:
+    """The sum over all rows of what ``add(texts, table)`` adds to an integer table of ``size`` cells.
+
+    Each task holds one table and sends its blocks that aren't zero; a second stage sums the
+    blocks as a stream, one block's cells at a time. The sums are of integers, so they don't
+    depend on the order of rows or tasks. ``size`` is a parameter of the model, not of the data;
+    only the finished table comes to the driver.
+    """
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = np.zeros(size, np.int64), False
+        for batch in B.cut(it, text):
+            add(B.texts(batch, text), table)
+            seen = True
+        if seen:
+            for at, cells in blocks(table):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([cells], pa.binary())], names=["block", "cells"])
+
+    return add_up(df.select(text).mapInArrow(count, "block int, cells binary"), size)
+
+
 def _packed(cells: np.ndarray) -> bytes:
     """The cells in the narrowest of 1, 2, 4 and 8 bytes that holds them, after a byte that tells the width."""
     most = int(np.abs(cells).max())

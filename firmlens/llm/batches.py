@@ -83,19 +83,22 @@ def run_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Numbers for words, with a bound: when it is full it starts again.
+    """Numbers for words, with a bound on words and on their characters: when it is full it starts again.
 
     ``fill(new_words, first)`` is called with words that get the numbers from ``first`` on,
     so that the owner keeps what it derives from a word in arrays by number.
     """
 
-    def __init__(self, fill, most: int = 300_000):
-        self.fill, self.most, self.number = fill, most, {}
+    def __init__(self, fill, most: int = 300_000, most_chars: int = 32_000_000):
+        self.fill, self.most, self.most_chars, self.number, self.chars = fill, most, most_chars, {}, 0
 
     def numbers(self, found: list[str]) -> np.ndarray:
         new = set(found).difference(self.number)
-        if len(new) + len(self.number) > self.most:
-            self.number, new = {}, set(found)
+        chars = sum(map(len, new))
+        if len(new) + len(self.number) > self.most or chars + self.chars > self.most_chars:
+            self.number, new, self.chars = {}, set(found), 0
+            chars = sum(map(len, new))
+        self.chars += chars
         if new:
             first, ordered = len(self.number), list(new)
             self.fill(ordered, first)

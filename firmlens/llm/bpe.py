@@ -162,7 +162,7 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.flat, self.used = np.zeros(1024, np.uint32), 0
         self.begin, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.table = B.WordTable(self._fill, 600_000)
+        self.table = B.WordTable(self._fill, 1_200_000)
         self.token_bytes = np.array([(t or "").encode() for t in self.vocabulary.tokens], object)
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

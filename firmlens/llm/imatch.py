@@ -1,9 +1,11 @@
 """I-Match document fingerprints over several randomised lexicon subsets.
 
-Terms are lower-case words, as 62-bit hashes. A first pass counts for every code, a term's hash
-modulo ``CODES``, the documents that have it. The lexicon is the band of codes whose inverse document
-frequency ln(documents / frequency) lies in ``BAND`` (terms that share a code share its frequency);
-a document keeps its distinct terms with codes of the lexicon,
+Terms are lower-case words, as 62-bit hashes. A first pass counts for every term the documents that
+have it. The lexicon is the band of terms whose inverse document frequency ln(documents / frequency)
+lies in ``BAND``. A term of the band is in one of e^7.5 documents at least, so however large the corpus
+is, the lexicon has at most the mean number of terms of a document times e^7.5 of them. It travels as a
+bit for each of ``CODES`` codes, a term's hash modulo that; a term that only shares a code with one of
+the lexicon is taken with it, the same everywhere. A document keeps its distinct terms with such codes,
 sorted (all its terms if it has none of them). At level l the lexicon is dealt at random to 2^l
 disjoint subsets, by the first l bits of a term's hash; a document's fingerprint has one hash for
 each subset in which it has terms, of all its terms there in order. So every kept term is in a
@@ -14,9 +16,8 @@ length can be compared. The likeness of two fingerprints is the share of equal h
 subsets, on levels that both have, in which either has terms.
 
 Null and empty texts have no terms; their fingerprints are equal, with likeness 1 to each other
-and 0 to others. Equal texts have equal fingerprints. An
-input column with the name of a new one gives way to it. Only DataFrame functions are used. The table
-of codes has a fixed size, so the lexicon travels as a constant of ``CODES`` bits.
+and 0 to others. Equal texts have equal fingerprints. An input column with the name of a new one gives
+way to it. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import room
 
-#: Number of codes by which documents are counted.
-CODES = 1 << 18
+#: Number of codes that tell whether a term is in the lexicon.
+CODES = 1 << 20
 #: Least and greatest inverse document frequency of the lexicon (natural logarithm).
 BAND = (2.3, 7.5)
 #: Terms of a document in a subset at least before the next level is taken.
@@ -43,11 +44,10 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(df: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> Column:
-    """The codes in the band over all rows of ``df``, as a constant array of CODES / 64 words of 64 flags."""
-    codes = F.array_distinct(F.transform(terms(F.col(text)), lambda t: (t % CODES).cast("int")))
-    found = df.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    """The codes of the terms in the band over all rows of ``df``, as a constant array of CODES / 64 words of 64 flags."""
+    found = df.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     documents = df.select(F.count("*").alias("documents")).scalar()
-    inside = found.filter(F.log(F.greatest(documents, F.lit(1)) / F.col("n")).between(*band))
+    inside = found.filter(F.log(F.greatest(documents, F.lit(1)) / F.col("n")).between(*band)).select((F.col("term") % CODES).cast("int").alias("code"))
     word = F.expr("code div 64").cast("int").alias("word")
     flag = F.expr("shiftleft(1L, code % 64)")
     words = {r.word: r.flags for r in inside.groupBy(word).agg(F.bit_or(flag).alias("flags")).collect()}  # CODES / 64 rows at most

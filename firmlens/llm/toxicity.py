@@ -2,10 +2,10 @@
 
 1. A trigram model of letters is counted over all documents (a table of fixed size).
 2. A word that looks disguised (digits or symbols for letters, separators between letters, letters
-   repeated three times or more, or a run of single letters) is a lattice of characters: each
-   place may be the letter itself, a letter that its symbol stands for, or nothing (a separator,
-   a repeated letter). Viterbi decoding finds the restoration of least cost under the letter model
-   plus the channel's costs.
+   repeated three times or more), or a run of short words with three single letters at least, is a
+   lattice of characters: each place may be the letter itself, a letter that its symbol stands for, a
+   word end, or nothing (a space, a separator, a repeated letter). Viterbi decoding finds the
+   restoration of least cost under the letter model plus the channel's costs; every word in it is read.
 3. Features of restored words (the word and its beginnings) get log odds from labelled rows, at
    most ``TRAIN_ROWS`` of them; a logistic curve over a document's strongest features, fitted on
    labelled rows that chose no features, gives the score.
@@ -79,36 +79,47 @@ def letter_costs(table: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
-def restore(word: str, costs: np.ndarray) -> str:
-    """The least-cost reading of a disguised word, in lower case."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def restore(run: str, costs: np.ndarray) -> str:
+    """The least-cost reading of a disguised word or of a run of short ones, in lower case; word ends are spaces.
+
+    A state is the last two letters and holds its cost and a chain of what was read, so the work is in
+    proportion to the length.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
-    for c in word.lower()[:64]:
-        options = [(c, 0.0)] if c.isalpha() else [(x, READ) for x in STANDS_FOR.get(c, "")]
+    for c in run.lower():
+        options = [(c, 0.0)] if c.isalpha() or c == " " else [(x, READ) for x in STANDS_FOR.get(c, "")]
         if not c.isalpha() and not options and c not in SEPARATORS:
             options = [(c, 0.0)]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def offer(state: tuple[int, int], cost: float, text: str) -> None:
+        def offer(state: tuple[int, int], cost: float, read: tuple | None) -> None:
             if state not in after or cost < after[state][0]:
-                after[state] = (cost, text)
+                after[state] = (cost, read)
 
-        for (a, b), (cost, text) in states.items():
+        for (a, b), (cost, read) in states.items():
             for letter, more in options:
                 k = int(_CODE[min(ord(letter), len(_CODE) - 1)])
-                offer((b, k), cost + more + float(costs[a, b, k]), text + letter)
-            if c in SEPARATORS or not options:
-                offer((a, b), cost + DROP, text)
-            if text and (c == before or c in STANDS_FOR) and any(text[-1] == x for x in (c, *STANDS_FOR.get(c, ""))):
-                offer((a, b), cost + REPEAT, text)
+                offer((b, k), cost + more + float(costs[a, b, k]), (read, letter))
+            if c in SEPARATORS or c == " " or not options:
+                offer((a, b), cost + DROP, read)
+            if read and (c == before or c in STANDS_FOR) and read[1] in (c, *STANDS_FOR.get(c, "")):
+                offer((a, b), cost + REPEAT, read)
         states, before = after, c
     # a word ends before a space
-    return min((cost + float(costs[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1] + word.lower()[64:]
+    read = min(((cost + float(costs[a, b, 0]), (a, b), read) for (a, b), (cost, read) in states.items()), key=lambda x: x[:2])[2]
+    out = []
+    while read:
+        read, letter = read
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def readings(word: str, costs: np.ndarray) -> list[str]:
-    """The word without outer symbols, and its restoration where it looks disguised."""
+    """The word without outer symbols, and its restoration where it looks disguised; of a run of words those that it spells."""
     lower = word.lower()
+    if " " in lower:
+        return [w for w in restore(lower, costs).split(" ") if w]
     core = lower.strip(_EDGE)
     found = [core] if core else []
     if _DISGUISED.search(lower) and any(c.isalpha() for c in core):
@@ -121,33 +132,53 @@ def features(reading: str) -> list[str]:
     return ["=" + reading, *(reading[:n] for n in range(4, 8) if len(reading) >= n)]
 
 
-def spaced(found: list[str]) -> list[str]:
-    """Words that single letters in a row spell (four or more of them)."""
-    if not any(len(w) == 1 for w in found):
+def spaced(found: list[str], run: list[str] | None = None, last: bool = True) -> list[str]:
+    """Runs of words of one or two characters with three single ones at least, each as one string with its spaces.
+
+    ``run`` holds an unfinished run of the words before and takes that of these, unless they are the ``last``.
+    """
+    run = [] if run is None else run
+    if not run and not any(len(w) == 1 for w in found):
         return []
-    out, run = [], []
-    for w in [*found, ""]:
-        if len(w) == 1 and (w.isalnum() or w in STANDS_FOR):
+    out = []
+
+    def close() -> None:
+        if sum(len(w) == 1 for w in run) >= 3:
+            out.append(" ".join(run))
+        run.clear()
+
+    for w in found:
+        if len(w) <= 2:
             run.append(w)
-            continue
-        if len(run) >= 4:
-            out.append("".join(run))
-        run = []
+        else:
+            close()
+    if last:
+        close()
     return out
 
 
+def _parts(text: str) -> Iterator[tuple[list[str], bool]]:
+    """The words of a text piece by piece, and whether they are its last."""
+    at = 0
+    for piece in B.pieces(text):
+        at += len(piece)
+        yield B.words(piece), at >= len(text)
+
+
 class _Readings:
     """Readings of words, kept by a Python worker."""
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs
         self.held: dict[str, list[str]] = {}
+        self.chars = 0
 
     def of(self, word: str) -> list[str]:
         got = self.held.get(word)
         if got is None:
-            if len(self.held) > 200_000:
-                self.held = {}
+            self.chars += len(word)
+            if len(self.held) > 200_000 or self.chars > 8_000_000:
+                self.held, self.chars = {}, len(word)
             got = self.held[word] = list(dict.fromkeys(f for r in readings(word, self.costs) for f in features(r)))
         return got
 
@@ -177,13 +208,15 @@ class ToxicityModel:
             self._own = [B.WordTable(self._fill), np.zeros(1024)]
         out = np.zeros((len(texts), 3))
         for i, text in enumerate(texts):
-            top, n = np.zeros(0), 0
-            for piece in B.pieces(text):
-                found = B.words(piece)
-                number = np.unique(self._own[0].numbers(found + spaced(found)))
+            met: dict[str, float] = {}  # words that weigh anything; each counts once, wherever pieces end
+            n, run = 0, []
+            for found, last in _parts(text):
+                words = found + spaced(found, run, last)
+                number = self._own[0].numbers(words)
                 weights = self._own[1][number]
-                top = np.sort(np.r_[top, weights[weights > 0]])[::-1][:5]
+                met.update((words[k], weights[k]) for k in np.flatnonzero(weights > 0).tolist())
                 n += len(found)
+            top = np.sort(np.fromiter(met.values(), float, len(met)))[::-1][:5]
             out[i] = top[:1].sum(), top[1:].sum(), math.log1p(n)
         return out
 

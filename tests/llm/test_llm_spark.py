@@ -6,12 +6,14 @@ import hashlib
 import math
 import os
 import re
+import struct
 import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -141,6 +143,48 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert found == sorted([(rows[0][1], None), (third, None), (LONG, 7), (other, 9)])
 
 
+def spark_hash(value, seed=42):
+    return xxhash.xxh64(value if isinstance(value, bytes) else struct.pack("<q", value), seed=seed).intdigest()
+
+
+def brute_imatch(texts):
+    """Sorted kept terms of each text, and its fingerprint: level and, on this level and the next, subset -> hash."""
+    def terms(t):
+        bare = t.lower().strip(" \t\n\x0b\f\r")
+        return {spark_hash(w.encode()) >> (64 - imatch.BITS) for w in re.split("[\\x20\\x09-\\x0D]+", bare)} if bare else set()
+
+    found = {i: terms(t) for i, t in texts.items()}
+    df = Counter(t for s in found.values() for t in s)
+    codes = {t % imatch.CODES for t, n in df.items() if imatch.BAND[0] <= math.log(len(texts) / n) <= imatch.BAND[1]}
+
+    def fingerprint(s):
+        kept = sorted(t for t in s if t % imatch.CODES in codes) or sorted(s)
+        level = max(4, math.floor(math.log2(max(1, len(kept)) / imatch.FILL)))
+        out = []
+        for l in (level, level + 1):
+            parts = {}
+            for t in kept:
+                parts.setdefault(t >> (imatch.BITS - l), []).append(t)
+            for subset, of in parts.items():
+                seed = 42
+                for t in of:
+                    seed = spark_hash(t, seed)
+                parts[subset] = seed & 0xFFFFFFFF
+            out.append(parts)
+        return level, *out
+
+    return {i: fingerprint(s) for i, s in found.items()}
+
+
+def brute_likeness(a, b):
+    pairs = [(x, y) for la, x in ((a[0], a[1]), (a[0] + 1, a[2])) for lb, y in ((b[0], b[1]), (b[0] + 1, b[2])) if la == lb]
+    if not pairs:
+        return 0.0
+    same = sum(len(x.items() & y.items()) for x, y in pairs)
+    some = sum(len(x.keys() | y.keys()) for x, y in pairs)
+    return same / some if some else 1.0
+
+
 def test_imatch(spark, sf, texts, edge, empty):
     rows = {r.doc_id: r for r in Q.op5_imatch(spark, sf).collect()}
     ids = sorted(texts)
@@ -151,6 +195,12 @@ def test_imatch(spark, sf, texts, edge, empty):
     equal = {}
     for i in ids:
         assert equal.setdefault(texts[i], rows[i].fingerprint) == rows[i].fingerprint
+    want = brute_imatch(texts)
+    for a, b in zip(ids, ids[1:] + ids[:1]):
+        level, here, after = rows[a].fingerprint.split(":")
+        shown = [{v >> 32: v & 0xFFFFFFFF for v in (int(h, 16) for h in part.split(".") if h)} for part in (here, after)]
+        assert (int(level), *shown) == want[a]
+        assert rows[a].near_next == pytest.approx(brute_likeness(want[a], want[b]))
     assert np.mean([r.near_edited for r in rows.values()]) > 10 * np.mean([r.near_next for r in rows.values()])
     flags = imatch.lexicon(edge)
     marked = imatch.with_next(imatch.with_fingerprint(edge, "text", flags, "fp"), ["doc_id"], tie="text", blocks=3).orderBy(F.asc_nulls_last("doc_id")).collect()
@@ -176,6 +226,16 @@ def test_toxicity(spark, edge, empty):
     assert all(0 <= r.score <= 1 for r in model.score(edge).collect()) and model.score(empty).count() == 0
     assert toxicity.fit(empty, labels.limit(0), F.lit(True)).score(edge).count() == len(ROWS)
     assert pytest.approx(model.weight("idiot")) == model.weight("1d10t")
+    # a word after a long run of symbols, and one that is cut by a piece's end, count as elsewhere
+    plain, long_ = "an idiot in a text of some words", "a1" * 70 + ".i.d.i.o.t" + " of some words"
+    assert model.evidence(["x y z i d i o t and so on"])[0, 0] > 0
+    whole = model.evidence([plain])[0]
+    kept, lm.B.TEXT_BYTES = lm.B.TEXT_BYTES, 8
+    try:
+        assert model.evidence([plain])[0] == pytest.approx(whole)
+    finally:
+        lm.B.TEXT_BYTES = kept
+    assert len(toxicity.restore(long_, model.costs)) > 64
 
 
 def test_lm(spark, sf, texts, edge):
@@ -190,6 +250,33 @@ def test_lm(spark, sf, texts, edge):
         assert abs(r.base_score - base) < 1e-6 * len(ws) and r.score < 0
     got = lm.score(edge, F.lit(False), Q.vocabulary(), Scratch(spark, "t")).collect()
     assert len(got) == len(ROWS) and {r.train_tokens for r in got} == {0}
+    size = len(lm.encoder(Q.vocabulary()).vocabulary.tokens)
+    assert all(r.score < 0 for r in got)
+    assert lm.score(edge.limit(0), F.lit(True), Q.vocabulary(), Scratch(spark, "t")).count() == 0 and size > 49_000
+
+
+def test_lm_model(spark):
+    """Shares sum to one, scores are the sums of their parts, and held-out texts are foretold better than by the counts alone."""
+    docs = spark.read.parquet(f"{LEARN}/documents.parquet")
+    learn = docs.filter(~quality.held_out("doc_id", 5, 1))
+    model = lm.fit(learn, Q.vocabulary(), Scratch(spark, "t"))
+    size = len(model.class_of)
+    for before in (model.start, 320, size - 1):
+        share = np.exp(model.emission(np.full(size, before), np.arange(size)))
+        sums = np.bincount(model.class_of, weights=share, minlength=lm.CLASSES)
+        assert np.allclose(sums[np.unique(model.class_of)], 1, atol=1e-3)
+    library = Tokenizer.from_file(Q.vocabulary())
+    held = [r.text for r in docs.filter(quality.held_out("doc_id", 5, 1)).collect() if r.text]
+    text = lm.B.lower_ascii(held[0])
+    ids = np.array([model.start, *library.encode(text, add_special_tokens=False).ids, model.end])
+    logs = model.attention.class_logs(ids[:-1], model.class_of[ids[1:]], np.array([len(ids) - 1]), model.attention.tables()) + model.emission(ids[:-1], ids[1:])
+    assert model.log10([text])[0] == pytest.approx(logs.sum() / math.log(10), rel=1e-5)
+    scored = model.log10([lm.B.lower_ascii(t) for t in held])
+    total = np.bincount([i for r in learn.collect() for i in [*library.encode(lm.B.lower_ascii(r.text or ""), add_special_tokens=False).ids, model.end]], minlength=size) + 0.05
+    unigram = np.log10(total / total.sum())
+    base = sum(unigram[[*library.encode(lm.B.lower_ascii(t), add_special_tokens=False).ids, model.end]].sum() for t in held)
+    print("held out, log10 of all: model", scored.sum(), "id counts", base)
+    assert scored.sum() > base
 
 
 def test_token_files(spark, sf, texts, edge, empty):
@@ -210,9 +297,12 @@ def test_mixing(spark, sf, edge, empty):
     rows = Q.op9_mixing(spark, sf).collect()
     assert all(r.taken <= 2 * r["size"] for r in rows)
     total = sum(r["size"] for r in rows)
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     by = {}
     for r in rows:
-        by[r.source_size, r.target] = 0
+        taken, _, largest = by.get(source[r.doc_id], (0, 0, 0))
+        by[source[r.doc_id]] = taken + r.taken, r.target, max(largest, r["size"])
+    assert all(abs(taken - target) <= 3 * largest + 0.1 * target for taken, target, largest in by.values())
     sizes = spark.createDataFrame([("a", 100), ("b", 10), ("c", 10), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
     assert got[None] == 0 and sum(got.values()) == pytest.approx(180) and got["b"] == got["c"] == 20

@@ -66,12 +66,15 @@ class _Words:
         self.letters = B.put(self.letters, first, np.fromiter(map(len, words), np.int64, len(words)))
 
     def read(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For texts, some at a time: the first's place, words of each, and classes and lengths of all words; long texts come in several parts."""
+        """For texts, some at a time: the text's place, how many words are new in it, and classes and lengths of all words; long texts come in several parts."""
         for i, text in enumerate(texts):
+            seen: set[str] = set()
             for piece in B.pieces(text):
                 found = B.words(piece)
                 number = self.table.numbers(found)
-                yield i, len(set(found)), self.kind[number], self.letters[number]
+                before = len(seen)
+                seen.update(found)
+                yield i, len(seen) - before, self.kind[number], self.letters[number]
 
 
 @functools.cache
@@ -83,11 +86,11 @@ def _add_contexts(texts: list[str], table: np.ndarray) -> None:
     """Table rows of WIDTH context cells and one count for each class."""
     places, signs = index_vectors()
     size = CLASSES * (WIDTH + 1)
-    parts = [kind for _, _, kind, _ in _words().read(texts)]
+    parts = [(i, kind) for i, _, kind, _ in _words().read(texts)]
     if not parts:
         return
-    kind = np.concatenate(parts)
-    text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    kind = np.concatenate([k for _, k in parts])
+    text = np.repeat([i for i, _ in parts], [len(k) for _, k in parts])
     for away in range(1, WINDOW + 1):
         near = text[away:] == text[:-away]
         left, right = kind[:-away][near], kind[away:][near]

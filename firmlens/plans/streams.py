@@ -11,18 +11,26 @@ from .signals import _STINTS
 SQL: dict[str, str] = {}
 
 
-def _stream(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
-    """The events as files that arrive in a folder."""
+#: The type of the mark that closes a replay.
+END = "(end)"
+
+
+def _stream(spark: SparkSession, d: str, scratch: Scratch, closed: bool = False) -> DataFrame:
+    """The events as files that arrive in a folder; a closed replay ends with a mark a year after the last
+    event, so that the watermark passes every window and append mode gives each of them once."""
     events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch.where("arrived")
     events.write.parquet(path)
+    if closed:
+        mark = events.agg((F.max("ts") + F.expr("interval 365 days")).alias("ts")).withColumn("event_type", F.lit(END))
+        mark.select(*(F.col(f.name) if f.name in mark.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema)).write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).parquet(path)
 
 
 def stream_rates(spark: SparkSession, d: str) -> DataFrame:
     s = Scratch(spark, "rates")
-    out = S.stream_rates(_stream(spark, d, s), "ts", "1 day", "60 days", "event_type", F.col("value") > 100)
-    return S.run_to_table(out, s.where("out"), s.where("checkpoint"), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "live", "suppressed")
+    out = S.stream_rates(_stream(spark, d, s, closed=True), "ts", "1 day", "60 days", "event_type", F.col("value") > 100)
+    return S.run_to_table(out, s.where("out"), s.where("checkpoint")).filter(F.col("event_type") != END).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "live", "suppressed")
 
 
 SQL["stream_rates"] = "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) FILTER (NOT value > 100) AS live, count(*) FILTER (value > 100) AS suppressed FROM events GROUP BY ALL"
@@ -41,9 +49,9 @@ SELECT before, after, count(*) AS n, count(DISTINCT user_id) AS keys FROM p WHER
 
 def stream_stints(spark: SparkSession, d: str) -> DataFrame:
     s = Scratch(spark, "stints")
-    days = _stream(spark, d, s).withColumn("day", F.date_trunc("day", "ts"))
-    out = S.run_to_table(S.stream_stints(days, ["user_id", "event_type"], "day", 2, "60 days"), s.where("out"), s.where("checkpoint"), "complete")
-    return out.select("user_id", "event_type", F.date_format("start", "yyyy-MM-dd").alias("start_date"), F.date_format("end", "yyyy-MM-dd").alias("end_date"), "n")
+    days = _stream(spark, d, s, closed=True).withColumn("day", F.date_trunc("day", "ts"))
+    out = S.run_to_table(S.stream_stints(days, ["user_id", "event_type"], "day", 2, "60 days"), s.where("out"), s.where("checkpoint"))
+    return out.filter(F.col("event_type") != END).select("user_id", "event_type", F.date_format("start", "yyyy-MM-dd").alias("start_date"), F.date_format("end", "yyyy-MM-dd").alias("end_date"), "n")
 
 
 def stream_first(spark: SparkSession, d: str) -> DataFrame:

@@ -91,11 +91,11 @@ def stream_changes(stream: DataFrame, key: str, at: str, value: str) -> DataFram
     return shaped.groupBy("key").transformWithStateInPandas(_Changes(), "key string, at timestamp, before string, after string", "append", "none")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return the written table."""
-    spark = stream.sparkSession
-    if mode == "append":
-        stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
-    else:
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).start().awaitTermination()
-    return spark.read.parquet(path)
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream in append mode over what is there now and return the written table.
+
+    State that the watermark has passed is dropped as its rows are written; what it hasn't passed yet is
+    written by a later run from the same checkpoint.
+    """
+    stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -86,6 +86,11 @@ def base_rates(events: DataFrame, pool: DataFrame, entity: str = "entity_id", da
     return joined.withColumn("live_rate", F.round(F.col("live") / F.col("pool"), 6))
 
 
+def suppressed_by_rule(events: DataFrame, date: str = "date", rule: str = "suppressed_by") -> DataFrame:
+    """(year, rule, n): how many events of a year each rule has suppressed."""
+    return events.filter(F.col(rule).isNotNull()).groupBy(F.year(date).alias("year"), F.col(rule).alias("rule")).agg(F.count("*").alias("n"))
+
+
 def live_queue(events: DataFrame, windows: Mapping[str, Column], entity: str = "entity_id", kind: str = "event", date: str = "date") -> DataFrame:
     """Different entities of each type since each of some dates."""
     return events.groupBy(kind).agg(*(F.countDistinct(F.when(F.col(date) >= since, F.col(entity))).alias(name) for name, since in windows.items()))
@@ -95,7 +100,7 @@ def route(events: DataFrame, routes: Sequence[tuple[str, str, str]], kind: str =
     """Events with the products they are for: ``routes`` are (type, product, role), a fixed list."""
     spark = events.sparkSession
     table = spark.createDataFrame(list(routes), f"{kind} string, product string, role string")
-    return events.join(F.broadcast(table), kind)
+    return events.join(table, kind)
 
 
 def replace_by_stamp(stored: DataFrame, new: DataFrame, stamp: str, kind: str) -> DataFrame:

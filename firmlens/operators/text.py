@@ -140,7 +140,8 @@ PHONE_LABELS = (("fax", r"\bfax\b|\bf:"), ("direct", r"\bdirect\b|\bd:"), ("mobi
 
 def page_phones(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, phone, label) of numbers of the US form; the most specific label of a number, faxes left out."""
-    text = F.regexp_replace(F.regexp_replace(F.col(html), "(?i)href=[\"']tel:([^\"']+)[\"']", "> tel $1 <"), "<[^>]*>", " ")
+    framed = F.regexp_replace(F.col(html), "(?is)<(script|style|noscript)[^>]*>.*?</\\1>", " ")
+    text = F.regexp_replace(F.regexp_replace(framed, "(?i)href=[\"']tel:([^\"']+)[\"']", "> tel $1 <"), "<[^>]*>", " ")
     spots = F.regexp_extract_all(text, F.lit(f"(.{{0,24}}{_PHONE})"), F.lit(1))
     rows = pages.select(page_id, F.explode(spots).alias("spot"))
     digits = F.concat(F.regexp_extract("spot", _PHONE + "$", 1), F.regexp_extract("spot", _PHONE + "$", 2), F.regexp_extract("spot", _PHONE + "$", 3))

@@ -94,6 +94,29 @@ def headcount_series(spans: DataFrame, years: Sequence[int], as_of: str, group:
     return spans.select(*keys, person, F.explode(inside).alias("year")).groupBy(*keys, "year").agg(F.countDistinct(person).alias("headcount"))
 
 
+def moves_by_year(events: DataFrame, years: Sequence[int], group: str | None, person: str = "person", date: str = "date", kind: str = "kind") -> DataFrame:
+    """(group, year, joined, left): different people who joined and left in each year."""
+    keys = [group] if group else []
+    of = lambda k: F.countDistinct(F.when(F.col(kind) == k, F.col(person))).alias(k)
+    return events.filter(F.year(date).isin(*years)).groupBy(*keys, F.year(date).alias("year")).agg(of("joined"), of("left"))
+
+
+def people_flags(emp: DataFrame, people: DataFrame, events: DataFrame, as_of: Column, org: str = "org", person: str = "person", start: str = "start_date", end: str = "end_date") -> DataFrame:
+    """(org, cfp, cfa, dual, disclosure, hires_prior, departures_prior): current people with credentials and flags, and moves of the year before the last.
+
+    ``people`` has person, designations (array), dual and has_disclosure, one row each; ``events`` org, person, kind and date.
+    """
+    now = emp.filter((F.col(start) <= as_of) & (F.col(end).isNull() | (F.col(end) > as_of))).select(org, person).distinct()
+    known = now.join(people.withColumnRenamed(person, "_p"), F.col(person) == F.col("_p"))
+    has = lambda word: F.count_if(F.exists("designations", lambda d: F.upper(d).contains(word)))
+    staff = known.groupBy(org).agg(has("CFP").alias("cfp"), has("CFA").alias("cfa"), F.count_if("dual").alias("dual"), F.count_if("has_disclosure").alias("disclosure"))
+    age = F.datediff(as_of, F.col("date"))
+    prior = events.filter((age >= 365) & (age < 730))
+    moved = prior.groupBy(F.col(org).alias("_o")).agg(F.countDistinct(F.when(F.col("kind") == "joined", F.col(person))).alias("hires_prior"), F.countDistinct(F.when(F.col("kind") == "left", F.col(person))).alias("departures_prior"))
+    out = staff.join(moved, F.col(org) == F.col("_o"), "full")
+    return out.select(F.coalesce(org, "_o").alias(org), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cfp", "cfa", "dual", "disclosure", "hires_prior", "departures_prior")))
+
+
 def growth_rate(now: Column, before: Column, days: Column) -> Column:
     """Change over the period, by the year if it is longer than 456 days; null for before <= 0, now < 0 or no days."""
     ratio = now / before
@@ -111,7 +134,7 @@ def growth(history: DataFrame, key: str, date: str, measures: Sequence[str], min
 def peer_gap(df: DataFrame, band: Column, value: str, min_n: int = 20) -> DataFrame:
     """Each row with its band, the band's median and the ratio to it."""
     medians = peer_median(df, band, value, min_n).withColumnRenamed("band", "_band")
-    joined = df.withColumn("band", band).join(F.broadcast(medians.select("_band", "peer_median")), F.col("band") == F.col("_band"), "left").drop("_band")
+    joined = df.withColumn("band", band).join(medians.select("_band", "peer_median"), F.col("band") == F.col("_band"), "left").drop("_band")
     return joined.withColumn("peer_ratio", F.round(F.col(value) / F.nullif(F.col("peer_median"), F.lit(0.0)), 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core import frames as B
-from ..operators import classify as C, contacts as P, gates as G, incremental as N, joins as J, scoring as K, search as S, timeline as L
+from ..operators import classify as C, contacts as P, gates as G, incremental as N, joins as J, scoring as K, search as S, signals as G_S, timeline as L
 from ..sources import feeds as A
 from .tables import AS_OF, as_of, lineitem, orders, read
 
@@ -249,4 +249,38 @@ def first_tables(spark: SparkSession, d: str) -> DataFrame:
 SQL["first_tables"] = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'fives' WHEN c_custkey % 3 = 0 THEN 'threes' ELSE 'all' END AS origin FROM customer"
 
 
-QUERIES = {f.__name__: f for f in (firm_list, product_list, people_list, title_roles, priority_mix, type_penalties, failure_rates, unmapped_names, without_rows, resolution_rate, active_points, states_active, open_postings, current_roster, contact_coverage, due_dates, row_sums, first_tables)}
+def suppressed_by_rule(spark: SparkSession, d: str) -> DataFrame:
+    e = orders(spark, d).select(F.col("odate").alias("date"), F.when(F.col("o_orderstatus") == "F", "filled").when(F.col("price") < 50_000, "small").alias("suppressed_by"))
+    return G_S.suppressed_by_rule(e)
+
+
+SQL["suppressed_by_rule"] = "SELECT CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orderstatus = 'F' THEN 'filled' ELSE 'small' END AS rule, count(*) AS n FROM orders WHERE o_orderstatus = 'F' OR CAST(o_totalprice AS DECIMAL(18,2)) < 50000 GROUP BY ALL"
+
+
+def _moves(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("person"), F.col("c_nationkey").alias("org"))
+    o = orders(spark, d).select(F.col("o_custkey").alias("person"), F.col("odate").alias("date"), F.when(F.col("o_orderpriority") == "1-URGENT", "left").otherwise("joined").alias("kind"))
+    return o.join(c, "person")
+
+
+def moves_by_year(spark: SparkSession, d: str) -> DataFrame:
+    return L.moves_by_year(_moves(spark, d), range(1996, 2001), "org")
+
+
+SQL["moves_by_year"] = "SELECT c_nationkey AS org, CAST(year(o_orderdate) AS INT) AS year, count(DISTINCT CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END) AS joined, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END) AS \"left\" FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 2000 GROUP BY ALL"
+
+
+def people_flags(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    k = F.col("c_custkey")
+    people = c.select(k.alias("person"), F.when(k % 3 == 0, F.array(F.lit("CFP"), F.lit("x"))).when(k % 3 == 1, F.array(F.lit("cfa"))).otherwise(F.array().cast("array<string>")).alias("designations"), (k % 4 == 0).alias("dual"), (k % 5 == 0).alias("has_disclosure"))
+    emp = c.select(F.col("c_nationkey").alias("org"), k.alias("person"), F.lit("1990-01-01").cast("date").alias("start_date"), F.when(k % 2 == 0, F.lit("1999-01-01").cast("date")).alias("end_date"))
+    return L.people_flags(emp, people, _moves(spark, d), as_of())
+
+
+SQL["people_flags"] = f"""WITH s AS (SELECT c_nationkey AS org, count(*) FILTER (c_custkey % 3 = 0) AS cfp, count(*) FILTER (c_custkey % 3 = 1) AS cfa, count(*) FILTER (c_custkey % 4 = 0) AS dual, count(*) FILTER (c_custkey % 5 = 0) AS disclosure FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1),
+m AS (SELECT c_nationkey AS org, count(DISTINCT CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END) AS h, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END) AS l FROM orders JOIN customer ON c_custkey = o_custkey WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') BETWEEN 365 AND 729 GROUP BY 1)
+SELECT coalesce(s.org, m.org) AS org, coalesce(cfp, 0) AS cfp, coalesce(cfa, 0) AS cfa, coalesce(dual, 0) AS dual, coalesce(disclosure, 0) AS disclosure, coalesce(h, 0) AS hires_prior, coalesce(l, 0) AS departures_prior FROM s FULL JOIN m ON s.org = m.org"""
+
+
+QUERIES = {f.__name__: f for f in (firm_list, product_list, people_list, title_roles, priority_mix, type_penalties, failure_rates, unmapped_names, without_rows, resolution_rate, active_points, states_active, open_postings, current_roster, contact_coverage, due_dates, row_sums, first_tables, suppressed_by_rule, moves_by_year, people_flags)}

@@ -119,6 +119,22 @@ def dedupe_employment(df: DataFrame, key: Sequence[str] = ("person_id", "org_id"
     return first_per_key(df, list(key), [F.col("end_date").desc_nulls_last(), *(F.asc_nulls_last(c) for c in df.columns if c not in (*key, "end_date"))])
 
 
+def drop_registered(history: DataFrame, registrations: DataFrame, key: Sequence[str] = ("person_id", "name_key", "start_date")) -> tuple[DataFrame, DataFrame]:
+    """History rows that no registration of the same key repeats, and one row with how many were left out; nulls in the key repeat nothing."""
+    known = registrations.select(*key).distinct()
+    left = history.join(known, list(key), "left_semi").agg(F.count("*").alias("n_dropped"))
+    return history.join(known, list(key), "left_anti"), left
+
+
+def feed_flags(answers: DataFrame, flags: Mapping[str, str], urls: str = "urls", addresses: str = "addresses", answer: str = "answers") -> DataFrame:
+    """The table with flags (name -> key of the answers map) of three states, the social platforms of its addresses on the web, and its number of offices.
+
+    An answer that isn't there is null, not no. Platforms are sorted and named once.
+    """
+    platforms = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.nullif(F.regexp_extract(host(u), SOCIAL, 1), F.lit(""))), lambda p: p.isNotNull())))
+    return answers.select("*", *(yes_no(F.col(answer)[k]).alias(name) for name, k in flags.items()), platforms.alias("platforms"), F.coalesce(F.size(addresses), F.lit(0)).alias("n_addresses"))
+
+
 def union_with_precedence(frames: Sequence[DataFrame], key: str) -> DataFrame:
     """Rows of each table whose key no table before it has."""
     out = frames[0]

@@ -23,6 +23,7 @@ def test_parse_name(spark):
     assert parse("SMITH, JOHN, Q") == ("JOHN", "Q", "SMITH")
     assert parse('John "Jack" Smith, CFA') == ("JOHN", None, "SMITH")
     assert parse("Dr. María del Río Jr.") == ("MARIA", "DEL", "RIO")
+    assert [one(spark, N.double_surname(F.col("n")), n=x) for x in ("Ana Garcia Lopez", "Ann Ray")] == ["GARCIALOPEZ", None]
 
 
 def test_dates_places_hosts(spark):

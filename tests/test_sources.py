@@ -93,3 +93,13 @@ def test_gates(spark):
     assert new.count() == 1 and G.record_layout(layouts, new).count() == 0
     drift = spark.createDataFrame([(["a", "b"], ["b", "c"])], "p array<string>, q array<string>").select(G.layout_drift(F.col("p"), F.col("q"))).first()[0]
     assert (drift.added, drift.dropped) == (["c"], ["a"])
+
+
+def test_registered_history_and_flags(spark):
+    history = spark.createDataFrame([("p", "ACME", "2010-01-01"), ("p", "OLD", "2009-01-01"), ("p", None, "2010-01-01")], "person_id string, name_key string, start_date string")
+    regs = spark.createDataFrame([("p", "ACME", "2010-01-01"), ("p", "ACME", "2010-01-01"), ("p", None, "2010-01-01")], "person_id string, name_key string, start_date string")
+    kept, left = A.drop_registered(history, regs)
+    assert sorted(str(r.name_key) for r in kept.collect()) == ["None", "OLD"] and left.first().n_dropped == 1
+    answers = spark.createDataFrame([({"a": "Y", "b": "0"}, ["https://www.linkedin.com/company/x", "http://linkedin.com/y", "https://x.example"], ["one"]), ({}, None, None)], "answers map<string,string>, urls array<string>, addresses array<string>")
+    got = [(r.ads, r.fees, r.other, r.platforms, r.n_addresses) for r in A.feed_flags(answers, {"ads": "a", "fees": "b", "other": "c"}).collect()]
+    assert got == [(True, False, None, ["linkedin"], 1), (None, None, None, [], 0)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,17 +94,21 @@ class WordTable:
         self.fill, self.most, self.most_chars, self.number, self.chars = fill, most, most_chars, {}, 0
 
     def numbers(self, found: list[str]) -> np.ndarray:
-        new = set(found).difference(self.number)
-        chars = sum(map(len, new))
-        if len(new) + len(self.number) > self.most or chars + self.chars > self.most_chars:
-            self.number, new, self.chars = {}, set(found), 0
+        out = np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = list(dict.fromkeys(map(found.__getitem__, at.tolist())))
             chars = sum(map(len, new))
-        self.chars += chars
-        if new:
-            first, ordered = len(self.number), list(new)
-            self.fill(ordered, first)
-            self.number.update(zip(ordered, range(first, first + len(ordered))))
-        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+            if len(new) + len(self.number) > self.most or chars + self.chars > self.most_chars:
+                self.number, self.chars, at = {}, 0, np.arange(len(found))
+                new = list(dict.fromkeys(found))
+                chars = sum(map(len, new))
+            self.chars += chars
+            first = len(self.number)
+            self.fill(new, first)
+            self.number.update(zip(new, range(first, first + len(new))))
+            out[at] = np.fromiter(map(self.number.__getitem__, map(found.__getitem__, at.tolist())), np.int64, len(at))
+        return out
 
 
 def put(array: np.ndarray, first: int, values: np.ndarray) -> np.ndarray:

@@ -64,7 +64,8 @@ class LibraryEncoder(Encoder):
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As one by one, in one text with a line for each word; words are told apart by the ids that end one of their parts."""
-        parts = np.fromiter((len(self.vocabulary.cut.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower())) for w in words), np.int64, len(words))
+        lower = [(w if w.isascii() else unicodedata.normalize("NFC", w)).lower() for w in words]
+        parts = np.fromiter((1 if w.isalpha() else len(self.vocabulary.cut.findall(w)) for w in lower), np.int64, len(words))  # letters alone are one part
         ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids])
         if len(ends) != parts.sum():  # the library parts some word in another way

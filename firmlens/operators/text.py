@@ -252,18 +252,21 @@ def board_postings(results: DataFrame, firms: DataFrame, entity: str) -> DataFra
     return results.join(f, F.col("firm_key") == F.col("_core")).filter(F.coalesce("remote", F.lit(False)) | F.arrays_overlap("states", "_states")).drop("_core", "_states")
 
 
-def document_contacts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = 60, n: int = 5, deny: str = r"@(sec|finra)\.|\.gov$") -> DataFrame:
+def document_contacts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int | None = 60, n: int | None = 5, deny: str = r"@(sec|finra)\.|\.gov$") -> DataFrame:
     """(doc, kind, value, place, context) of the first emails and phones of a cover page with their line.
 
-    The cover page is the document's first lines; that limit is the operator's meaning.
+    The cover page is the document's first lines; that limit is the operator's meaning. None for ``lines``
+    reads whole documents, None for ``n`` gives all.
     """
-    rows = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.slice(F.split(F.col(text), "\n"), 1, lines)).alias("line", "context"))
+    whole = F.split(F.col(text), "\n")
+    rows = docs.select(F.col(doc_id).alias("doc"), F.posexplode(whole if lines is None else F.slice(whole, 1, lines)).alias("line", "context"))
     mail = F.transform(emails_in(F.col("context")), lambda e: F.struct(F.lit("email").alias("kind"), e.alias("value")))
     call = F.transform(F.regexp_extract_all("context", F.lit(f"({_PHONE})"), F.lit(1)), lambda p: F.struct(F.lit("phone").alias("kind"), F.regexp_replace(p, "[^0-9]", "").alias("value")))
     found = rows.select("doc", "line", cap_words(F.col("context"), 30).alias("context"), F.inline(F.concat(mail, call))).filter(~F.col("value").rlike(deny))
     first = found.groupBy("doc", "kind", "value").agg(F.min(F.struct("line", "context")).alias("_f"))
     place = F.row_number().over(Window.partitionBy("doc", "kind").orderBy("_f.line", "value"))
-    return first.withColumn("place", place).filter(F.col("place") <= n).select("doc", "kind", "value", "place", F.col("_f.context").alias("context"))
+    placed = first.withColumn("place", place)
+    return (placed if n is None else placed.filter(F.col("place") <= n)).select("doc", "kind", "value", "place", F.col("_f.context").alias("context"))
 
 
 def source_counts(records: DataFrame, source: str, *flags: tuple[str, Column]) -> DataFrame:

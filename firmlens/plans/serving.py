@@ -66,9 +66,14 @@ def layout_audit(spark: SparkSession, d: str) -> DataFrame:
     return B.audit_identifiers({"customer": (c, "c_name"), "custkey": (c, "c_custkey"), "order_customer": (o, "o_custkey"), "priority": (o, "o_orderpriority")}, [("custkey", "order_customer"), ("customer", "order_customer")])
 
 
-SQL["layout_audit"] = """SELECT 'customer' AS name, 'string' AS declared, count(*) AS n, count(*) FILTER (regexp_matches(c_name, '^\\s|\\s$|^[0-9]+\\.[0-9]+$')) AS odd_values, false AS not_text, false AS agrees FROM customer
-UNION ALL SELECT 'custkey', 'bigint', count(*), 0, true, true FROM customer UNION ALL SELECT 'order_customer', 'bigint', count(*), 0, true, false FROM orders
-UNION ALL SELECT 'priority', 'string', count(*), count(*) FILTER (regexp_matches(o_orderpriority, '^\\s|\\s$|^[0-9]+\\.[0-9]+$')), false, true FROM orders"""
+_TYPE = "CASE typeof(any_value({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' ELSE lower(typeof(any_value({c}))) END"
+_ODD = "count(*) FILTER (regexp_matches(CAST({c} AS VARCHAR), '^\\s|\\s$|^[0-9]+\\.[0-9]+$'))"
+SQL["layout_audit"] = (
+    "WITH a AS ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, {_TYPE.format(c=c)} AS declared, count(*) AS n, {_ODD.format(c=c)} AS odd_values FROM {t}" for name, c, t in (("customer", "c_name", "customer"), ("custkey", "c_custkey", "customer"), ("order_customer", "o_custkey", "orders"), ("priority", "o_orderpriority", "orders")))
+    + """), j AS (SELECT unnest(['custkey', 'order_customer', 'customer', 'order_customer']) AS x, unnest(['order_customer', 'custkey', 'order_customer', 'customer']) AS y)
+SELECT name, declared, n, odd_values, declared <> 'string' AS not_text, NOT EXISTS (SELECT 1 FROM j JOIN a AS o ON o.name = j.y WHERE j.x = a.name AND o.declared <> a.declared) AS agrees FROM a"""
+)
 
 
 def _filters(spark: SparkSession, d: str) -> dict[str, C.Filter]:
@@ -257,7 +262,7 @@ SELECT host, signal, page_id, href AS evidence FROM h WHERE rn = 1"""
 
 def page_contacts(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    return X.document_contacts(docs, lines=1_000_000, n=1_000_000).filter("kind = 'email'").select("doc", "kind", "value")
+    return X.document_contacts(docs, lines=None, n=None).filter("kind = 'email'").select("doc", "kind", "value")
 
 
 SQL["page_contacts"] = r"""WITH e AS (SELECT doc_id AS doc, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS v FROM documents)
@@ -268,6 +273,14 @@ def page_emails(spark: SparkSession, d: str) -> DataFrame:
     return X.page_emails(read(spark, d, "pages"))
 
 
+SQL["page_emails"] = r"""WITH v AS (SELECT page_id, html, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS vis FROM pages),
+p AS (SELECT *, regexp_replace(regexp_replace(vis, '\\s*[\\[(]\\s*at\\s*[\\])]\\s*', '@', 'gi'), '\\s*[\\[(]\\s*dot\\s*[\\])]\\s*', '.', 'gi') AS plain FROM v),
+x AS (SELECT page_id, host, [lower(s) FOR s IN regexp_extract_all(html, '(?i)mailto:([^"''?>\\s]+)', 1)] AS mail, [lower(s) FOR s IN regexp_extract_all(vis, '{m}')] AS seen, [lower(s) FOR s IN regexp_extract_all(plain, '{m}')] AS made, [lower(s) FOR s IN regexp_extract_all(html, '{m}')] AS every FROM p),
+e AS (SELECT page_id, host, unnest(mail) AS email, 'mailto' AS method, 85 AS confidence, true AS visible FROM x UNION ALL SELECT page_id, host, unnest(seen), 'plain', 70, true FROM x UNION ALL SELECT page_id, host, unnest([s FOR s IN made IF NOT list_contains(seen, s)]), 'obfuscated', 50, true FROM x UNION ALL SELECT page_id, host, unnest([s FOR s IN every IF NOT list_contains(seen, s)]), 'hidden', 50, false FROM x),
+g AS (SELECT *, row_number() OVER (PARTITION BY page_id, email ORDER BY confidence DESC, method) AS rn FROM e WHERE regexp_matches(email, '^{m}$') AND NOT regexp_matches(email, '(\\.(png|jpg|jpeg|gif|svg|css|js)$)|^(example|test|noreply|no-reply)@|@(example|sentry)\\.') AND (visible OR ends_with(email, '@' || host)))
+SELECT page_id, email, method, confidence FROM g WHERE rn = 1""".replace("\\\\", "\\").replace("{m}", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+
+
 def page_phones(spark: SparkSession, d: str) -> DataFrame:
     return X.page_phones(read(spark, d, "pages"))
 

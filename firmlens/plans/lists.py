@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core import frames as B
-from ..operators import classify as C, contacts as P, gates as G, incremental as N, joins as J, scoring as K, search as S, signals as G_S, timeline as L
+from ..operators import classify as C, contacts as P, firmtypes as T, gates as G, incremental as N, joins as J, scoring as K, search as S, signals as G_S, timeline as L
 from ..sources import feeds as A
 from .tables import AS_OF, as_of, lineitem, orders, read
 
@@ -283,4 +283,27 @@ m AS (SELECT c_nationkey AS org, count(DISTINCT CASE WHEN o_orderpriority <> '1-
 SELECT coalesce(s.org, m.org) AS org, coalesce(cfp, 0) AS cfp, coalesce(cfa, 0) AS cfa, coalesce(dual, 0) AS dual, coalesce(disclosure, 0) AS disclosure, coalesce(h, 0) AS hires_prior, coalesce(l, 0) AS departures_prior FROM s FULL JOIN m ON s.org = m.org"""
 
 
-QUERIES = {f.__name__: f for f in (firm_list, product_list, people_list, title_roles, priority_mix, type_penalties, failure_rates, unmapped_names, without_rows, resolution_rate, active_points, states_active, open_postings, current_roster, contact_coverage, due_dates, row_sums, first_tables, suppressed_by_rule, moves_by_year, people_flags)}
+def firm_types(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as firms: shares of clients from their orders' priorities, answers and parents from their key."""
+    o = orders(spark, d)
+    part = lambda p: F.round(F.count_if(F.col("o_orderpriority") == p) / F.count("*"), 6)
+    mix = o.groupBy(F.col("o_custkey").alias("_k")).agg(part("1-URGENT").alias("share_pooled"), part("2-HIGH").alias("share_funds"), part("3-MEDIUM").alias("share_institutions"), F.round(F.count_if(F.col("o_orderpriority") >= "4") / F.count("*"), 6).alias("share_individuals"), F.count("*").cast("double").alias("clients_total"))
+    k = F.col("c_custkey")
+    c = read(spark, d, "customer").select("c_custkey", (k % 17 == 0).alias("is_exempt"), F.when(k % 13 == 0, "robo").alias("known_category"), F.when(k % 13 == 0, 97).alias("known_confidence"), F.when(k % 10 == 0, "insurance").alias("parent_category"), F.when(k % 20 == 0, "E").otherwise("D").alias("parent_code"), F.when(k % 3 == 0, "Y").otherwise("N").alias("fund_answer"), F.create_map(F.lit("is_bank"), k % 19 == 0, F.lit("planning"), k % 2 == 0, F.lit("related_broker_dealer"), k % 7 == 0).alias("answers"))
+    rows = c.join(mix, k == F.col("_k"), "left").drop("_k")
+    missing = {n: t for n, t in T.COLUMNS.items() if n not in rows.columns}
+    out = T.firm_type(rows.withColumns({n: F.lit(None).cast(t) for n, t in missing.items()}))
+    return out.select("c_custkey", "category", "category_confidence", F.array_join("type_signals", "|").alias("signals"))
+
+
+SQL["firm_types"] = """WITH m AS (SELECT o_custkey, round(count(*) FILTER (o_orderpriority = '1-URGENT') / count(*), 6) AS p, round(count(*) FILTER (o_orderpriority = '2-HIGH') / count(*), 6) AS f, round(count(*) FILTER (o_orderpriority = '3-MEDIUM') / count(*), 6) AS t, round(count(*) FILTER (o_orderpriority >= '4') / count(*), 6) AS i FROM orders GROUP BY 1),
+x AS (SELECT c_custkey AS k, i, coalesce(p, 0) AS p, coalesce(f, 0) AS f, coalesce(t, 0) AS t, coalesce(i, 0) AS ii FROM customer LEFT JOIN m ON o_custkey = c_custkey),
+b AS (SELECT *, CASE WHEN i < 0.5 AND p >= 0.5 THEN CASE WHEN k % 3 > 0 THEN 'asset_manager:75' ELSE 'private_fund:70' END WHEN i < 0.5 AND f >= 0.3 AND i < 0.35 THEN CASE WHEN f >= 0.5 THEN 'asset_manager:90' ELSE 'asset_manager:80' END WHEN i < 0.35 AND t >= 0.5 THEN 'asset_manager:75'
+ WHEN i < 0.35 AND p + f + t >= 0.5 THEN CASE WHEN p = greatest(p, f, t) AND k % 3 = 0 THEN 'private_fund:60' ELSE 'asset_manager:60' END END AS biz FROM x),
+v AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'era:99' WHEN k % 13 = 0 AND biz IS NOT NULL AND i < 0.1 THEN biz WHEN k % 13 = 0 THEN 'robo:97' WHEN biz IS NOT NULL THEN biz WHEN k % 19 = 0 THEN 'bank_trust:92' WHEN k % 10 = 0 AND (i IS NULL OR i >= 0.35) THEN CASE WHEN k % 20 = 0 THEN 'insurance:85' ELSE 'insurance:75' END
+ WHEN i IS NULL THEN CASE WHEN k % 2 = 0 THEN 'independent_ria:55' WHEN k % 3 = 0 THEN 'private_fund:55' ELSE 'unknown:10' END WHEN i < 0.35 THEN CASE WHEN k % 3 = 0 THEN 'private_fund:55' WHEN k % 2 = 0 THEN 'independent_ria:40' ELSE 'asset_manager:50' END
+ WHEN k % 7 = 0 THEN 'hybrid_ria:65' WHEN i >= 0.7 THEN 'independent_ria:90' WHEN i >= 0.5 THEN 'independent_ria:80' ELSE 'independent_ria:60' END AS v FROM b)
+SELECT k AS c_custkey, split_part(v, ':', 1) AS category, CAST(split_part(v, ':', 2) AS INT) AS category_confidence, concat_ws('|', CASE WHEN i IS NOT NULL AND t >= 0.25 THEN 'institutional' END, CASE WHEN i IS NOT NULL AND f > 0.05 THEN 'registered_funds' END, CASE WHEN k % 2 = 0 THEN 'planning' END, CASE WHEN k % 7 = 0 THEN 'affiliated_bd' END, CASE WHEN k % 3 = 0 THEN 'private_funds' END, CASE WHEN k % 10 = 0 THEN 'in_group' END) AS signals FROM v"""
+
+
+QUERIES = {f.__name__: f for f in (firm_list, product_list, people_list, title_roles, priority_mix, type_penalties, failure_rates, unmapped_names, without_rows, resolution_rate, active_points, states_active, open_postings, current_roster, contact_coverage, due_dates, row_sums, first_tables, suppressed_by_rule, moves_by_year, people_flags, firm_types)}

@@ -212,11 +212,15 @@ class QualityModel:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, y) of at most ``most`` labelled rows for which ``train`` holds, chosen by a hash of the id."""
+    """(id, text, y) of at most ``most`` labelled ids for which ``train`` holds, chosen by a hash of the id.
+
+    Of several rows of one id the one with the least hash of its text counts, so there are ``most`` rows at most.
+    """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & train).groupBy(doc_id).agg(F.min(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64(doc_id), doc_id).limit(most)
     # at most ``most`` rows of two numbers: a bounded side
-    return docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)
+    found = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)
+    return found.groupBy(doc_id).agg(F.min_by(text, F.xxhash64(text)).alias(text), F.min("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, corpus: DataFrame | None = None, label: str = "quality", doc_id: str = "doc_id", text: str = "text", most: int = TRAIN_ROWS) -> QualityModel:

@@ -95,9 +95,10 @@ def encoded(batch: pa.RecordBatch, text: str, vocabulary: str, end: int) -> list
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end: int, width: int, doc_id: str, text: str) -> bytes:
-    """A dictionary from the serialized ids of a bounded sample, chosen by a hash of the id."""
+    """A dictionary from the serialized ids of a bounded sample, chosen by a hash of the id; of a repeated id one row counts."""
     chosen = docs.select(doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(DICTIONARY_DOCUMENTS).distinct()
-    sample = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id, "left_semi")  # a bounded side
+    found = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id, "left_semi")  # a bounded side
+    sample = found.groupBy(doc_id).agg(F.min_by(text, F.xxhash64(text)).alias(text))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.cut(it, text):

@@ -440,6 +440,48 @@ def test_clashing_columns(spark, edge):
         assert stage(spark, odd, LEARN).count() > 0
 
 
+def test_clashing_columns_of_models_and_files(spark, edge):
+    odd = edge.withColumns({n: F.lit("x") for n in ("score", "ids", "n_tokens", "start", "part", "shard", "counts", "y", "features")})
+    docs, labels = (spark.read.parquet(f"{LEARN}/{t}.parquet") for t in ("documents", "labels"))
+    good, toxic = quality.fit(docs, labels, F.lit(True)), toxicity.fit(docs, labels, F.lit(True))
+    for model in (good, toxic):
+        got = model.score(odd).collect()
+        assert len(got) == len(ROWS) and all(isinstance(r.score, float) and r.ids == "x" for r in got)
+    want = [round(r.score, 9) for r in good.score(edge).collect()]
+    assert [round(r.score, 9) for r in good.score(odd).collect()] == want
+    assert tokenfiles.write(odd, Scratch(spark, "t").where("files"), Q.vocabulary()).read(spark).count() == len(ROWS)
+    assert corpus_pipeline.good(spark, odd, LEARN).columns == edge.columns
+
+
+def test_stages_of_an_empty_table(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, LEARN).count() == 0, name
+
+
+def test_long_texts_are_read_in_pieces_alike(spark, monkeypatch):
+    """A text that is cut into many pieces gives what it gives in one."""
+    docs, labels = (spark.read.parquet(f"{LEARN}/{t}.parquet") for t in ("documents", "labels"))
+    long_ = [LONG + " so stupid an 1d10t", "many different words " * 300, "eins zwei " * 999]
+    good = quality.fit(docs, labels, F.lit(True))
+    bad = toxicity.fit(docs, labels, F.lit(True))
+    model = lm.fit(docs.limit(50), Q.vocabulary(), Scratch(spark, "t"))
+    own = lm.FrequentWords({"words": 5, "and1": 2})
+    whole = quality.pooled(long_, good.vectors), bad.evidence(long_), model.log10(long_), own.read(long_)
+    monkeypatch.setattr(lm.B.pieces, "__defaults__", (500,))
+    assert len(list(lm.B.pieces(long_[0]))) > 20
+    parts = quality.pooled(long_, good.vectors), bad.evidence(long_), model.log10(long_), own.read(long_)
+    for a, b in zip(whole[:3], parts[:3]):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
+    assert all(np.allclose(a, b) if isinstance(a, np.ndarray) else a == b for a, b in zip(whole[3], parts[3]))
+
+
+def test_repeated_ids_bring_one_row_to_the_driver(spark):
+    docs = spark.createDataFrame([(1, "one text of it"), (1, "another text"), (1, "another text"), (2, "a third")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    rows = quality.labelled(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.y) for r in rows) == [(1, 0), (2, 1)]
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     scratch, columns, before = Scratch(spark, "t"), docs.columns, docs

@@ -255,11 +255,16 @@ def test_lm(spark, sf, texts, edge):
     assert lm.score(edge.limit(0), F.lit(True), Q.vocabulary(), Scratch(spark, "t")).count() == 0 and size > 49_000
 
 
+def fitted(spark, docs, learns):
+    table = lm.read(docs, learns, Q.vocabulary(), {}, Scratch(spark, "t"), "text", ["doc_id"])
+    return lm.fit(table.filter("block is not null"), Q.vocabulary())
+
+
 def test_lm_model(spark):
     """Shares sum to one, scores are the sums of their parts, and held-out texts are foretold better than by the counts alone."""
     docs = spark.read.parquet(f"{LEARN}/documents.parquet")
     learn = docs.filter(~quality.held_out("doc_id", 5, 1))
-    model = lm.fit(learn, Q.vocabulary(), Scratch(spark, "t"))
+    model = fitted(spark, docs, ~quality.held_out("doc_id", 5, 1))
     size = len(model.class_of)
     for before in (model.start, 320, size - 1):
         share = np.exp(model.emission(np.full(size, before), np.arange(size)))
@@ -464,7 +469,7 @@ def test_long_texts_are_read_in_pieces_alike(spark, monkeypatch):
     long_ = [LONG + " so stupid an 1d10t", "many different words " * 300, "eins zwei " * 999]
     good = quality.fit(docs, labels, F.lit(True))
     bad = toxicity.fit(docs, labels, F.lit(True))
-    model = lm.fit(docs.limit(50), Q.vocabulary(), Scratch(spark, "t"))
+    model = fitted(spark, docs.limit(50), F.lit(True))
     own = lm.FrequentWords({"words": 5, "and1": 2})
     whole = quality.pooled(long_, good.vectors), bad.evidence(long_), model.log10(long_), own.read(long_)
     monkeypatch.setattr(lm.B.pieces, "__defaults__", (500,))

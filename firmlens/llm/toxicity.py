@@ -2,7 +2,7 @@
 
 1. A trigram model of letters is counted over all documents (a table of fixed size).
 2. A word that looks disguised (digits or symbols for letters, separators between letters, letters
-   repeated three times or more), or a run of short words with three single letters at least, is a
+   repeated three times or more), or a run of short words with three single letters in a row, is a
    lattice of characters: each place may be the letter itself, a letter that its symbol stands for, a
    word end, or nothing (a space, a separator, a repeated letter). Viterbi decoding finds the
    restoration of least cost under the letter model plus the channel's costs; every word in it is read.
@@ -133,7 +133,7 @@ def features(reading: str) -> list[str]:
 
 
 def spaced(found: list[str], run: list[str] | None = None, last: bool = True) -> list[str]:
-    """Runs of words of one or two characters with three single ones at least, each as one string with its spaces.
+    """Runs of words of one or two characters with three single ones in a row, each as one string with its spaces.
 
     ``run`` holds an unfinished run of the words before and takes that of these, unless they are the ``last``.
     """
@@ -143,7 +143,7 @@ def spaced(found: list[str], run: list[str] | None = None, last: bool = True) ->
     out = []
 
     def close() -> None:
-        if sum(len(w) == 1 for w in run) >= 3:
+        if any(len(a) == len(b) == len(c) == 1 for a, b, c in zip(run, run[1:], run[2:])):
             out.append(" ".join(run))
         run.clear()
 

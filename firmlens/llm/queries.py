@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.scratch import Scratch
-from . import bpe, imatch, linededup, lm, media, mixing, quality, simhash, tokenfiles, toxicity
+from . import bpe, imatch, linededup, lm, media, mixing, negatives, quality, shards, simhash, spelling, tokenfiles, toxicity
 
 #: A score from which a text is predicted to have the label.
 THRESHOLD = 0.3
@@ -105,6 +105,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    dims = {"source": shards.order_of("source"), "lang": shards.order_of("lang"), "bytes": F.log2(shards.size_of()), "doc_id": shards.number("doc_id")}
+    out = shards.kd_shards(docs, Scratch(spark, "shards"), dims, shards=16, keep=["doc_id", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir), Scratch(spark, "spelling")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine(rows.withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -116,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokenfiles": op8_tokenfiles,
     "op9_mixing": op9_mixing,
     "op10_linededup": op10_linededup,
+    "op11_sharding": op11_sharding,
+    "op12_spelling": op12_spelling,
+    "op13_negatives": op13_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL, "op13_negatives": negatives.ORACLE_SQL}

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..core.scratch import Scratch
+
 #: Most rows and anchors of a pair of groups, on average.
 ROWS, ANCHORS = 65_536, 65_536
 #: Scores that a task holds at a time.
@@ -126,7 +128,7 @@ def _share(p: str, hundredths: int, up: bool) -> Column:
     return whole * hundredths + F.floor((rest * hundredths + (99 if up else 0)) / 100).cast("long")
 
 
-def mine(df: DataFrame, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding", every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, quantum: float = 256.0) -> DataFrame:
+def mine(df: DataFrame, scratch: Scratch, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding", every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, quantum: float = 256.0) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score); anchors are ids divisible by ``every``."""
     spark = df.sparkSession
     rows = df.filter(usable(label, vector)).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("vector"))
@@ -149,6 +151,7 @@ def mine(df: DataFrame, vec_id: str = "vec_id", label: str = "label", vector: st
     top = found.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= positives)
     windows = top.filter("score >= 0").withColumns({"upper": _share("score", high, False), "lower": _share("score", low, True)}).filter("lower <= upper")
     each = windows.groupBy("anchor_id").agg(F.sort_array(F.collect_set("upper"), asc=False).alias("uppers"), F.min("lower").alias("lower"), F.array_sort(F.collect_list(F.struct("_at", "other", "score", "upper", "lower"))).alias("pos"))
+    each = scratch.save(each, "positives")  # the scores behind it are computed once
     asked = anchors.join(each.withColumnRenamed("anchor_id", "_a"), F.col("vec_id") == F.col("_a")).drop("_a")
 
     def other_labels(a: pa.Table, s: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> list[tuple]:

@@ -119,7 +119,7 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
-    return negatives.mine(rows.withColumn("label", moved))
+    return negatives.mine(rows.withColumn("label", moved), Scratch(spark, "negatives"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

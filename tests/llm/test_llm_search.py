@@ -195,9 +195,9 @@ def test_hard_negatives_edges(spark, monkeypatch, groups):
     rows += [rows[50], rows[50], rows[51], rows[51], (100, 0, [0.5, 0.1]), (1000, 2, []), (1050, None, [1.0]), (1100, 1, None), (1150, 1, [1.0, None]), (1200, 1, [float("nan")]), (1250, 1, [float("inf")])]
     rows += [(None, 1, [0.25, 0.25, 0.25, 0.25, 0.1]), (1300, 1, [-0.2] * 5), (1301, 1, [0.2, 0.3]), (1302, 7, [0.2] * 9), (1350, 9, [4000.0, 3.0, 1e7, 0.1, 2.0]), (1351, 9, [3e6, 3.0, 2e6, 0.1, 7.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<double>, score string")
-    got = sorted(str(tuple(r)) for r in negatives.mine(df.repartition(4)).collect())
+    got = sorted(str(tuple(r)) for r in negatives.mine(df.repartition(4), Scratch(spark, "t")).collect())
     assert got == negatives_by_hand(rows) and len(got) > 20
-    assert negatives.mine(df.limit(0)).collect() == []
+    assert negatives.mine(df.limit(0), Scratch(spark, "t")).collect() == []
 
 
 def test_scores_are_exact():

@@ -405,6 +405,52 @@ def test_line_dedup_recall(spark):
     assert all(r >= 0.93 for r in recall.values()), recall
 
 
+def test_line_dedup_has_no_gap(spark):
+    """Recall of edited pairs over the plane of lengths and spaces, the borders of the kinds of signature included; edits add and take spaces too."""
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def line(length, word):
+        x = ""
+        while len(x) < length:
+            x += "".join(rng.choice(letters, max(1, int(rng.integers(word // 2 + 1, word * 3 // 2 + 2))))) + " "
+        return x[:length].strip()
+
+    def edited(x):
+        base, out = line_shingles(x), None
+        for _ in range(200):
+            y = list(out or x)
+            at, kind = int(rng.integers(len(y))), rng.integers(4)
+            if kind == 0:
+                y[at] = rng.choice(letters)
+            elif kind == 1:
+                del y[at]
+            elif kind == 2:
+                y.insert(at, rng.choice(letters))
+            elif 0 < at < len(y) - 1:
+                y[at] = rng.choice(letters) if y[at] == " " else " "
+            y = " ".join("".join(y).split())
+            if jaccard(base, line_shingles(y)) < 0.8:
+                break
+            out = y
+        return out
+
+    rows, cells = [], {}
+    for length in (12, 30, 70, 100, 108, 112, 130, 153, 176, 192, 240, 400, 900):
+        for word in (2, 4, 6, 9, 13, 20, 60):
+            for _ in range(16):
+                x = line(length, word)
+                if y := edited(x):
+                    cells[len(rows) + 1] = length, word
+                    rows += [(len(rows), x), (len(rows) + 1, y)]
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), keep=["doc_id"]).collect()
+    gone = {r.doc_id for r in out if r.n_dropped}
+    found = {c: np.mean([i in gone for i, d in cells.items() if d == c]) for c in set(cells.values())}
+    everything = np.mean([i in gone for i in cells])
+    print(everything, sorted(found.items(), key=lambda x: x[1])[:8])
+    assert everything >= 0.95 and min(found.values()) >= 0.75
+
+
 def test_line_dedup_hot_bucket(spark):
     """Thousands of alike lines: comparisons stay in proportion, and all copies go but one."""
     rng = np.random.default_rng(8)

@@ -25,15 +25,12 @@ def refresh_keys(table: DataFrame, keys: DataFrame, key: str, build: Callable[[D
 
 
 def delta_write(old: DataFrame, new: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """The new rows and the removed keys with change: added, updated, removed or unchanged in ``cols``."""
-    mark = F.xxhash64(*cols)
-    o = old.select(*(F.col(k).alias(f"_{k}") for k in key), mark.alias("_mark"), F.struct(*cols).alias("_old"))
+    """The new rows and the removed keys with change: added, updated, removed or unchanged in ``cols``. A null in a key is a value."""
+    o = old.select(*(F.col(k).alias(f"_{k}") for k in key), F.struct(*cols).alias("_old"))
     n = new.withColumn("_new", F.struct(*cols))
-    joined = n.join(o, [F.col(k) == F.col(f"_{k}") for k in key], "full")
-    gone = F.col(key[0]).isNull()
-    same = F.col("_new").eqNullSafe(F.col("_old"))
-    change = F.when(gone, "removed").when(F.col(f"_{key[0]}").isNull(), "added").when(same, "unchanged").otherwise("updated")
-    return joined.withColumn("change", change).withColumns({k: F.coalesce(k, f"_{k}") for k in key}).drop(*(f"_{k}" for k in key), "_mark", "_old", "_new")
+    joined = n.join(o, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "full")  # the structs are never null on their own side
+    change = F.when(F.col("_new").isNull(), "removed").when(F.col("_old").isNull(), "added").when(F.col("_new").eqNullSafe(F.col("_old")), "unchanged").otherwise("updated")
+    return joined.withColumn("change", change).withColumns({k: F.coalesce(k, f"_{k}") for k in key}).drop(*(f"_{k}" for k in key), "_old", "_new")
 
 
 def delta_counts(changes: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.scratch import Scratch
+from ..sources.store import KeyedStore
 from ..streaming import jobs as S
 from .signals import _STINTS
+from .tables import orders
 
 SQL: dict[str, str] = {}
 
@@ -65,4 +67,35 @@ SQL["stream_first"] = "SELECT event_type, count(DISTINCT user_id) AS n, count(DI
 
 SQL["stream_stints"] = f"WITH {_STINTS} SELECT user_id, event_type, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date, n FROM st"
 
-QUERIES = {f.__name__: f for f in (stream_rates, stream_changes, stream_stints, stream_first)}
+def history_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The newest event of each user and day, from files that arrive in the order of a hash: old days after new ones, and a part of the files twice."""
+    s = Scratch(spark, "upsert")
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.to_date("ts").alias("day"), "event_id", "event_type", F.col("value").cast("double").alias("value"))
+    path = s.where("arrived")
+    events.repartition(4, F.xxhash64("event_id") % 8).write.parquet(path)
+    events.filter("event_id % 10 = 0").coalesce(1).write.mode("append").parquet(path)
+    store = KeyedStore(spark, s.where("store"))
+    store.create(events.limit(0), ["user_id", "day"], 16)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    S.stream_upsert(stream, store, ["event_id"], s.where("checkpoint"), "events").awaitTermination()
+    return store.read().select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "event_id", "event_type", F.round("value", 4).alias("value"))
+
+
+SQL["history_upsert"] = """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 4) AS value
+FROM events GROUP BY ALL"""
+
+
+def refresh_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of customers kept in a store: made from the orders before a day, then made anew for the customers with later ones."""
+    o = orders(spark, d)
+    build = lambda df: df.groupBy("o_custkey").agg(F.sum("price").cast("double").alias("total"), F.count("*").alias("n"))
+    store = KeyedStore(spark, Scratch(spark, "refresh").where("store"))
+    store.create(build(o.filter("odate < '2001-01-01'")), ["o_custkey"], 32)
+    dirty = o.filter("odate >= '2001-01-01'").select("o_custkey")
+    store.refresh(dirty, lambda keys: build(o.join(keys, "o_custkey", "left_semi")))
+    return store.read()
+
+
+SQL["refresh_buckets"] = "SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n FROM orders GROUP BY 1"
+
+QUERIES = {f.__name__: f for f in (stream_rates, stream_changes, stream_stints, stream_first, history_upsert, refresh_buckets)}

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.feeds import register_snapshots
+from ..sources.store import KeyedStore
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -37,6 +38,20 @@ def stream_snapshots(spark: SparkSession, folder: str, registry_path: str, check
     return files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_upsert(stream: DataFrame, store: KeyedStore, order: Sequence[str], checkpoint: str, name: str) -> StreamingQuery:
+    """Put a stream's rows into a store: of each key the row with the greatest ``order`` stays.
+
+    Late rows of older snapshots never replace newer ones and need no state or watermark, as the store holds
+    what was seen. A batch that is run again after a failure is known by its number and changes nothing;
+    rows that come again in another batch change nothing either.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        store.merge(batch, order, name, number)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def first_evidence(stream: DataFrame, keys: Sequence[str], at: str, delay: str) -> DataFrame:
     """The first row of each key within the watermark; what is seen again is left out."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))

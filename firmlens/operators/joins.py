@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..core.frames import first_per_key
+from ..core.frames import first_per_key, top_n_per_key
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -23,28 +23,28 @@ def lacking(df: DataFrame, other: DataFrame, key: str | Sequence[str], condition
     return df.join(other if condition is None else other.filter(condition), _keys(key), "left_anti")
 
 
-def left_chain(base: DataFrame, others: Sequence[DataFrame], key: str | Sequence[str]) -> DataFrame:
-    """``base`` with the columns of each of the others, one row per key each."""
-    for other in others:
-        base = base.join(other, _keys(key), "left")
-    return base
-
-
-def full_assemble(frames: Sequence[DataFrame], key: str | Sequence[str]) -> DataFrame:
-    """One row for each key of any frame, with the columns of all."""
-    out = frames[0]
-    for other in frames[1:]:
-        out = out.join(other, _keys(key), "full")
-    return out
+def ticks(df: DataFrame, column: str) -> Column:
+    """A date as days, a timestamp as microseconds, a whole number as it is."""
+    kind = dict(df.dtypes)[column]
+    if kind == "date":
+        return F.unix_date(column).cast("long")
+    return F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith("timestamp") else F.col(column).cast("long")
 
 
 def latest_before(df: DataFrame, other: DataFrame, key: str, at: str, other_at: str, carry: Sequence[str], prefix: str = "before_") -> DataFrame:
-    """Each row with the columns of the latest row of ``other`` of its key strictly before it; ties by the carried columns."""
-    o = other.select(F.col(key).alias("_k"), F.col(other_at).alias("_at"), F.struct(F.col(other_at), *carry).alias("_o"))
-    rid = df.withColumn("_rid", F.xxhash64(*df.columns))
-    met = rid.select("_rid", key, at).distinct().join(o, (F.col(key) == F.col("_k")) & (F.col("_at") < F.col(at)))
-    best = met.groupBy("_rid").agg(F.max("_o").alias("_o"))
-    return rid.join(best, "_rid", "left").select(*df.columns, *(F.col(f"_o.{c}").alias(prefix + c) for c in carry))
+    """Each row with the columns of the latest row of ``other`` of its key strictly before it; ties by the carried columns.
+
+    Both tables lie in one window by key and time, so no row meets every earlier row of its key, and
+    rows are carried whole: equal rows stay apart without a number or a hash. A null key or time finds nothing.
+    """
+    found = F.struct(F.col(other_at), *carry)
+    right = other.filter(F.col(key).isNotNull() & F.col(other_at).isNotNull()).select(F.col(key).alias("_k"), ticks(other, other_at).alias("_t"), found.alias("_o"))
+    left = df.select(F.col(key).alias("_k"), ticks(df, at).alias("_t"), F.struct(*df.columns).alias("_row"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    # rows with a null key have no right rows beside them: each goes its own way, not to one group
+    order = Window.partitionBy("_k", F.when(F.col("_k").isNull(), F.xxhash64("_row"))).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    met = both.withColumn("_best", F.when(F.col("_t").isNotNull(), F.max("_o").over(order))).filter(F.col("_row").isNotNull())
+    return met.select("_row.*", *(F.col(f"_best.{c}").alias(prefix + c) for c in carry))
 
 
 def active_at(spans: DataFrame, points: Sequence[str], start: str, end: str, point: str) -> DataFrame:
@@ -82,28 +82,71 @@ def last_start_before(events: DataFrame, spans: DataFrame, key: Sequence[str], a
     return found.select("_row.*", out)
 
 
+def _near_pairs(left: DataFrame, right: DataFrame, key: str, at: str, other_at: str, lo: int, hi: int, carry: Sequence[str], order: Sequence[str], other_than: str | None) -> DataFrame:
+    """Different (key, date, other_than) of ``left`` with the right rows that may be nearest to them."""
+    than = [F.col(other_than).alias("_than")] if other_than else []
+    r = right.select(F.col(key).alias("_k"), F.unix_date(F.to_date(other_at)).alias("_day"), *(F.col(c).alias(f"_o_{c}") for c in order), *(F.col(c).alias(f"_c_{c}") for c in carry), *than)
+    r = r.filter("_day is not null" + (" and _than is not null" if other_than else ""))
+    rank = [*(F.col(f"_o_{c}").desc_nulls_last() for c in order), *(F.col(f"_c_{c}").asc_nulls_last() for c in carry)]
+    if other_than:  # whatever a left row's own value, the best row with another one is among the best two of different values
+        r = first_per_key(r, ["_k", "_day", "_than"], rank)
+        r = top_n_per_key(r, ["_k", "_day"], [*rank, F.asc("_than")], 2)
+    else:
+        r = first_per_key(r, ["_k", "_day"], rank)
+    width = hi - lo + 1
+    band = lambda day: F.floor(day / width).cast("long")
+    by = list(dict.fromkeys([key, at, *([other_than] if other_than else [])]))
+    asked = left.select(*by).distinct().withColumn("_of", F.unix_date(F.to_date(at)))
+    bands = asked.withColumn("_band", F.explode(F.array_distinct(F.array(band(F.col("_of") + lo), band(F.col("_of") + hi)))))
+    met = bands.join(r.withColumn("_b", band(F.col("_day"))), (F.col(key) == F.col("_k")) & (F.col("_band") == F.col("_b")) & (F.col("_day") - F.col("_of")).between(lo, hi))
+    return met.filter(F.col("_than") != F.col(other_than)) if other_than else met
+
+
 def nearest_join(left: DataFrame, right: DataFrame, key: str, at: str, other_at: str, lo: int, hi: int, carry: Sequence[str], order: Sequence[str] = (), other_than: str | None = None, prefix: str = "") -> DataFrame:
     """Each left row with the nearest right row of its key whose date lies from ``lo`` to ``hi`` days after it.
 
     Ties go to the row with the greatest ``order`` columns, then by the least carried ones. With
-    ``other_than`` a right row with the same value there doesn't count. What is found depends on the
-    key, the date and that value alone: it is found once for each of these and joined back, so no row
-    needs a number that a lost task could give anew.
+    ``other_than`` a right row with the same value there doesn't count. Dates lie in bands as wide as the
+    tolerance; a date's window reaches into two of them, and rows meet by key and band. Of the right rows of a
+    key and day only those that can win are left, at most two. So a key that holds all rows is spread over its
+    bands, and pairs are bounded by the tolerance for each date, never by the rows of a key. What is found
+    depends on the key, the date and the value alone: it is found once for each of these and joined back.
     """
     by = list(dict.fromkeys([key, at, *([other_than] if other_than else [])]))
-    r = right.select(F.col(key).alias("_k"), F.col(other_at).alias("_at"), *(F.col(c).alias(f"_o_{c}") for c in order), *(F.col(c).alias(f"_c_{c}") for c in carry), *([F.col(other_than).alias("_than")] if other_than else []))
-    near = (F.col(key) == F.col("_k")) & F.datediff("_at", at).between(lo, hi)
-    met = left.select(*by).distinct().join(r, near & (F.col("_than") != F.col(other_than)) if other_than else near)
-    best = first_per_key(met, by, [F.abs(F.datediff("_at", at)), *(F.col(f"_o_{c}").desc_nulls_last() for c in order), *(F.col(f"_c_{c}").asc_nulls_last() for c in carry)])
+    met = _near_pairs(left, right, key, at, other_at, lo, hi, carry, order, other_than)
+    best = first_per_key(met, by, [F.abs(F.col("_day") - F.col("_of")), *(F.col(f"_o_{c}").desc_nulls_last() for c in order), *(F.col(f"_c_{c}").asc_nulls_last() for c in carry)])
     found = best.select(*(F.col(c).alias(f"_b_{c}") for c in by), *(F.col(f"_c_{c}").alias(prefix + c) for c in carry))
     same = [F.col(c) == F.col(f"_b_{c}") for c in by]
     return left.join(found, same, "left").drop(*(f"_b_{c}" for c in by))
 
 
+#: An interval is cut into pieces of at least a quarter of its length: six at most.
+_PIECES = 4
+
+
+def _pieces(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """Points with the intervals of their key of which a piece lies in their stretch of time, a superset of those that hold them."""
+    reach = points.agg(F.min(ticks(points, at)).alias("lo"), F.max(ticks(points, at)).alias("hi")).first()
+    lo, hi = (0, -1) if reach["lo"] is None else (reach["lo"], reach["hi"])
+    cut = intervals.withColumnRenamed(key, "_k").withColumns({"_s": F.greatest(ticks(intervals, start), F.lit(lo)), "_e": F.least(F.coalesce(ticks(intervals, end), F.lit(hi + 1)), F.lit(hi + 1))})
+    cut = cut.filter("_s < _e and _k is not null").withColumn("_m", F.greatest(F.ceil(F.log2((F.col("_e") - F.col("_s")) / _PIECES)), F.lit(0)).cast("int"))
+    sizes = sorted(r[0] for r in cut.select("_m").distinct().collect())  # powers of two, 63 at most
+    laid = cut.withColumn("_cell", F.explode(F.sequence(F.expr("shiftright(_s, _m)"), F.expr("shiftright(_e - 1, _m)")))).drop("_s", "_e")
+    t = ticks(points, at)
+    cells = F.array(*(F.struct(F.lit(m).alias("_pm"), F.shiftright(t, m).alias("_pcell")) for m in sizes)) if sizes else F.array().cast("array<struct<_pm:int,_pcell:bigint>>")
+    stood = points.select("*", F.inline(cells))
+    return stood.join(laid, (F.col(key) == F.col("_k")) & (F.col("_pm") == F.col("_m")) & (F.col("_pcell") == F.col("_cell"))).drop("_pm", "_pcell", "_m", "_cell", "_k")
+
+
 def within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Points joined to the intervals of their key that hold them: start included, end not; an open end holds all."""
-    i = intervals.withColumnRenamed(key, "_k")
-    return points.join(i, (F.col(key) == F.col("_k")) & (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("_k")
+    """Points joined to the intervals of their key that hold them: start included, end not; an open end holds all.
+
+    Time is cut into stretches by powers of two. An interval is laid over the few stretches of the size that
+    suits its length, a point lies in one stretch of each size that is in use, and the two meet by key, size
+    and stretch, each pair once. So intervals long and short are found by equality, and a key that holds all
+    rows is spread over time. The times' range and the sizes in use, a few numbers, are read beforehand.
+    """
+    return _pieces(points, intervals, key, at, start, end).filter((F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end))))
 
 
 def phrase_join(df: DataFrame, name: str, rules: Sequence[tuple[str, str]], id_col: str = "rule_id", whole_words: bool = True) -> DataFrame:

@@ -149,6 +149,20 @@ def within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: st
     return _pieces(points, intervals, key, at, start, end).filter((F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end))))
 
 
+def prefix_table(df: DataFrame, name: str, order: Sequence[Column], scope: Sequence[str] = (), least_words: int = 1, prefix: str = "prefix", exact: str = "exact") -> DataFrame:
+    """For every beginning of whole words of a name the best row that has it: (scope, prefix, exact, the row's other columns).
+
+    A row whose whole name it is comes before rows that only begin with it, then ``order`` decides, which must be
+    total. Beginnings have at least ``least_words`` words; a whole name counts whatever its length. So who looks a
+    name up finds it by equality, at most one row, and nothing that isn't a match is ever paired. Names are of
+    single spaces; blank ones and null ones have no beginning.
+    """
+    words = F.split(F.col(name), " ")
+    shorter = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.when((k >= least_words) | (k == F.size(words)), F.array_join(F.slice(words, F.lit(1), k), " ")))
+    rows = df.filter(F.col(name) != "").withColumn(prefix, F.explode(F.array_compact(shorter)))
+    return first_per_key(rows.withColumn(exact, F.col(prefix) == F.col(name)), [*scope, prefix], [F.desc(exact), *order])
+
+
 def phrase_join(df: DataFrame, name: str, rules: Sequence[tuple[str, str]], id_col: str = "rule_id", whole_words: bool = True) -> DataFrame:
     """Each row with the id of the longest rule phrase that its name begins with, matched on different names only.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.frames import first_per_key, mode_by
 from ..functions.names import fold_accents, parse_name
+from .joins import prefix_table
 
 #: Confidence by kind of key and agreement of states, the penalty of ambiguity, and the bands. Fixed values.
 MATCH = {"exact": (0.95, 0.45, 0.78), "generic": (0.72, 0.25, 0.55), "ambiguous": 0.20, "auto": 0.85, "review": 0.50}
@@ -37,6 +38,60 @@ def match_entities(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return scored.select(left_id, right_id, "method", "confidence", status.alias("status"))
 
 
+def match_classes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, exact: str = "exact_key", generic: str = "generic_key", state: str = "state", cfg: Mapping = MATCH) -> DataFrame:
+    """The matches of ``match_entities`` without the product of keys that many rows of both sides share.
+
+    (method, key, left_state, relation, n_left, n_right, left_id, right_id, confidence, status). A key that one row of
+    either side has gives pairs, with their ids. All other keys give classes without ids: the left rows of a key
+    and state and, by relation, the right rows that agree with it, conflict, or of which one state is unknown. Their
+    members are the rows with that key and state; all pairs of a class have one confidence, as each member has
+    several partners. Left rows that have an exact partner take no part by the generic key.
+
+    States are counted for each key on both sides before they meet, so there are at most three rows for each
+    (key, left state) and the result is in proportion to the rows, however many of them share a key.
+    """
+    rows = left.select(F.col(left_id).alias("left_id"), F.col(exact).alias("e"), F.col(generic).alias("g"), F.col(state).alias("s"))
+    others = right.select(F.col(right_id).alias("right_id"), F.col(exact).alias("re"), F.col(generic).alias("rg"), F.col(state).alias("rs"))
+    exact_keys = others.filter("re <> ''").select(F.col("re").alias("e")).distinct()
+    sides = {"exact": (rows.filter("e <> ''"), "e", "re"), "generic": (rows.join(exact_keys.filter("e <> ''"), "e", "left_anti").filter("g <> ''"), "g", "rg")}
+
+    def level(kind: str, relation: Column) -> Column:
+        agree, conflict, unknown = cfg[kind]
+        return F.when(relation == "unknown", unknown).when(relation == "agree", agree).otherwise(conflict)
+
+    def rated(kind: str, several: Column) -> Column:
+        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), level(kind, F.col("relation")) - F.when(several, cfg["ambiguous"]).otherwise(0.0))), 3)
+
+    # in how many pairs a right row is: by its exact key, and by its generic key with the left rows that are left
+    partners = others
+    for kind, (side, key, own) in sides.items():
+        n = side.groupBy(F.col(key).alias(f"_{kind}")).agg(F.count("*").alias(f"n_{kind}"))
+        partners = partners.join(n, F.col(own) == F.col(f"_{kind}"), "left")
+    partners = partners.select("right_id", "re", "rg", "rs", (F.coalesce("n_exact", F.lit(0)) + F.coalesce("n_generic", F.lit(0))).alias("n_partners"))
+
+    out = None
+    for kind, (side, key, own) in sides.items():
+        classes = side.groupBy(F.col(key).alias("key"), F.col("s").alias("left_state")).agg(F.count("*").alias("n_left"))
+        met = others.filter(F.col(own) != "").groupBy(F.col(own).alias("rkey"), F.col("rs").alias("right_state")).agg(F.count("*").alias("n"))
+        whole = met.groupBy("rkey").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("right_state").isNull(), F.col("n")).otherwise(0)).alias("none"))
+        sums = classes.groupBy(F.col("key").alias("lkey")).agg(F.sum("n_left").alias("all_left")).join(whole, F.col("lkey") == F.col("rkey")).select("lkey", "all_left", "all", "none")
+        many = sums.filter((F.col("all_left") > 1) & (F.col("all") > 1))
+        same = met.filter("right_state is not null").select(F.col("rkey").alias("sk"), F.col("right_state").alias("ss"), F.col("n").alias("same"))
+        counted = classes.join(many, F.col("key") == F.col("lkey")).join(same, (F.col("key") == F.col("sk")) & (F.col("left_state") == F.col("ss")), "left").withColumn("same", F.coalesce("same", F.lit(0)))
+        unknown = F.when(F.col("left_state").isNull(), F.col("all")).otherwise(F.col("none"))
+        found = F.array(*(F.struct(F.lit(r).alias("relation"), n.cast("long").alias("n_right")) for r, n in (("agree", F.col("same")), ("conflict", F.col("all") - F.col("same") - unknown), ("unknown", unknown))))
+        wide = counted.select("key", "left_state", "n_left", F.inline(found)).filter("n_right > 0")
+        wide = wide.select(F.lit(kind).alias("method"), "key", "left_state", "relation", "n_left", "n_right", F.lit(None).cast(rows.schema["left_id"].dataType).alias("left_id"), F.lit(None).cast(others.schema["right_id"].dataType).alias("right_id"), rated(kind, F.lit(True)).alias("confidence"))
+        # one side of these keys has one row, so they join without a product
+        few = sums.filter((F.col("all_left") == 1) | (F.col("all") == 1)).withColumnRenamed("all", "n_own")
+        ones = side.join(few, F.col(key) == F.col("lkey")).join(partners, F.col(key) == F.col(own))
+        relation = F.when(F.col("s").isNull() | F.col("rs").isNull(), "unknown").when(F.col("s") == F.col("rs"), "agree").otherwise("conflict")
+        single = ones.withColumn("relation", relation).select(F.lit(kind).alias("method"), F.col(key).alias("key"), F.col("s").alias("left_state"), "relation", F.lit(1).cast("long").alias("n_left"), F.lit(1).cast("long").alias("n_right"), "left_id", "right_id", rated(kind, F.greatest("n_own", "n_partners") > 1).alias("confidence"))
+        out = wide.union(single) if out is None else out.union(wide).union(single)
+    status = F.when(F.col("confidence") >= cfg["auto"], "auto").when(F.col("confidence") >= cfg["review"], "review").otherwise("rejected")
+    return out.withColumn("status", status)
+
+
 def overlay(matches: DataFrame, key: str) -> DataFrame:
     """Keys with an automatic match."""
     return matches.filter("status = 'auto'").select(key).distinct()
@@ -256,12 +311,10 @@ def controlling_parent(owners: DataFrame, known: DataFrame, entity: str, name_ke
 def resolve_history_org(history: DataFrame, regs: DataFrame, person: str, name_key: str, org: str) -> DataFrame:
     """History rows with the org of the same person's registration whose name is equal, or of which they are a prefix of two words or more.
 
-    It depends on person and name alone: found once for each of these and joined back.
+    Every beginning of a registered name is a key with its best org, so a history row meets one row by equality.
     """
-    r = regs.select(F.col(person).alias("_p"), F.col(name_key).alias("_n"), F.col(org).alias("_org")).distinct()
-    prefix = (F.size(F.split(F.col(name_key), " ")) >= 2) & F.col("_n").startswith(F.concat(F.col(name_key), F.lit(" ")))
-    met = history.select(person, name_key).distinct().join(r, (F.col(person) == F.col("_p")) & ((F.col("_n") == F.col(name_key)) | prefix))
-    best = first_per_key(met, [person, name_key], [F.desc(F.col("_n") == F.col(name_key)), F.asc("_org")]).select(F.col(person).alias("_bp"), F.col(name_key).alias("_bn"), F.col("_org").alias(org))
+    r = regs.select(F.col(person).alias("_bp"), F.col(name_key).alias("_n"), F.col(org).alias("_org")).distinct()
+    best = prefix_table(r, "_n", [F.asc_nulls_last("_org"), F.asc("_n")], ["_bp"], least_words=2, prefix="_bn").select("_bp", "_bn", F.col("_org").alias(org))
     return history.drop(org).join(best, (F.col(person) == F.col("_bp")) & (F.col(name_key) == F.col("_bn")), "left").select(*(c for c in history.columns if c != org), org)
 
 

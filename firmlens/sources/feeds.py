@@ -211,13 +211,14 @@ def parse_holdings(docs: DataFrame, targets: DataFrame, filing: str = "filing",
 def match_offerings(queries: DataFrame, notices: DataFrame) -> DataFrame:
     """The best notice (notice_id, name, filed) of each query (query_id, name): equal names before names that begin with it, then the newest.
 
-    Names are compared by key; a prefix match shares its first word, which is the join's key.
+    Names are compared by key. Every beginning of a notice's name is a key of its own with its best notice, so a query
+    meets one row whatever the number of notices that share a first word. Blank names match nothing.
     """
-    key = lambda df, p: df.withColumn(f"{p}key", org_key(F.col("name"))).withColumn(f"{p}first", F.split_part(F.col(f"{p}key"), F.lit(" "), F.lit(1)))
-    q, n = key(queries, "q"), key(notices, "n").drop("name")
-    met = q.join(n, F.col("qfirst") == F.col("nfirst")).filter((F.col("nkey") == F.col("qkey")) | F.col("nkey").startswith(F.concat(F.col("qkey"), F.lit(" "))))
-    best = first_per_key(met.withColumn("exact", F.col("nkey") == F.col("qkey")), "query_id", [F.desc("exact"), F.desc("filed"), F.asc("notice_id")])
-    return best.select("query_id", "notice_id", "exact", "filed")
+    from ..operators.joins import prefix_table
+
+    known = prefix_table(notices.select("notice_id", org_key(F.col("name")).alias("_name"), "filed"), "_name", [F.desc("filed"), F.asc("notice_id")])
+    q = queries.select("query_id", org_key(F.col("name")).alias("_q"))
+    return q.join(known, F.col("_q") == F.col("prefix")).select("query_id", "notice_id", "exact", "filed")
 
 
 def build_history(archive: DataFrame, feed: DataFrame, key: str = "entity_id", date: str = "filing_date") -> DataFrame:

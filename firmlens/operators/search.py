@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..core.scratch import Scratch
 
 
 def current(df: DataFrame, registry: DataFrame, source: str = "source_key", snapshot: str = "snapshot_id") -> DataFrame:
@@ -195,6 +197,95 @@ def people_filters(key: str, scores: DataFrame, as_of: str, title: Callable[[Col
     }
 
 
+#: The signal by which a reporting platform is known. Fixed values.
+PLATFORM_SIGNAL = {"Black Diamond": "platform_black_diamond", "Orion": "platform_orion", "Tamarac": "platform_tamarac", "Addepar": "platform_addepar", "Advyzon": "platform_advyzon"}
+
+
+def settled(spec: Mapping[str, object]) -> dict[str, object]:
+    """A specification without empty values, with what belongs together in one: a product with its least score and
+    coverage (which mean nothing without it, as ``on_lists`` means nothing beside it), signal types with their days."""
+    given = {k: v for k, v in spec.items() if v is not None and v != "" and v != []}
+    if "product" in given:
+        given["product"] = (given["product"], given.get("min_score"), given.get("min_coverage"))
+        given.pop("on_lists", None)
+    if "signal_types" in given or "signal_days" in given:
+        given["signal"] = (given.get("signal_types", []), int(given.get("signal_days") or 90))
+    return {k: v for k, v in given.items() if k not in ("min_score", "min_coverage", "signal_types", "signal_days")}
+
+
+def universe_filters(key: str, tables: Mapping[str, DataFrame], as_of: Column, me: str = "") -> dict[str, Filter]:
+    """The filters of the search of all firms, for a specification that is ``settled``.
+
+    Firms have legal_name, business_name, city, state, raum, hnw_aum, iar_count, regulator, private_funds (flag),
+    hires_12m, departures_12m, owner and status. ``tables`` are scores (product, status, score, coverage), scope (firms on a list),
+    mail (platform), tags (tag, present), site (signal), custodians (custodian), contacts (kind, person, is_role,
+    confidence, verify_status), triggers (trigger_type, date, suppressed) and filers (status), each with the key.
+    """
+    t = tables
+
+    def on_product(df: DataFrame, value: object) -> DataFrame:
+        name, score, coverage = value
+        held = t["scores"].filter((F.col("status") == "scored") & (F.col("product") == name))
+        for column, least in (("score", score), ("coverage", coverage)):
+            held = held if least is None else held.filter(F.col(column) >= float(least))
+        return having_key(df, held)
+
+    def having_key(df: DataFrame, side: DataFrame, how: str = "left_semi") -> DataFrame:
+        return df.join(side.select(key).distinct(), key, how)
+
+    def uses(names: Sequence[str]) -> DataFrame:
+        said = t["tags"].filter(F.col("tag").isin(*names) & F.coalesce("present", F.lit(False)))
+        return said.select(key).union(t["site"].filter(F.col("signal").isin(*names)).select(key))
+
+    def with_all_tags(df: DataFrame, tags: Sequence[str]) -> DataFrame:
+        for tag in tags:
+            df = having_key(df, t["tags"].filter((F.col("tag") == tag) & F.coalesce("present", F.lit(False))))
+        return df
+
+    def with_signal(df: DataFrame, value: object) -> DataFrame:
+        types, days = value
+        live = t["triggers"].filter(~F.coalesce("suppressed", F.lit(False)) & (F.col("date") >= F.date_sub(as_of, days)))
+        return having_key(df, live.filter(F.col("trigger_type").isin(*types)) if types else live)
+
+    def owned(v: str) -> Column:
+        if v.lower() == "me" and me:
+            return F.col("owner") == me
+        return F.coalesce("owner", F.lit("")) == "" if v.lower() in ("unclaimed", "nobody", "none") else F.lower("owner").contains(v.lower())
+
+    email = t["contacts"].filter("kind = 'email'")
+    person = email.filter((F.coalesce("person", F.lit("")) != "") & ~F.coalesce("is_role", F.lit(False)) & (F.col("confidence") >= 60) & ~F.coalesce("verify_status", F.lit("")).isin("invalid", "no_mail_server"))
+    filed = t["filers"].filter(F.col("status").isin("auto", "confirmed"))
+    share = lambda v: v / 100 if v > 1 else v
+    states = lambda v: [s.strip().upper()[:2] for s in v if s and s.strip()]
+    return {
+        "product": on_product,
+        "on_lists": lambda df, v: having_key(df, t["scope"]) if v else df,
+        "states": lambda df, v: df.filter(F.col("state").isin(*states(v))) if states(v) else df,
+        "city": contains("city"),
+        "name": any_contains(["legal_name", "business_name"]),
+        "min_aum": at_least("raum"),
+        "max_aum": at_most("raum"),
+        "min_hnw_share": where(lambda v: (F.col("raum") > 0) & (F.coalesce("hnw_aum", F.lit(0)) / F.nullif(F.col("raum"), F.lit(0)) >= share(float(v)))),
+        "min_advisors": at_least("iar_count"),
+        "max_advisors": at_most("iar_count"),
+        "mail_platform": exists(t["mail"], key, lambda v: F.col("platform") == v),
+        "reporting_platform": lambda df, v: having_key(df, uses([PLATFORM_SIGNAL[v]])) if v in PLATFORM_SIGNAL else df,
+        "custodian": exists(t["custodians"], key, lambda v: F.lower("custodian").contains(v.lower())),
+        "platforms_any": lambda df, v: having_key(df, uses(v)),
+        "brochure_tags": with_all_tags,
+        "has_personal_email": lambda df, v: having_key(df, person) if v else df,
+        "has_verified_email": lambda df, v: having_key(df, email.filter("verify_status = 'valid'")) if v else df,
+        "min_hires_12m": at_least("hires_12m"),
+        "min_departures_12m": at_least("departures_12m"),
+        "signal": with_signal,
+        "registration": lambda df, v: df.filter(F.col("regulator") == v) if v in ("SEC", "STATE") else df,
+        "private_funds": tri_state("private_funds"),
+        "files_13f": lambda df, v: having_key(df, filed, "left_semi" if v else "left_anti"),
+        "owner": where(owned),
+        "status": equals("status"),
+    }
+
+
 def search(df: DataFrame, filters: Mapping[str, Filter], spec: Mapping[str, object]) -> tuple[DataFrame, list[str]]:
     """The rows for which every filter of the spec holds, and a description of what was applied.
 
@@ -209,14 +300,165 @@ def search(df: DataFrame, filters: Mapping[str, Filter], spec: Mapping[str, obje
     return df, said
 
 
+#: The orders of the lists: (column, descending); nulls come last and the key breaks ties. Fixed values.
+SORTS: dict[str, list[tuple[str, bool]]] = {
+    "score": [("score", True), ("raum", True)],
+    "aum": [("raum", True)],
+    "hires": [("hires_12m", True), ("raum", True)],
+    "growth": [("net_12m", True), ("raum", True)],
+    "advisors": [("iar_count", True)],
+    "signal": [("last_signal", True)],
+    "name": [("legal_name", False)],
+}
+
+
+def sort_spec(name: str) -> list[tuple[str, bool]]:
+    """An order by its name; by score if there is none of that name."""
+    return SORTS.get(name, SORTS["score"])
+
+
+def _orders(sort: Sequence[tuple[str, bool]], key: str) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in sort] + [F.asc_nulls_last(key)]
+
+
 def ordered(df: DataFrame, sort: Sequence[tuple[str, bool]], key: str) -> DataFrame:
     """Rows by (column, descending), nulls last, the key last."""
-    return df.orderBy(*(F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in sort), F.asc(key))
+    return df.orderBy(*_orders(sort, key))
+
 
+#: A page that ends up to this row is taken from the top rows of every task.
+SHALLOW = 10_000
+
+
+def page(df: DataFrame, sort: Sequence[tuple[str, bool]], key: str, number: int, per: int, shallow: int = SHALLOW) -> DataFrame:
+    """A page of the sorted rows; the limit is the operator's meaning.
+
+    Near the top every task gives its first rows. Further down the rows are dealt to ranges of the order
+    (``Pages``), and only those that hold the page are read.
+    """
+    if number * per <= shallow:
+        return ordered(df, sort, key).offset((number - 1) * per).limit(per)
+    return Pages(df, sort, key).page(number, per)
+
+
+class Pages:
+    """All rows in the written ranges of an order, with the number of rows before each; any page reads a few ranges.
+
+    The key tells all rows apart. What the driver holds is one number for each range, of which there are
+    ``ranges``, by default as many as shuffle partitions.
+    """
+
+    def __init__(self, df: DataFrame, sort: Sequence[tuple[str, bool]], key: str, ranges: int | None = None):
+        spark = df.sparkSession
+        self.columns, self.orders = df.columns, _orders(sort, key)
+        parts = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = df.repartitionByRange(parts, *self.orders).withColumn("_range", F.spark_partition_id())
+        path = Scratch(spark, "pages").where("ranges")
+        dealt.write.partitionBy("_range").parquet(path)
+        self.rows = spark.read.schema(dealt.schema).parquet(path)
+        counts = dict(map(tuple, self.rows.groupBy("_range").agg(F.count("*")).collect()))
+        self.begins, self.total = {}, 0
+        for k in sorted(counts):
+            self.begins[k] = self.total
+            self.total += counts[k]
+
+    def between(self, first: int, upto: int) -> DataFrame:
+        """Rows from place ``first`` (the first is 0) to before ``upto``, in order."""
+        edges = [*self.begins.items()]
+        ends = [b for _, b in edges[1:]] + [self.total]
+        held = [(k, b) for (k, b), e in zip(edges, ends) if b < upto and e > first]
+        if not held:
+            return self.rows.limit(0).select(*self.columns)
+        some = self.rows.filter(F.col("_range").isin([k for k, _ in held]))
+        before = F.lit(0)
+        for k, b in held:
+            before = F.when(F.col("_range") == k, b).otherwise(before)
+        place = before + F.row_number().over(Window.partitionBy("_range").orderBy(*self.orders)) - 1
+        return some.withColumn("_place", place).filter(F.col("_place").between(first, upto - 1)).orderBy("_place").select(*self.columns)
+
+    def page(self, number: int, per: int) -> DataFrame:
+        return self.between((number - 1) * per, number * per)
+
+
+def after(df: DataFrame, sort: Sequence[tuple[str, bool]], key: str, last: Mapping[str, object] | None, per: int) -> DataFrame:
+    """The ``per`` rows that follow the row with the values ``last`` of the sort columns and the key; from the top without one.
+
+    A filter and the top rows of every task: a page costs the same wherever it is.
+    """
+    if last is not None:
+        further, same = F.lit(False), F.lit(True)
+        for c, down in [*sort, (key, False)]:
+            v = last[c]
+            if v is not None:  # nulls are last: nothing comes after one but by the next columns
+                beyond = (F.col(c) < v) if down else (F.col(c) > v)
+                further = further | (same & (beyond | F.col(c).isNull()))
+            same = same & F.col(c).eqNullSafe(F.lit(v))
+        df = df.filter(further)
+    return ordered(df, sort, key).limit(per)
+
+
+class TextIndex:
+    """Names by the three-letter pieces they hold, so that a search for a part of a name reads a few files.
+
+    Every row gives one posting (piece, key, name) for each different piece of its name in lower case; postings lie in
+    ``buckets`` folders by a hash of the piece, sorted by piece, with a table of counts. A search takes the rarest of its own pieces, reads
+    that piece's rows and keeps the names that hold the whole text, so it gives what a scan gives. A text of under three
+    letters has no piece: the names themselves are scanned.
+    """
 
-def page(df: DataFrame, sort: Sequence[tuple[str, bool]], key: str, number: int, per: int) -> DataFrame:
-    """A page of the sorted rows; the limit is the operator's meaning."""
-    return ordered(df, sort, key).offset((number - 1) * per).limit(per)
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.names = spark.read.parquet(f"{path}/names")
+        kind = self.names.schema["key"].dataType.simpleString()
+        self._schemas = {"postings": f"piece string, key {kind}, name string, bucket int", "counts": "piece string, n long, bucket int"}
+
+    @staticmethod
+    def _pieces(name: Column) -> Column:
+        low = F.lower(name)
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, name: str, path: str, buckets: int = 64) -> TextIndex:
+        spark = df.sparkSession
+        rows = df.filter(F.col(name).isNotNull()).select(F.col(key).alias("key"), F.col(name).alias("name"))
+        rows.write.parquet(f"{path}/names")
+        held = spark.read.schema(rows.schema).parquet(f"{path}/names")
+        posts = held.filter(F.char_length("name") >= 3).select(F.explode(cls._pieces(F.col("name"))).alias("piece"), "key", "name")
+        placed = posts.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int"))
+        # a piece that very many names hold is split over tasks; each file is in order of pieces, so its blocks are skipped by their limits
+        placed.hint("rebalance", "bucket", "piece").sortWithinPartitions("bucket", "piece").write.partitionBy("bucket").parquet(f"{path}/postings")
+        out = cls(spark, path, buckets)
+        out._table("postings").groupBy("bucket", "piece").agg(F.count("*").alias("n")).write.partitionBy("bucket").parquet(f"{path}/counts")
+        return out
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
+
+    def _at(self, table: str, pieces: list[str]) -> DataFrame:
+        asked = self.spark.createDataFrame([(p,) for p in pieces], "piece string")
+        buckets = [r[0] for r in asked.select(F.pmod(F.xxhash64("piece"), F.lit(self.buckets)).cast("int")).distinct().collect()]
+        return self._table(table).filter(F.col("bucket").isin(buckets) & F.col("piece").isin(pieces))
+
+    def rarest(self, text: str) -> str | None:
+        """The piece of the text that fewest names hold; None if one of its pieces is in no name."""
+        low = text.lower()
+        pieces = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+        counts = {r.piece: r.n for r in self._at("counts", pieces).collect()}  # one row for each piece of the text
+        return min(pieces, key=lambda p: (counts[p], p)) if len(counts) == len(pieces) else None
+
+    def search(self, text: str) -> DataFrame:
+        """(key, name) of all names that hold the text, in any case."""
+        holds = F.lower("name").contains(text.lower())
+        if len(text.lower()) < 3:
+            return self.names.filter(holds)
+        piece = self.rarest(text)
+        if piece is None:
+            return self.names.limit(0)
+        return self._at("postings", [piece]).filter(holds).select("key", "name")
+
+    def filter_by(self, key: str) -> Filter:
+        """A filter of a search by part of a name, by way of the index."""
+        return lambda df, value: df.join(self.search(str(value)).select(F.col("key").alias("_held")), F.col(key) == F.col("_held"), "left_semi")
 
 
 def facet_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:

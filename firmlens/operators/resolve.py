@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.frames import first_per_key, mode_by
-from ..functions.names import fold_accents, parse_name
+from ..core.scratch import Scratch
+from ..functions.names import CREDENTIALS, fold_accents, parse_name
 from .joins import prefix_table
 
 #: Confidence by kind of key and agreement of states, the penalty of ambiguity, and the bands. Fixed values.
@@ -275,31 +276,142 @@ def attach_phone(people: DataFrame, offices: DataFrame, main: DataFrame, org: st
     return joined.select(*people.columns, choice["phone"].alias("phone"), choice["confidence"].alias("confidence"))
 
 
-def attach_profiles(profiles: DataFrame, people: DataFrame, org: str) -> DataFrame:
-    """(slug, person, status) of page profiles: the only person of the org whose first and last name are in the slug is
-    matched; else the only one whose last name is and whose first initial fits is probable."""
-    p = people.select(F.col(org).alias("_o"), "person", F.lower("first").alias("_f"), F.lower("last").alias("_l"))
-    slug = F.lower("slug")
-    met = profiles.join(p, (F.col(org) == F.col("_o")) & slug.contains(F.col("_l")))
-    strong = slug.contains(F.col("_f"))
-    weak = slug.startswith(F.substring("_f", 1, 1))
-    rated = met.select(org, "slug", "person", strong.alias("strong"), (weak & ~strong).alias("weak"))
-    n = rated.groupBy(org, "slug").agg(F.countDistinct(F.when(F.col("strong"), F.col("person"))).alias("n_strong"), F.countDistinct(F.when(F.col("weak"), F.col("person"))).alias("n_weak"), F.min(F.when(F.col("strong"), F.col("person"))).alias("p_strong"), F.min(F.when(F.col("weak"), F.col("person"))).alias("p_weak"))
-    best = F.when(F.col("n_strong") == 1, F.struct(F.col("p_strong").alias("person"), F.lit("matched").alias("status"))).when((F.col("n_strong") == 0) & (F.col("n_weak") == 1), F.struct(F.col("p_weak").alias("person"), F.lit("probable").alias("status")))
-    return n.withColumn("_b", best).filter(F.col("_b").isNotNull()).select(org, "slug", "_b.*")
-
-
-def judge_results(results: DataFrame, people: DataFrame, taken: DataFrame) -> DataFrame:
-    """Search results (person, url, title) of people (person, first, last, firm): matched if the whole name and the firm
-    are in the title, probable if the name only; the best per person by that, then by url; urls taken already are out."""
-    p = people.withColumnRenamed("person", "_p")
-    padded = F.concat(F.lit(" "), F.lower(F.regexp_replace("title", "[^A-Za-z0-9]+", " ")), F.lit(" "))
-    has = lambda c: padded.contains(F.concat(F.lit(" "), F.lower(c), F.lit(" ")))
+#: Levels of a fit between a profile's slug and a person's name.
+STRONG, WEAK = 2, 1
+
+
+#: Letters of middle names that may stand between a given name and a surname that are run together.
+_BETWEEN = 12
+
+
+def _slug_keys(slug: Column) -> Column:
+    """The names that a slug may spell: [(level, key)], key 'first|last'.
+
+    Of several words any may be the first name and any other, or two neighbours together, the last. A single word is
+    cut: its beginning and its end are the names in either order, with some letters of middle names between them; or, weakly, an initial and
+    the rest. Ids that sites append, and credentials, are no words.
+    """
+    raw = F.filter(F.split(F.lower(fold_accents(F.coalesce(slug, F.lit("")))), "[^a-z0-9]+"), lambda w: ~w.rlike("^[0-9a-f]*[0-9][0-9a-f]*$"))
+    words = F.filter(F.transform(raw, lambda w: F.regexp_replace(w, "[0-9]+", "")), lambda w: (w != "") & ~w.isin(*(c.lower() for c in CREDENTIALS)))
+    both = lambda first, last: F.array(*(F.struct(F.lit(level).alias("level"), F.concat(first, F.lit("|"), last).alias("key")) for level in (STRONG, WEAK)))
+    n_words = F.size(words)
+    spots = lambda c: F.when(c > 0, F.sequence(F.lit(1), c)).otherwise(F.array().cast("array<int>"))
+    word = lambda i: F.get(words, i - 1)
+    pairs = F.flatten(F.flatten(F.transform(spots(n_words), lambda i: F.transform(F.filter(spots(n_words), lambda j: j != i), lambda j: both(word(i), word(j))))))
+    joined = F.flatten(F.flatten(F.transform(spots(n_words), lambda i: F.transform(F.filter(spots(n_words - 1), lambda j: (j != i) & (j + 1 != i)), lambda j: both(word(i), F.concat(word(j), word(j + 1)))))))
+    one = F.get(words, F.lit(0))
+    n = F.char_length(one)
+    rest = lambda k: F.substring(one, k + 1, n)
+    beginning = lambda k: F.substring(one, F.lit(1), k)
+    cuts = F.flatten(F.flatten(F.transform(spots(n - 1), lambda i: F.transform(F.filter(spots(n - 1), lambda j: (j >= i) & (j <= i + _BETWEEN)), lambda j: both(beginning(i), rest(j))))))
+    turned = F.flatten(F.transform(spots(n - 1), lambda i: both(rest(i), beginning(i))))
+    # a weak fit of a single word leaves no letter over
+    level = lambda x: F.struct(x["level"].alias("level"), x["key"].alias("key"))
+    tight = F.filter(cuts, lambda x: (x["level"] == STRONG) | (F.char_length(x["key"]) == n + 1))
+    return F.array_distinct(F.transform(F.when(n_words > 1, F.concat(pairs, joined)).otherwise(F.concat(tight, turned)), level))
+
+
+def _person_keys(first: Column, middle: Column, last: Column, nicknames: Sequence[tuple[str, str]]) -> Column:
+    """The keys of a person: given names of two letters and more with the surname or a part of it, strong; the initial or a middle name with it, weak."""
+    plain = lambda c: F.regexp_replace(F.lower(fold_accents(F.coalesce(c, F.lit("")))), "[^a-z]+", "")
+    parts = lambda c, by: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), by), plain), lambda w: w != "")
+    f = plain(first)
+    called = F.array(f, *(F.when(f == a.lower(), F.lit(b.lower())) for x, y in nicknames for a, b in ((x, y), (y, x))))
+    given = F.filter(F.array_distinct(F.array_compact(called)), lambda w: F.char_length(w) > 1)
+    lasts = F.filter(F.array_distinct(F.concat(F.array(plain(last)), F.filter(parts(last, "-"), lambda w: F.char_length(w) > 1))), lambda w: w != "")
+    faint = F.filter(F.array_distinct(F.concat(F.array(F.substring(f, 1, 1)), parts(middle, " "), F.transform(parts(middle, " "), lambda w: F.substring(w, 1, 1)))), lambda w: w != "")
+    with_last = lambda level, names: F.flatten(F.transform(names, lambda a: F.transform(lasts, lambda b: F.struct(F.lit(level).alias("level"), F.concat(a, F.lit("|"), b).alias("key")))))
+    return F.array_distinct(F.concat(with_last(STRONG, given), with_last(WEAK, faint)))
+
+
+def assign_profiles(profiles: DataFrame, people: DataFrame, org: str, scratch: Scratch, slug: str = "slug", person: str = "person", first: str = "first", last: str = "last", middle: str | None = None, nicknames: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(org, slug, person, status) of page profiles given to people one to one: matched by given name and surname, probable by initial or middle name and surname.
+
+    Within an organisation a slug and a person choose each other if each is the other's only fit of the better
+    level; both leave, and the rest choose again until nobody is chosen. So no person has two slugs
+    and no slug two people, and what stays tied stays open. Names are letters only, without accents; a name of which a part is empty fits nothing.
+
+    Slugs and people meet by the keys that a slug may spell, and only as counts for each key, so
+    a name that very many share costs its rows, not their product.
+    """
+    keys = _person_keys(F.col(first), F.lit(None).cast("string") if middle is None else F.col(middle), F.col(last), nicknames)
+    keyed = people.filter(F.col(org).isNotNull()).select(F.col(org).alias("org"), F.col(person).alias("who"), F.inline(keys)).distinct()
+    spelled = profiles.filter(F.col(org).isNotNull() & F.col(slug).isNotNull()).select(F.col(org).alias("org"), F.col(slug).alias("who")).distinct().select("org", "who", F.inline(_slug_keys(F.col("who"))))
+    # only keys of both sides matter
+    both = scratch.save(spelled.select("org", "level", "key").distinct().join(keyed.select("org", "level", "key").distinct(), ["org", "level", "key"]), "keys")
+    sides = [scratch.save(side.join(both, ["org", "level", "key"], "left_semi"), "side") for side in (spelled, keyed)]
+
+    def choices(own: DataFrame, other: DataFrame, names: tuple[str, str]) -> DataFrame:
+        counted = other.groupBy("org", "level", "key").agg(F.countDistinct("who").alias("n"), F.min("who").alias("one"))
+        met = own.join(counted, ["org", "level", "key"])
+        best = met.groupBy("org", "who").agg(F.max("level").alias("level")).withColumnsRenamed({"org": "_org", "who": "_who", "level": "_level"})
+        top = met.join(best, (F.col("org") == F.col("_org")) & (F.col("who") == F.col("_who")) & (F.col("level") == F.col("_level")))
+        # several keys may lead to one person: then the least and greatest are equal
+        only = top.groupBy("org", "who", "level").agg(F.max("n").alias("n"), F.min("one").alias("low"), F.max("one").alias("high")).filter("n = 1 and low = high")
+        return only.select("org", F.col("who").alias(names[0]), F.col("low").alias(names[1]), "level")
+
+    given, slugs, persons = None, *sides
+    while True:
+        by_slug, by_person = choices(slugs, persons, ("slug", "person")), choices(persons, slugs, ("person", "slug"))
+        agreed = scratch.save(by_slug.join(by_person, ["org", "slug", "person", "level"]), "agreed")
+        if agreed.isEmpty():
+            break
+        given = agreed if given is None else given.union(agreed)
+        slugs = scratch.save(slugs.join(agreed.select("org", F.col("slug").alias("who")), ["org", "who"], "left_anti"), "slugs")
+        persons = scratch.save(persons.join(agreed.select("org", F.col("person").alias("who")), ["org", "who"], "left_anti"), "persons")
+    given = agreed if given is None else given
+    return given.select(F.col("org").alias(org), "slug", "person", F.when(F.col("level") == STRONG, "matched").otherwise("probable").alias("status"))
+
+
+def mutual_best(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
+    """Of scored pairs those that choose each other: each is the other's only best; they leave, and the rest choose again until nobody is chosen.
+
+    No ``a`` and no ``b`` is in two rows of the result; ties stay open. Every round is two aggregations over the pairs that are left.
+    """
+    left = scratch.save(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("score")).filter("a is not null and b is not null").groupBy("a", "b").agg(F.max("score").alias("score")), "edges")
+    given = None
+    while True:
+        sides = []
+        for own, other in (("a", "b"), ("b", "a")):
+            top = left.groupBy(own).agg(F.max("score").alias("score"))
+            sides.append(left.join(top, [own, "score"]).groupBy(own, "score").agg(F.count("*").alias("n"), F.min(other).alias(other)).filter("n = 1").select("a", "b", "score"))
+        agreed = scratch.save(sides[0].join(sides[1], ["a", "b", "score"]), "agreed")
+        if agreed.isEmpty():
+            break
+        given = agreed if given is None else given.union(agreed)
+        left = scratch.save(left.join(agreed.select("a"), "a", "left_anti").join(agreed.select("b"), "b", "left_anti"), "edges")
+    given = agreed if given is None else given
+    return given.select(F.col("a").alias(a), F.col("b").alias(b), F.col("score").alias(score))
+
+
+#: Words of firms' names that tell nothing about which firm it is. Fixed values.
+FIRM_WORDS = ("advisors", "advisers", "advisory", "and", "asset", "associates", "capital", "co", "company", "corp", "financial", "fund", "funds", "group", "holdings", "inc", "investment", "investments", "llc", "llp", "lp", "ltd", "management", "of", "partners", "planning", "services", "the", "trust", "wealth")
+
+
+def judge_results(results: DataFrame, people: DataFrame, taken: DataFrame, scratch: Scratch) -> DataFrame:
+    """(person, url, status) of search results (person, url, title, snippet) for people (person, first, last, firm, domain), one to one.
+
+    The name fits strongly if first and last name stand in the title, weakly if the last name does behind the
+    first's initial. The firm's name without the words that firms share is strong evidence as a phrase in title or snippet
+    (unless it is one short word), one of its words or its domain's name is weak; words of the person's own name are no
+    evidence. Strong and strong is matched, weak and weak nothing, else probable. A url that is taken is out; a
+    person and a url choose each other if each is the other's only best, so no url serves two people.
+    """
+    flat = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(fold_accents(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " ")), F.lit(" "))
+    p = people.select(F.col("person").alias("_p"), F.trim(flat(F.col("first"))).alias("_f"), F.trim(flat(F.col("last"))).alias("_l"), F.filter(F.split(F.trim(flat(F.col("firm"))), " "), lambda w: ~w.isin(*FIRM_WORDS) & (w != "")).alias("_core"), F.trim(flat(F.split_part(F.coalesce("domain", F.lit("")), F.lit("."), F.lit(1)))).alias("_domain"))
     joined = results.join(taken.select("url").distinct(), "url", "left_anti").join(p, F.col("person") == F.col("_p"))
-    rank = F.when(has(F.col("first")) & has(F.col("last")), F.when(has(F.col("firm")), 2).otherwise(1))
-    rated = joined.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
-    best = first_per_key(rated, "person", [F.desc("_rank"), F.asc("url")])
-    return best.select("person", "url", F.when(F.col("_rank") == 2, "matched").otherwise("probable").alias("status"))
+    has = lambda text, phrase: (phrase != "") & text.contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
+    title = flat(F.col("title"))
+    whole = F.concat(title, flat(F.col("snippet")))
+    name = F.when(has(title, F.col("_f")) & has(title, F.col("_l")), STRONG).when(has(title, F.col("_l")) & (F.col("_f") != "") & F.rlike(title, F.concat(F.lit(" "), F.substring("_f", 1, 1), F.lit(" (.* )?"), F.col("_l"), F.lit(" "))), WEAK)
+    foreign = F.filter("_core", lambda w: (w != F.col("_f")) & (w != F.col("_l")))
+    phrase = F.array_join("_core", " ")
+    strong = (F.size(foreign) > 0) & has(whole, phrase) & ((F.size("_core") > 1) | (F.char_length(phrase) >= 5))
+    some = F.exists(foreign, lambda w: (F.char_length(w) >= 3) & has(whole, w)) | ((F.char_length("_domain") >= 5) & F.replace(whole, F.lit(" "), F.lit("")).contains(F.replace(F.col("_domain"), F.lit(" "), F.lit(""))) & ~F.col("_domain").contains(F.col("_l")))
+    firm = F.when(strong, STRONG).when(some, WEAK)
+    rated = joined.withColumns({"_name": name, "_firm": firm}).withColumn("score", F.col("_name") + F.col("_firm")).filter("score > 2")  # null without either
+    chosen = mutual_best(rated.select("person", "url", "score"), scratch, "person", "url")
+    return chosen.select("person", "url", F.when(F.col("score") == 2 * STRONG, "matched").otherwise("probable").alias("status"))
 
 
 def controlling_parent(owners: DataFrame, known: DataFrame, entity: str, name_key: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lists, scoring, serving, signals, streams
+from . import lists, lookups, scoring, serving, signals, streams
 
-_FAMILIES = (signals, scoring, serving, lists, streams)
+_FAMILIES = (signals, scoring, serving, lists, lookups, streams)
 
 
 def queries() -> dict[str, Callable]:

@@ -76,3 +76,97 @@ def test_history_orgs_by_prefix(spark):
     rows = [("p", "alpha beta"), ("p", "alpha"), ("p", "alpha beta gamma"), ("p", "delta"), ("q", "delta"), ("q", "delta one"), ("q", "delta one t"), ("q", None), (None, "delta")]
     out = R.resolve_history_org(spark.createDataFrame([(*r, None) for r in rows], "person string, name string, org string"), regs, "person", "name", "org").collect()
     assert {(r.person, r.name): r.org for r in out} == dict(zip(rows, ["2", None, "1", "3", None, "4", None, None, None]))
+
+
+def one_to_one(edges):
+    """Rounds of mutual only-best over {(a, b): score}."""
+    edges, out = dict(edges), {}
+    while True:
+        best = {}
+        for side in (0, 1):
+            for e, s in edges.items():
+                top, who = best.get((side, e[side]), (None, []))
+                best[side, e[side]] = (s, [e]) if top is None or s > top else (top, [*who, e]) if s == top else (top, who)
+        agreed = [e for e in edges if best[0, e[0]][1] == [e] and best[1, e[1]][1] == [e]]
+        if not agreed:
+            return out
+        for e in agreed:
+            out[e] = edges[e]
+        a, b = {e[0] for e in agreed}, {e[1] for e in agreed}
+        edges = {e: s for e, s in edges.items() if e[0] not in a and e[1] not in b}
+
+
+def fits(slug, first, last, middle=None, nick=(("john", "jack"),)):
+    import re
+    import unicodedata
+
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", (x or "").lower()) if not unicodedata.combining(c))
+    only = lambda x: re.sub("[^a-z]", "", plain(x))
+    words = [re.sub("[0-9]", "", w) for w in re.split("[^a-z0-9]+", plain(slug)) if not re.fullmatch("[0-9a-f]*[0-9][0-9a-f]*", w)]
+    words = [w for w in words if w and w != "cfp"]
+    f = only(first)
+    givens = [g for g in {f, *(b for a, b in nick if a == f), *(a for a, b in nick if b == f)} if len(g) > 1]
+    lasts = {x for x in (only(last), *(only(p) for p in (last or "").split("-") if len(only(p)) > 1)) if x}
+    middles = [only(m) for m in (middle or "").split() if only(m)]
+    faint = {x for x in (f[:1], *middles, *(m[0] for m in middles)) if x}
+    best = 0
+    for la in lasts:
+        if len(words) > 1:
+            spots = [({i}, w) for i, w in enumerate(words)] + [({i, i + 1}, words[i] + words[i + 1]) for i in range(len(words) - 1)]
+            others = {words[i] for at, w in spots if w == la for i in range(len(words)) if i not in at}
+            best = max(best, 2 if others & set(givens) else 1 if others & faint else 0)
+        elif words:
+            one = words[0]
+            if any(one == la + g or (one.startswith(g) and one.endswith(la) and len(g) + len(la) <= len(one) <= len(g) + len(la) + 12) for g in givens):
+                best = 2
+            elif any(one in (m + la, la + m) for m in faint):
+                best = max(best, 1)
+    return best
+
+
+def test_profiles_go_to_people_one_to_one(spark, tmp_path):
+    from firmlens.core.scratch import Scratch
+
+    rng = random.Random(23)
+    orgs = [f"o{k}" for k in range(12)]
+    firsts, lasts, middles = ["John", "Jack", "Jane", "José", "Al", "Smith", "J", None], ["Smith", "Lee", "van Dyke", "Núñez", "John", "Lee-Poe", "D'Arc", ""], [None, "Q", "Mary Lou"]
+    people = [(rng.choice(orgs), i, rng.choice(firsts), rng.choice(lasts), rng.choice(middles)) for i in range(90)]
+    people += [("x", 900 + i, "Ann", "Poe", None) for i in range(3)] + [("x", 950, "Amy", "Poe", None), (None, 960, "Ann", "Poe", None)]
+    slugs = {(rng.choice(orgs), rng.choice([f"{a}-{b}", f"{b}-{a}-9a1", f"{a}{b}", f"{a[:1]}{b}", f"{b}{a[:1]}77", f"{a}-q-{b}-cfp", f"{a}quinn{b}", f"{a[:1]}-{b}-77", f"mary-{b}", f"james-{b}"])) for a in ("john", "jane", "jose", "al", "smith") for b in ("smith", "lee", "vandyke", "van-dyke", "nunez", "john", "d-arc") for _ in range(6)}
+    slugs |= {("x", "ann-poe"), ("x", "amypoe"), ("x", "a-poe"), ("x", None), (None, "ann-poe"), ("x", ""), ("x", "123")}
+    got = R.assign_profiles(spark.createDataFrame(sorted(slugs, key=str), "org string, slug string"), spark.createDataFrame(people, "org string, person int, first string, last string, middle string"), "org", Scratch(spark, "t"), middle="middle", nicknames=[("John", "Jack")]).collect()
+    edges = {((o, s), (q, i)): n for o, s in slugs for q, i, f, l, m in people if o is not None and s is not None and o == q and (n := fits(s, f, l, m))}
+    want = one_to_one(edges)
+    assert {((r.org, r.slug), (r.org, r.person)): 2 if r.status == "matched" else 1 for r in got} == want
+    assert len(want) > 15 and set(want.values()) == {1, 2}
+    assert len({r.person for r in got}) == len(got) == len({(r.org, r.slug) for r in got})
+
+
+def test_results_are_judged_and_no_url_serves_two(spark):
+    from firmlens.core.scratch import Scratch
+
+    people = spark.createDataFrame([(1, "Ann", "Lee", "Acorn Ridge Capital LLC", "acornridge.com"), (2, "Amy", "Lee", "Acorn Ridge Capital LLC", "acornridge.com"), (3, "Joel", "Stone", "Joel Stone & Co", None), (4, "Bo", "Ek", "Oak", "oak.com"), (5, None, "Ray", "Birchwood", "x.com")], "person int, first string, last string, firm string, domain string")
+    results = spark.createDataFrame(
+        [
+            (1, "u1", "Ann Lee - Acorn Ridge", ""), (1, "u2", "Ann Lee", "partner at Acorn"), (2, "u1", "A. Lee - Acorn Ridge Capital", None), (2, "u3", "Amy Lee | Boston", "acornridge.com"), (3, "u4", "Joel Stone", "Joel Stone"),
+            (4, "u5", "Bo Ek - Oak", None), (4, "u6", "Bo Ek", "nothing"), (5, "u7", "Ray at Birchwood", None), (1, "u8", "Ann Lee - Acorn Ridge", "taken"), (9, "u9", "Who", None), (1, None, "Ann Lee - Acorn Ridge", None),
+        ],
+        "person int, url string, title string, snippet string",
+    )
+    taken = spark.createDataFrame([("u8",)], "url string")
+    got = {(r.person, r.url, r.status) for r in R.judge_results(results, people, taken, Scratch(spark, "t")).collect()}
+    assert got == {(1, "u1", "matched"), (2, "u3", "probable"), (4, "u5", "probable")}
+
+
+def test_mutual_best_against_rounds_by_hand(spark):
+    from firmlens.core.scratch import Scratch
+
+    rng = random.Random(31)
+    rows = [(rng.randrange(25), rng.randrange(25), rng.randrange(60)) for _ in range(140)] + [(None, 1, 99), (1, None, 99)]
+    edges = {}
+    for a, b, s in rows:
+        if a is not None and b is not None:
+            edges[a, b] = max(s, edges.get((a, b), -1))
+    got = {(r.a, r.b): r.score for r in R.mutual_best(spark.createDataFrame(rows, "a int, b int, score int"), Scratch(spark, "t")).collect()}
+    assert got == one_to_one(edges) and len(got) > 8
+    assert R.mutual_best(spark.createDataFrame([], "a int, b int, score int"), Scratch(spark, "t")).collect() == []

@@ -11,6 +11,7 @@ import xxhash
 from firmlens import plans
 from firmlens.operators import text
 from oracle import assert_same
+from test_matching import fits, one_to_one
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
@@ -25,7 +26,7 @@ def test_query(spark, sf, name):
 
 
 def test_queries_without_sql(spark):
-    assert set(QUERIES) - set(SQL) == {"page_cards", "page_phones", "sampled_keys"}  # each is tested below
+    assert set(QUERIES) - set(SQL) == {"page_cards", "page_phones", "profile_choice", "sampled_keys"}  # each is tested below
 
 
 def test_sampled_keys(spark, sf):
@@ -69,6 +70,15 @@ def test_page_phones(spark, sf):
     assert got == {k: names[v] for k, v in want.items() if names[v] != "fax"}
 
 
+def test_profile_choice(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    named = [(r.p_brand, r.p_partkey, r.p_name.split(" ")) for r in parts]
+    slugs = {(b, f"{w[0]}-{w[-1]}" if k % 2 == 0 else w[0][0] + w[-1]) for b, k, w in named}
+    edges = {((b, s), (b, k)): n for b, s in slugs for c, k, w in named if b == c and (n := fits(s, w[0], w[-1]))}
+    got = {((r.org, r.slug), (r.org, r.person)): 2 if r.status == "matched" else 1 for r in QUERIES["profile_choice"](spark, sf).collect()}
+    assert got == one_to_one(edges) and got
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.scratch import Scratch
-from ..operators import joins as J, resolve as R, search as C
+from ..operators import joins as J, resolve as R, search as C, sites as W
 from ..sources import feeds as A
 from .tables import orders, read
 
@@ -96,4 +96,52 @@ def profile_choice(spark: SparkSession, d: str) -> DataFrame:
     return R.assign_profiles(p.select(F.col("p_brand").alias("org"), slug.alias("slug")), people, "org", Scratch(spark, "profiles"))
 
 
-QUERIES = {f.__name__: f for f in (match_classes, offering_match, order_before, deep_page, cursor_page, find_indexed, profile_choice)}
+def site_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Of every page the number of fragments of its own, of its site's frame and of framing elements, and its own text's digest."""
+    whole = W.cut_pages(read(spark, d, "pages"))
+    out = W.split_frame(whole, W.site_frames(whole)).withColumnsRenamed({"body": "own", "framing": "all_framing"})
+    framing = whole.select(F.col("page_id").alias("_p"), F.size("framing").alias("n_elements"))
+    joined = out.join(framing, F.col("page_id") == F.col("_p"))
+    return joined.select("page_id", "site", F.size("own").alias("n_own"), (F.size("all_framing") - F.col("n_elements")).alias("n_frame"), F.md5(F.array_join("own", "\n").cast("binary")).alias("own_md5"))
+
+
+_FRAGMENTS = "list_filter(list_transform(string_split_regex({}, '" + W.BLOCKS.replace("'", "''") + "'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
+SQL["site_frames"] = f"""WITH s AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS site, regexp_replace(coalesce(html, ''), '{W.HIDDEN}', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, site, {_FRAGMENTS.format("regexp_replace(h, '" + W.FRAMING + "', '<br>', 'g')")} AS body FROM s),
+n AS (SELECT site, count(*) AS n_pages FROM b GROUP BY 1 HAVING count(*) >= 3),
+f AS (SELECT site, x FROM (SELECT page_id, site, unnest(list_distinct(body)) AS x FROM b) JOIN n USING (site) GROUP BY site, x, n_pages HAVING count(*) >= 0.5 * n_pages),
+g AS (SELECT site, list(x) AS frame FROM f GROUP BY 1),
+o AS (SELECT page_id, b.site, list_filter(body, lambda x: NOT coalesce(list_contains(frame, x), false)) AS own, body FROM b LEFT JOIN g ON b.site = g.site)
+SELECT page_id, site, CAST(len(own) AS INT) AS n_own, CAST(len(body) - len(own) AS INT) AS n_frame, md5(array_to_string(own, chr(10))) AS own_md5 FROM o"""
+
+
+def _with_contacts(pages: DataFrame) -> DataFrame:
+    """The pages with a paragraph of numbers and openings made from their ids: the given ones hold none."""
+    i = F.col("page_id")
+    more = F.concat(
+        F.lit("<p>Direct: 415-555-"), (1000 + i % 900).cast("string"), F.lit("</p><p>Mobile 617-555-"), (2000 + i % 50).cast("string"), F.lit(" ext. "), (i % 7 + 1).cast("string"), F.lit("</p><p>617-555-"), (2000 + i % 50).cast("string"),
+        F.lit("</p><p>fax 202-555-"), (3000 + i % 9).cast("string"), F.lit("</p><footer>Call 415-555-"), (1000 + i % 3).cast("string"), F.lit("</footer><h2>"), F.when(i % 2 == 0, "Client Service Associate").otherwise("Tax Planning"), F.lit('</h2><script>{"jobTitle":"Analyst No '), (i % 5).cast("string"), F.lit('"}</script>'),
+    )
+    return pages.withColumn("html", F.concat("html", more))
+
+
+def site_phones(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of pages outside their site's frame, of the pages with numbers added."""
+    whole = W.cut_pages(_with_contacts(read(spark, d, "pages")))
+    return W.site_phones(W.split_frame(whole, W.site_frames(whole)))
+
+
+SQL["site_phones"] = """WITH p AS (SELECT page_id, '415555' || (1000 + page_id % 900) AS direct, '617555' || (2000 + page_id % 50) AS mobile, CAST(page_id % 7 + 1 AS VARCHAR) AS x, '415555' || (1000 + page_id % 3) AS framed FROM pages)
+SELECT page_id, direct AS number, NULL AS extension, 'direct' AS label FROM p WHERE direct <> framed UNION ALL SELECT page_id, mobile, x, 'mobile' FROM p"""
+
+
+def site_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Openings shown or carried by pages, of the pages with openings added."""
+    pages = _with_contacts(read(spark, d, "pages"))
+    whole = W.cut_pages(pages)
+    return W.site_roles(pages, W.split_frame(whole, W.site_frames(whole, share=1.1)))
+
+
+SQL["site_roles"] = """SELECT page_id, 'Client Service Associate' AS title, false AS carried FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'Analyst No ' || (page_id % 5), true FROM pages"""
+
+QUERIES = {f.__name__: f for f in (match_classes, offering_match, order_before, deep_page, cursor_page, find_indexed, profile_choice, site_frames, site_phones, site_roles)}

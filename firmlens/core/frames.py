@@ -85,7 +85,7 @@ def peer_median(df: DataFrame, band: Column, value: str, min_n: int = 20, out: s
     banded = df.select(band.alias("band"), F.col(value).cast("double").alias("v")).filter("v is not null")
     counted = banded.groupBy("band", "v").agg(F.count("*").alias("n"))
     placed = cumulative(counted, ["band"], [F.asc("v")], "n", "upto")
-    whole = banded.groupBy("band").agg(F.count("*").alias("n")).withColumnsRenamed({"band": "_band", "n": "_n"})
+    whole = placed.groupBy("band").agg(F.max("upto").alias("n")).withColumnsRenamed({"band": "_band", "n": "_n"})
     met = placed.join(whole, F.col("band").eqNullSafe(F.col("_band")))
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     first = F.col("upto") - F.col("n") + 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.frames import mode_by
+from ..core.scratch import Scratch
 from ..operators import classify as C, factors as X, incremental as N, joins as J, resolve as R, scoring as K
 from .tables import AS_OF, as_of, lineitem, orders, read
 
@@ -134,8 +135,9 @@ def _products() -> list[K.Product]:
     return [a, b]
 
 
-def _scores(spark: SparkSession, d: str, overridden: bool = True) -> DataFrame:
-    f = _features(spark, d)
+def _scores(spark: SparkSession, d: str, overridden: bool = True, features: DataFrame | None = None) -> DataFrame:
+    # every product reads the features, and the ranking reads the scores twice: they are made once
+    f = Scratch(spark, "features").save(_features(spark, d), "features") if features is None else features
     manual = read(spark, d, "customer").filter("c_custkey % 50 = 0").select("c_custkey", F.lit("balance").alias("criterion"), F.lit(90.0).alias("points")) if overridden else None
     a, b = (K.score(f, "c_custkey", p, manual, ["c_acctbal"]) for p in _products())
     return a.unionByName(b)
@@ -198,7 +200,8 @@ SQL["pivot_scores"] = f"WITH {_WITH} SELECT c_custkey, max(score) FILTER (produc
 
 
 def rerank_delta(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _scores(spark, d, False), _scores(spark, d).filter("c_custkey % 97 <> 0")
+    features = Scratch(spark, "features").save(_features(spark, d), "features")
+    old, new = _scores(spark, d, False, features), _scores(spark, d, True, features).filter("c_custkey % 97 <> 0")
     cols = ["status", "reason", "score", "coverage"]
     return N.delta_write(old, new, ["c_custkey", "product"], cols).filter("change <> 'unchanged'").select("c_custkey", "product", "change", "score")
 

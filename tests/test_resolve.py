@@ -36,6 +36,9 @@ def test_dates_places_hosts(spark):
     assert show("BANK OF O'NEIL MCDONALD LLC") == "Bank of O'Neil McDonald LLC"
     assert [show(x) for x in ("eBay", "PGIM", "CONSULTING,LLC", "UBS SUN CAPITAL, INC.", "A.B.C. TRUST")] == ["eBay", "PGIM", "Consulting, LLC", "UBS Sun Capital, Inc.", "A.B.C. Trust"]
     assert show(None) is None
+    shown = {"AIM ADVISORS": "Aim Advisors", "GEM CAPITAL": "Gem Capital", "ÉLAN MÜLLER": "Élan Müller", "THE BANK OF THE WEST": "The Bank of the West", "ST. LOUIS TRUST CO.": "St. Louis Trust Co.", "L.L.C. XZQW PLLC": "L.L.C. XZQW PLLC", "": "", "3M 42": "3M 42", "AEGON USA": "AEGON USA", "(OF) LEE": "(Of) Lee"}
+    assert {x: show(x) for x in shown} == shown
+    assert one(spark, N.name_key(F.col("n")), n=" 田中 ") == "田中"
     assert [one(spark, N.name_key(F.col("n")), n=x) for x in ("RAY, ANN", "Ray", "", None)] == ["ann ray", None, None, None]
 
 
@@ -105,3 +108,9 @@ def test_suppress_order(spark):
     listed = spark.createDataFrame([("person", "p", None), ("firm", "f", "2020-01-01")], "scope string, value string, lifted_at string")
     got = {r.row: r.suppressed_by for r in P.suppress(people, listed, {"firm": "firm", "person": "person"}, "row").collect()}
     assert got == {1: "person", 2: None}
+
+
+def test_officer_titles_in_all_scripts(spark):
+    roster = spark.createDataFrame([(1, "o", "Núñez", "Ana"), (2, "o", "Nuñez", "Ana"), (3, "o", "Иванов", "Пётр"), (4, "o", None, "Ana"), (5, "o", "Lee", "")], "i int, org string, last string, first string")
+    officers = spark.createDataFrame([("o", "NÚÑEZ, ANABEL, M", "CFO"), ("o", "ИВАНОВ, ПЁТР", "CEO"), ("o", "LEE", "x"), ("o", None, "y")], "org string, name string, title string")
+    assert {r.i: r.officer_title for r in R.officer_titles(roster, officers, "org").collect()} == {1: "CFO", 2: None, 3: "CEO", 4: None, 5: None}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lists, lookups, scoring, serving, signals, streams
+from . import lists, lookups, scoring, serving, signals, streams, upkeep
 
-_FAMILIES = (signals, scoring, serving, lists, lookups, streams)
+_FAMILIES = (signals, scoring, serving, lists, lookups, upkeep, streams)
 
 
 def queries() -> dict[str, Callable]:

@@ -132,7 +132,8 @@ def site_phones(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["site_phones"] = """WITH p AS (SELECT page_id, '415555' || (1000 + page_id % 900) AS direct, '617555' || (2000 + page_id % 50) AS mobile, CAST(page_id % 7 + 1 AS VARCHAR) AS x, '415555' || (1000 + page_id % 3) AS framed FROM pages)
-SELECT page_id, direct AS number, NULL AS extension, 'direct' AS label FROM p WHERE direct <> framed UNION ALL SELECT page_id, mobile, x, 'mobile' FROM p"""
+SELECT page_id, direct AS number, NULL AS extension, 'direct' AS label FROM p WHERE direct <> framed UNION ALL SELECT page_id, mobile, x, 'mobile' FROM p
+UNION ALL SELECT DISTINCT page_id, right(regexp_replace(n, '[^0-9]', '', 'g'), 10), NULL, NULL FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:\\+?1[-. ]?)?\\(?[2-9][0-9]{2}\\)?[-. ]{1,2}[0-9]{3}[-. ][0-9]{4}')) AS n FROM pages)"""
 
 
 def site_roles(spark: SparkSession, d: str) -> DataFrame:

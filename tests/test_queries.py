@@ -18,6 +18,7 @@ QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
 def test_sql_names_a_query():
     assert set(SQL) <= set(QUERIES)
+    assert len(QUERIES) == sum(len(family.QUERIES) for family in plans._FAMILIES)  # no name twice
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

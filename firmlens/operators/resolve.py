@@ -452,9 +452,10 @@ def officer_titles(roster: DataFrame, officers: DataFrame, org: str, name: str =
     """Roster rows with the title of the organisation's officer of the same surname and first three letters of the first name.
 
     Officers are filed as LAST, FIRST, MIDDLE. Of several the title that comes first is taken; a name
-    without a part has no title. Letters of all scripts count, accents too.
+    without a part has no title. Letters of all scripts count, accents too; marks don't.
     """
-    key = lambda last, first: F.concat_ws("|", F.nullif(F.upper(F.trim(last)), F.lit("")), F.nullif(F.upper(F.left(F.trim(first), F.lit(3))), F.lit("")))
+    letters = lambda c: F.regexp_replace(F.upper(c), "[^\\p{L}]", "")
+    key = lambda last, first: F.concat_ws("|", F.nullif(letters(last), F.lit("")), F.nullif(F.left(letters(first), F.lit(3)), F.lit("")))
     whole = lambda c: F.when(c.contains("|"), c)
     filed = lambda i: F.trim(F.split_part(F.col(name), F.lit(","), F.lit(i)))
     known = officers.select(F.col(org).alias("_org"), whole(key(filed(1), filed(2))).alias("_key"), F.col(title).alias("_title")).filter("_key is not null").groupBy("_org", "_key").agg(F.min("_title").alias("officer_title"))

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..core.frames import first_per_key, latest_per_key
+from ..core.scratch import Scratch
 from ..functions.names import host, org_key, parse_date, pick_first_matching
 
 #: Hosts of social pages. Fixed values.
@@ -96,7 +97,8 @@ def yes_no(c: Column) -> Column:
 
 def read_individual_feed(spark: SparkSession, path: str, tracked: DataFrame) -> dict[str, DataFrame]:
     """person, registrations and history of people ever at a tracked firm (column org_id); the first listing of a person counts."""
-    raw = read_xml(spark, path, "Indvl", INDIVIDUAL_SCHEMA).withColumn("_order", F.monotonically_increasing_id())
+    # written once: a lost task that is run again with other splits would number the listings anew
+    raw = Scratch(spark, "individuals").save(read_xml(spark, path, "Indvl", INDIVIDUAL_SCHEMA).withColumn("_order", F.monotonically_increasing_id()), "listed")
     raw = first_per_key(raw.withColumn("person_id", F.col("Info._indvlPK")), "person_id", [F.asc("_order")])
     now = raw.select("person_id", F.explode("CrntEmps.CrntEmp").alias("e")).select("person_id", F.col("e._orgPK").alias("org_id"), F.col("e._orgNm").alias("org_name"), F.lit("current").alias("kind"), F.array_min(F.transform("e.CrntRgstns.CrntRgstn", lambda r: parse_date(r["_stDt"]))).alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.col("e._city").alias("city"), F.col("e._state").alias("state"))
     before = raw.select("person_id", F.explode("PrevRgstns.PrevRgstn").alias("e")).select("person_id", F.col("e._orgPK").alias("org_id"), F.col("e._orgNm").alias("org_name"), F.lit("previous").alias("kind"), parse_date(F.col("e._regBeginDt")).alias("start_date"), parse_date(F.col("e._regEndDt")).alias("end_date"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("state"))

@@ -519,3 +519,41 @@ def dashboard(universe: DataFrame, scores: DataFrame, moves: DataFrame, entity:
     age = F.datediff(as_of, F.col("date"))
     d = moves.groupBy("kind").agg(F.count_if(age.between(0, 30)).alias("c"), F.count_if(age.between(0, 365)).alias("v")).select(*row("moves", F.col("kind"), F.col("c"), F.col("v")))
     return a.unionByName(b).unionByName(c).unionByName(d)
+
+
+def home(firms: DataFrame, scope: DataFrame, scores: DataFrame, fresh: DataFrame, contacts: DataFrame, moves: DataFrame, events: DataFrame, team: DataFrame, as_of: Column, entity: str = "entity_id", large: int = 500, top: int = 6, newest: int = 14) -> DataFrame:
+    """(section, key, n, value) of the whole start page; its tops are reports of a few rows.
+
+    universe: firms that register, those of the SEC, exempt ones, assets and firms on a list. list: for each product its
+    scored firms and mean coverage; strong: scores from 60; fresh: firms with a signal nobody has acted on. top: the first firms of each
+    product with whether a person's address there is verified. reach: named people with an address, verified addresses, guesses, direct
+    lines and phones. moves and signals: the newest of listed firms, moves only of firms with up to ``large`` people. hiring:
+    the listed firms of that size with most hires. state: listed firms. pipeline: firms by status.
+    """
+    cell = lambda section, key, n, value=None: [F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("long").alias("n"), (F.lit(None) if value is None else value).cast("double").alias("value")]
+    pair = lambda *p: F.inline(F.array(*(F.struct(F.lit(k).alias("k"), n.cast("long").alias("n")) for k, n in p)))
+    listed = firms.join(scope, entity)
+    scored = scores.filter("status = 'scored'")
+    email, phone, named = F.col("kind") == "email", F.col("kind") == "phone", F.coalesce(F.col("person"), F.lit("")) != ""
+    sure = contacts.filter(email & named & ~F.coalesce("is_role", F.lit(False)) & (F.col("verify_status") == "valid")).select(F.col(entity).alias("_v")).distinct()
+    parts = [
+        firms.agg(F.count_if(~F.col("is_exempt")).alias("a"), F.count_if(~F.col("is_exempt") & (F.col("regulator") == "SEC")).alias("b"), F.count_if(F.col("is_exempt")).alias("c"), F.sum(F.when(~F.col("is_exempt"), F.col("raum"))).alias("v")).select(pair(("firms", F.col("a")), ("firms_sec", F.col("b")), ("exempt", F.col("c"))), "v").select(*cell("universe", F.col("k"), F.col("n"), F.when(F.col("k") == "firms", F.col("v")))),
+        scope.agg(F.count("*").alias("n")).select(*cell("universe", F.lit("listed"), F.col("n"))),
+        scored.groupBy("product").agg(F.count("*").alias("n"), F.avg("coverage").alias("v")).select(*cell("list", F.col("product"), F.col("n"), F.round("v", 4))),
+        scored.groupBy("product").agg(F.count_if(F.col("score") >= 60).alias("n")).select(*cell("strong", F.col("product"), F.col("n"))),
+        scored.join(fresh.select(entity).distinct(), entity, "left_semi").groupBy("product").agg(F.count("*").alias("n")).select(*cell("fresh", F.col("product"), F.col("n"))),
+        scored.filter(F.col("rank") <= top).join(sure, F.col(entity) == F.col("_v"), "left").select(*cell("top", F.concat_ws(":", "product", F.col("rank").cast("string")), F.col(entity), F.col("_v").isNotNull().cast("int"))),
+        contacts.agg(
+            F.count_distinct(F.when(email & named & ~F.coalesce("is_role", F.lit(False)), F.struct(entity, "person"))).alias("a"), F.count_if(email & (F.col("verify_status") == "valid")).alias("b"),
+            F.count_if(email & (F.col("source") == "pattern") & F.col("verify_status").isin("unverified", "queued")).alias("c"), F.count_if(phone & named).alias("d"), F.count_if(phone).alias("e"),
+        ).select(pair(("named_email", F.col("a")), ("verified", F.col("b")), ("candidates", F.col("c")), ("direct", F.col("d")), ("phones", F.col("e")))).select(*cell("reach", F.col("k"), F.col("n"))),
+        moves.join(scope, entity).join(team.select(entity, "headcount"), entity, "left").filter(F.datediff(as_of, F.col("date")).between(0, 60) & (F.coalesce("headcount", F.lit(0)) <= large)).orderBy(F.desc("date"), F.desc("priority"), F.asc("move_id")).limit(newest).select(*cell("moves", F.col("move_id"), F.col(entity))),
+        events.filter(~F.coalesce("suppressed", F.lit(False)) & F.datediff(as_of, F.col("date")).between(0, 60)).join(scope, entity).orderBy(F.desc("date"), F.desc("priority"), F.asc("event_id")).limit(newest).select(*cell("signals", F.col("event_id"), F.col(entity))),
+        team.join(scope, entity).filter((F.col("hires_12m") >= 2) & (F.col("headcount") <= large)).orderBy(F.desc("hires_12m"), F.desc("priority"), F.asc(entity)).limit(top).select(*cell("hiring", F.col(entity), F.col("hires_12m"))),
+        listed.filter("state is not null").groupBy("state").agg(F.count("*").alias("n")).select(*cell("state", F.col("state"), F.col("n"))),
+        firms.filter("status is not null").groupBy("status").agg(F.count("*").alias("n")).select(*cell("pipeline", F.col("status"), F.col("n"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

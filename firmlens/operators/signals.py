@@ -113,6 +113,31 @@ def open_signals(events: DataFrame, actions: DataFrame, as_of: Column, days: int
     return events.filter(F.datediff(as_of, F.col(date)).between(0, days)).join(actions.select(key).distinct(), key, "left_anti")
 
 
+def feed(events: DataFrame, firms: DataFrame, scope: DataFrame, scores: DataFrame, actions: DataFrame, entity: str = "entity_id", product: str | None = None, kind: str | None = None, q: str | None = None, state: str | None = "open", since: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts by kind) of the signals feed: events that aren't suppressed of entities on a list.
+
+    ``product`` keeps entities scored on that list, ``q`` those whose name holds a text or whose id it is, ``state`` events of that
+    state of action (open: none; None: all), ``since`` newer ones. Rows carry the firm's and the scope's columns
+    and the state; ``feed_order`` tells their order. Counts are over all of the filters, so they add up to the rows.
+    """
+    live = events.filter(~F.coalesce("suppressed", F.lit(False)))
+    live = live if kind is None else live.filter(F.col("event") == kind)
+    live = live if since is None else live.filter(F.col("date") >= since)
+    named = firms if q is None else firms.filter(F.coalesce(F.lower("name").contains(q.lower()), F.lit(False)) | (F.col(entity).cast("string") == q))
+    rows = live.join(named, entity).join(scope, entity)
+    if product is not None:
+        rows = rows.join(scores.filter((F.col("product") == product) & (F.col("status") == "scored")).select(entity).distinct(), entity, "left_semi")
+    acted = rows.join(actions.select(F.col("event_id").alias("_id"), F.col("state").alias("action")), F.col("event_id") == F.col("_id"), "left").drop("_id")
+    if state is not None:
+        acted = acted.filter(F.col("action").isNull() if state == "open" else F.col("action") == state)
+    return acted, acted.groupBy("event").agg(F.count("*").alias("n"))
+
+
+def feed_order() -> list[tuple[str, bool]]:
+    """The feed's order for ``search.page``: newest first, then by the size of the priority."""
+    return [("date", True), ("weight", True)]
+
+
 def position_conviction(holdings: DataFrame, entity: str, value: str, many: int = 3, large: float = 500_000, small: float = 100_000) -> DataFrame:
     """(entity, positions, largest, conviction): deliberate with many or a large position, possible_legacy with one small one."""
     found = holdings.groupBy(entity).agg(F.count("*").alias("positions"), F.max(value).alias("largest"))

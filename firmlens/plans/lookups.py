@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.scratch import Scratch
-from ..operators import joins as J, resolve as R, search as C, sites as W
+from ..operators import joins as J, resolve as R, search as C, signals as G, sites as W
 from ..sources import feeds as A
 from .tables import orders, read
 
@@ -145,4 +145,75 @@ def site_roles(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["site_roles"] = """SELECT page_id, 'Client Service Associate' AS title, false AS carried FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'Analyst No ' || (page_id % 5), true FROM pages"""
 
-QUERIES = {f.__name__: f for f in (match_classes, offering_match, order_before, deep_page, cursor_page, find_indexed, profile_choice, site_frames, site_phones, site_roles)}
+def _world(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Users of events as firms, with scope, scores, contacts, moves and a team from the same tables."""
+    e = read(spark, d, "events").withColumn("date", F.to_date("ts"))
+    u = e.groupBy(F.col("user_id").alias("entity_id")).agg(F.count("*").alias("n"), F.round(F.max("value"), 2).alias("raum"))
+    k = F.col("entity_id")
+    firms = u.select(k, F.concat(F.lit("Firm "), k.cast("string")).alias("name"), (k % 11 == 0).alias("is_exempt"), F.when(k % 2 == 0, "SEC").otherwise("STATE").alias("regulator"), "raum", F.when(k % 5 != 0, F.concat(F.lit("S"), (k % 4).cast("string"))).alias("state"), F.when(k % 3 == 0, "lead").when(k % 3 == 1, "customer").alias("status"))
+    scope = u.filter("entity_id % 3 <> 2").select(k, (k % 10).alias("priority"))
+    product = lambda name, m: u.select(k, F.lit(name).alias("product"), F.when(k % m == 0, "gated").otherwise("scored").alias("status"), (k % 97).alias("score"), (k % 51 + 50).alias("coverage"), F.when(k < 9, k).otherwise(F.lit(99)).alias("rank"))
+    events = e.select("event_id", F.col("user_id").alias("entity_id"), F.col("event_type").alias("event"), "date", (F.col("event_id") % 9 == 0).alias("suppressed"), (F.col("event_id") % 21 - 10).alias("strength"))
+    contacts = e.select(F.col("user_id").alias("entity_id"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("p"), (F.col("event_id") % 6).cast("string"))).alias("person"), F.when(F.col("event_id") % 2 == 0, "email").otherwise("phone").alias("kind"), (F.col("event_id") % 13 == 0).alias("is_role"), F.when(F.col("event_id") % 3 == 0, "valid").when(F.col("event_id") % 3 == 1, "unverified").alias("verify_status"), F.when(F.col("event_id") % 5 == 0, "pattern").otherwise("site").alias("source"))
+    moves = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("move_id"), F.col("user_id").alias("entity_id"), "date")
+    team = u.select(k, F.col("n").alias("headcount"), (k % 8).alias("hires_12m"))
+    actions = e.filter("event_id % 6 = 1").select("event_id", F.when(F.col("event_id") % 12 == 1, "done").otherwise("snoozed").alias("state"))
+    return {"firms": firms, "scope": scope, "scores": product("alpha", 4).union(product("beta", 7)), "events": events, "contacts": contacts, "moves": moves, "team": team, "actions": actions}
+
+
+_WORLD = """e AS (SELECT *, CAST(ts AS DATE) AS date FROM events), u AS (SELECT user_id AS k, count(*) AS n, round(max(value), 2) AS raum FROM e GROUP BY 1),
+sc AS (SELECT k, k % 10 AS priority FROM u WHERE k % 3 <> 2),
+ps AS (SELECT k, 'alpha' AS product, k % 97 AS score, k % 51 + 50 AS coverage, CASE WHEN k < 9 THEN k ELSE 99 END AS rank FROM u WHERE k % 4 <> 0 UNION ALL SELECT k, 'beta', k % 97, k % 51 + 50, CASE WHEN k < 9 THEN k ELSE 99 END FROM u WHERE k % 7 <> 0),
+live AS (SELECT event_id, user_id AS k, event_type AS event, date, event_id % 21 - 10 AS strength, CASE WHEN event_id % 12 = 1 THEN 'done' WHEN event_id % 6 = 1 THEN 'snoozed' END AS action FROM e WHERE event_id % 9 <> 0),
+ct AS (SELECT user_id AS k, CASE WHEN event_id % 4 <> 0 THEN 'p' || (event_id % 6) END AS person, event_id % 2 = 0 AS mail, event_id % 13 = 0 AS is_role, event_id % 3 AS v, event_id % 5 = 0 AS guess FROM e)"""
+
+
+def feed_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of a list's open signals of a fortnight, newest first."""
+    w = _world(spark, d)
+    rows, _ = G.feed(w["events"], w["firms"], w["scope"], w["scores"], w["actions"], product="alpha", q="firm", since=F.lit("2024-01-10").cast("date"))
+    found = C.page(rows.withColumn("weight", F.abs("strength")), G.feed_order(), "event_id", 2, 40)
+    return found.select("event_id", "entity_id", "event", F.col("date").cast("string").alias("date"), "strength", "priority")
+
+
+SQL["feed_page"] = f"""WITH {_WORLD} SELECT event_id, k AS entity_id, event, CAST(date AS VARCHAR) AS date, strength, priority FROM live JOIN sc USING (k) WHERE k IN (SELECT k FROM ps WHERE product = 'alpha') AND action IS NULL AND date >= DATE '2024-01-10'
+ORDER BY live.date DESC, abs(strength) DESC, event_id LIMIT 40 OFFSET 40"""
+
+
+def feed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Signals by kind for four settings of the feed's filters."""
+    w = _world(spark, d)
+    cases = [{"state": None}, {"state": "done", "product": "beta"}, {"q": "1"}, {"kind": "error", "q": "irm 2", "state": "snoozed"}]
+    out = None
+    for i, case in enumerate(cases):
+        part = G.feed(w["events"], w["firms"], w["scope"], w["scores"], w["actions"], **case)[1].select(F.lit(i).alias("setting"), "event", "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
+SQL["feed_counts"] = f"""WITH {_WORLD}, l AS (SELECT * FROM live JOIN sc USING (k)) SELECT 0 AS setting, event, count(*) AS n FROM l GROUP BY ALL
+UNION ALL SELECT 1, event, count(*) FROM l WHERE action = 'done' AND k IN (SELECT k FROM ps WHERE product = 'beta') GROUP BY ALL
+UNION ALL SELECT 2, event, count(*) FROM l WHERE action IS NULL AND contains(CAST(k AS VARCHAR), '1') GROUP BY ALL
+UNION ALL SELECT 3, event, count(*) FROM l WHERE action = 'snoozed' AND event = 'error' AND starts_with(CAST(k AS VARCHAR), '2') GROUP BY ALL"""
+
+
+def home(spark: SparkSession, d: str) -> DataFrame:
+    """The whole start page."""
+    w = _world(spark, d)
+    since = F.lit("2024-01-20").cast("date")
+    fresh = G.feed(w["events"], w["firms"], w["scope"], w["scores"], w["actions"], since=since)[0]
+    return C.home(w["firms"], w["scope"], w["scores"], fresh, w["contacts"], w["moves"], w["events"], w["team"], F.lit("2024-01-31").cast("date"), large=105)
+
+
+SQL["home"] = f"""WITH {_WORLD}, f AS (SELECT DISTINCT k FROM live JOIN sc USING (k) WHERE action IS NULL AND date >= DATE '2024-01-20'), ok AS (SELECT DISTINCT k FROM ct WHERE mail AND person IS NOT NULL AND NOT is_role AND v = 0)
+SELECT 'universe' AS section, 'firms' AS key, count(*) FILTER (k % 11 <> 0) AS n, sum(raum) FILTER (k % 11 <> 0) AS value FROM u UNION ALL SELECT 'universe', 'firms_sec', count(*) FILTER (k % 11 <> 0 AND k % 2 = 0), NULL FROM u UNION ALL SELECT 'universe', 'exempt', count(*) FILTER (k % 11 = 0), NULL FROM u
+UNION ALL SELECT 'universe', 'listed', count(*), NULL FROM sc UNION ALL SELECT 'list', product, count(*), round(avg(coverage), 4) FROM ps GROUP BY product UNION ALL SELECT 'strong', product, count(*) FILTER (score >= 60), NULL FROM ps GROUP BY product
+UNION ALL SELECT 'fresh', product, count(*), NULL FROM ps WHERE k IN (SELECT k FROM f) GROUP BY product UNION ALL SELECT 'top', product || ':' || rank, k, CASE WHEN k IN (SELECT k FROM ok) THEN 1 ELSE 0 END FROM ps WHERE rank <= 6
+UNION ALL SELECT 'reach', 'named_email', count(DISTINCT (k, person)) FILTER (mail AND person IS NOT NULL AND NOT is_role), NULL FROM ct UNION ALL SELECT 'reach', 'verified', count(*) FILTER (mail AND v = 0), NULL FROM ct
+UNION ALL SELECT 'reach', 'candidates', count(*) FILTER (mail AND guess AND v = 1), NULL FROM ct UNION ALL SELECT 'reach', 'direct', count(*) FILTER (NOT mail AND person IS NOT NULL), NULL FROM ct UNION ALL SELECT 'reach', 'phones', count(*) FILTER (NOT mail), NULL FROM ct
+UNION ALL (SELECT 'moves', CAST(event_id AS VARCHAR), k, NULL FROM e JOIN u ON user_id = k JOIN sc USING (k) WHERE event_type = 'purchase' AND date_diff('day', date, DATE '2024-01-31') BETWEEN 0 AND 60 AND n <= 105 ORDER BY date DESC, priority DESC, event_id LIMIT 14)
+UNION ALL (SELECT 'signals', CAST(event_id AS VARCHAR), k, NULL FROM live JOIN sc USING (k) WHERE date_diff('day', date, DATE '2024-01-31') BETWEEN 0 AND 60 ORDER BY date DESC, priority DESC, event_id LIMIT 14)
+UNION ALL (SELECT 'hiring', CAST(k AS VARCHAR), k % 8, NULL FROM u JOIN sc USING (k) WHERE k % 8 >= 2 AND n <= 105 ORDER BY k % 8 DESC, priority DESC, k LIMIT 6)
+UNION ALL SELECT 'state', 'S' || (k % 4), count(*), NULL FROM sc WHERE k % 5 <> 0 GROUP BY k % 4 UNION ALL SELECT 'pipeline', CASE k % 3 WHEN 0 THEN 'lead' ELSE 'customer' END, count(*), NULL FROM u WHERE k % 3 < 2 GROUP BY k % 3"""
+
+QUERIES = {f.__name__: f for f in (match_classes, offering_match, order_before, deep_page, cursor_page, find_indexed, profile_choice, site_frames, site_phones, site_roles, feed_page, feed_counts, home)}

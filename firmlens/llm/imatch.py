@@ -4,34 +4,37 @@ Terms are lower-case words, as 62-bit hashes. A first pass counts for every term
 have it. The lexicon is the band of terms whose inverse document frequency ln(documents / frequency)
 lies in ``BAND``. A term of the band is in one of e^7.5 documents at least, so however large the corpus
 is, the lexicon has at most the mean number of terms of a document times e^7.5 of them. It travels as a
-bit for each of ``CODES`` codes, a term's hash modulo that; a term that only shares a code with one of
-the lexicon is taken with it, the same everywhere. A document keeps its distinct terms with such codes,
-sorted (all its terms if it has none of them). At level l the lexicon is dealt at random to 2^l
-disjoint subsets, by the first l bits of a term's hash; a document's fingerprint has one hash for
-each subset in which it has terms, of all its terms there in order. So every kept term is in a
-hashed subset, whatever the text's length, and fingerprints grow with the number of terms.
-The level is chosen by the document's number of terms so that a subset holds about one of them;
-a fingerprint has the hashes of this level and the next, so that texts of somewhat different
-length can be compared. The likeness of two fingerprints is the share of equal hashes among the
-subsets, on levels that both have, in which either has terms.
+bit for each of its codes, a term's hash modulo a power of two that is ``ROOM`` times its number of terms
+at least; a term that only shares a code with one of the lexicon is taken with it, the same everywhere.
+
+A document's distinct terms are sorted and hashed as a whole, then those of the lexicon, and then those
+in each of SERIES * DEPTH randomised subsets of the lexicon: in every series the subset at depth d
+has dropped at random all but one in 4^d of the lexicon's terms, each a part of the subset before it.
+The subsets are the same for all documents. Those that keep much tell small changes of short texts,
+those that keep little find long texts that share most of their terms. The likeness of two
+fingerprints is the share of equal hashes among the subsets in which either text has terms.
 
 Null and empty texts have no terms; their fingerprints are equal, with likeness 1 to each other
-and 0 to others. Equal texts have equal fingerprints. An input column with the name of a new one gives
+and 0 to others. A text without terms of the lexicon has likeness 1 to those of the same terms and 0 to
+others. Equal texts have equal fingerprints. An input column with the name of a new one gives
 way to it. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import room
 
-#: Number of codes that tell whether a term is in the lexicon.
-CODES = 1 << 20
+#: Codes for each term of the lexicon, and codes at least.
+ROOM, LEAST_CODES = 16, 1 << 16
 #: Least and greatest inverse document frequency of the lexicon (natural logarithm).
 BAND = (2.3, 7.5)
-#: Terms of a document in a subset at least before the next level is taken.
-FILL = 0.75
+#: Series of subsets, and subsets in each; a term's hash has two bits for each of them.
+SERIES, DEPTH = 4, 7
 #: Bits of a term's hash.
 BITS = 62
 
@@ -44,72 +47,55 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(df: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> Column:
-    """The codes of the terms in the band over all rows of ``df``, as a constant array of CODES / 64 words of 64 flags."""
+    """The codes of the terms in the band over all rows of ``df``, as a constant array of words of 64 flags."""
     found = df.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    documents = df.select(F.count("*").alias("documents")).scalar()
-    inside = found.filter(F.log(F.greatest(documents, F.lit(1)) / F.col("n")).between(*band)).select((F.col("term") % CODES).cast("int").alias("code"))
-    word = F.expr("code div 64").cast("int").alias("word")
-    flag = F.expr("shiftleft(1L, code % 64)")
-    words = {r.word: r.flags for r in inside.groupBy(word).agg(F.bit_or(flag).alias("flags")).collect()}  # CODES / 64 rows at most
-    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(CODES // 64))), ",").cast("array<bigint>")
-
-
-def kept_terms(found: Column, flags: Column) -> Column:
-    """The terms with codes in the lexicon, sorted; all of them if there is none."""
-    inside = F.filter(found, lambda t: F.getbit(F.get(flags, F.shiftright(t % CODES, 6).cast("int")), (t % 64).cast("int")) == 1)
-    return F.sort_array(F.when(F.size(inside) > 0, inside).otherwise(found))
+    documents = df.count()
+    low, high = math.exp(-band[1]) * documents, math.exp(-band[0]) * documents
+    inside = found.filter(F.col("n").between(max(math.ceil(low), 1), math.floor(high))).select("term").persist(StorageLevel.DISK_ONLY)
+    codes = max(LEAST_CODES, 1 << max(0, ROOM * inside.count() - 1).bit_length())
+    code = (F.col("term") % codes).cast("int")
+    flag = F.expr(f"shiftleft(1L, cast(term % {codes} as int) % 64)")
+    words = {r.word: r.flags for r in inside.groupBy(F.shiftright(code, 6).alias("word")).agg(F.bit_or(flag).alias("flags")).collect()}  # a bit or so for each of the lexicon's bounded number of terms
+    inside.unpersist()
+    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(codes // 64))), ",").cast("array<bigint>")
 
 
-def _starts(kept: str, level: str, more: int) -> Column:
-    """Where in the sorted terms each subset of the level begins, and their number at the end."""
-    subset = lambda i: F.call_function("shiftright", F.get(kept, i), F.lit(BITS - more) - F.col(level))
-    places = F.filter(F.sequence(F.lit(0), F.size(kept)), lambda i: (i == 0) | (i == F.size(kept)) | (subset(i) != subset(i - 1)))
-    return F.when(F.size(kept) > 0, places).otherwise(F.array().cast("array<int>"))
-
-
-def _hashes(kept: str, starts: str, level: str, more: int) -> Column:
-    """Subset (upper 32 bits) and hash of its terms (lower 32) for every subset with terms."""
-    one = lambda i, j: F.shiftleft(F.call_function("shiftright", F.get(kept, i), F.lit(BITS - more) - F.col(level)), 32).bitwiseOR(
-        F.xxhash64(F.slice(kept, i + 1, F.get(starts, j + 1) - i)).bitwiseAND(F.lit(0xFFFFFFFF))
-    )
-    return F.transform(F.filter(starts, lambda i: i < F.size(kept)), one)
+def in_lexicon(found: Column, flags: Column) -> Column:
+    """The terms with codes in the lexicon."""
+    codes = F.size(flags) * 64
+    return F.filter(found, lambda t: F.getbit(F.get(flags, F.shiftright(t % codes, 6).cast("int")), (t % 64).cast("int")) == 1)
 
 
 def with_fingerprint(df: DataFrame, text: str, flags: Column, out: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column: struct of level, here and next (arrays of subsets and hashes)."""
+    """``df`` with the fingerprint of a text column: the hashes of all its terms, of those in the lexicon, and of those in each subset; null where it has none."""
     df = df.select(*room(df.columns, out))
-    kept = df.withColumn("_fl_kept", kept_terms(terms(F.col(text)), flags))
-    level = F.greatest(F.floor(F.log2(F.greatest(F.size("_fl_kept"), F.lit(1)) / FILL)), F.lit(4)).cast("int")
-    sized = kept.withColumn("_fl_level", level)
-    begun = sized.withColumns({"_fl_here": _starts("_fl_kept", "_fl_level", 0), "_fl_next": _starts("_fl_kept", "_fl_level", 1)})
-    fp = F.struct(F.col("_fl_level").alias("level"), _hashes("_fl_kept", "_fl_here", "_fl_level", 0).alias("here"), _hashes("_fl_kept", "_fl_next", "_fl_level", 1).alias("next"))
-    return begun.withColumn(out, fp).drop("_fl_kept", "_fl_level", "_fl_here", "_fl_next")
+    df = df.withColumn("_fl_all", F.sort_array(terms(F.col(text))))
+    df = df.withColumn("_fl_lexicon", in_lexicon(F.col("_fl_all"), flags))
+    last, names = ["_fl_lexicon"] * SERIES, ["_fl_all", "_fl_lexicon"]
+    for depth in range(DEPTH):
+        new = {f"_fl_{series}_{depth}": _thinned(last[series], series * DEPTH + depth) for series in range(SERIES)}
+        df = df.withColumns(new)
+        last = list(new)
+        names += last
+    hashes = [F.when(F.size(c) > 0, F.xxhash64(c)) for c in names]
+    return df.withColumn(out, F.array(*hashes)).drop(*names)
+
+
+def _thinned(subset: str, draw: int) -> Column:
+    """One in four of the terms, by two bits of their hashes."""
+    return F.filter(F.col(subset), lambda t: t.bitwiseAND(F.lit(3 << 2 * draw)) == 0)
 
 
 def as_text(fp: Column) -> Column:
-    """A fingerprint as a string: level, and subsets with their hashes in hexadecimal."""
-    shown = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), ".")
-    return F.concat_ws(":", fp["level"].cast("string"), shown(fp["here"]), shown(fp["next"]))
+    """A fingerprint as a string: its hashes in hexadecimal, nothing for those that it hasn't."""
+    return F.array_join(F.transform(fp, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit(""))), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets in which either fingerprint has terms, from 0 to 1."""
-
-    def counted(x: Column, y: Column) -> Column:
-        subsets = lambda h: F.transform(h, lambda v: F.shiftright(v, 32))
-        return F.struct(F.size(F.array_intersect(x, y)).alias("same"), F.size(F.array_union(subsets(x), subsets(y))).alias("any"))
-
-    def share(*parts: Column) -> Column:
-        same, some = sum((p["same"] for p in parts[1:]), parts[0]["same"]), sum((p["any"] for p in parts[1:]), parts[0]["any"])
-        return F.when(some > 0, same / some).otherwise(F.lit(1.0))
-
-    apart = b["level"] - a["level"]
-    return (
-        F.when(apart == 0, share(counted(a["here"], b["here"]), counted(a["next"], b["next"])))
-        .when(apart == 1, share(counted(a["next"], b["here"])))
-        .when(apart == -1, share(counted(a["here"], b["next"])))
-        .otherwise(F.lit(0.0))
-    )
+    """Share of equal hashes among the subsets in which either text has terms, from 0 to 1."""
+    alike = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False)).cast("int")))
+    counted = F.array_compact(alike)
+    return F.when(F.size(counted) > 0, F.aggregate(counted, F.lit(0), lambda s, v: s + v) / F.size(counted)).otherwise(F.lit(1.0))
 
 
 def with_next(df: DataFrame, columns: list[str], doc_id: str = "doc_id", blocks: int | None = None, tie: str | None = None) -> DataFrame:

@@ -61,7 +61,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     flags = imatch.lexicon(docs)
-    # only texts move; fingerprints are larger than they
     paired = imatch.with_next(docs, ["text"], tie="text")
     first = imatch.with_fingerprint(imatch.with_fingerprint(paired, "text", flags, "fp"), "next_text", flags, "next_fp")
     changed = first.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_fp", imatch.edited(F.col("text"), F.col("next_text")).alias("edited"))

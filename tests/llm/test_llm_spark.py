@@ -148,41 +148,42 @@ def spark_hash(value, seed=42):
 
 
 def brute_imatch(texts):
-    """Sorted kept terms of each text, and its fingerprint: level and, on this level and the next, subset -> hash."""
+    """A function that gives the fingerprint of a text, by the lexicon of these texts: hash of its sorted terms in every subset, None without terms."""
     def terms(t):
         bare = t.lower().strip(" \t\n\x0b\f\r")
         return {spark_hash(w.encode()) >> (64 - imatch.BITS) for w in re.split("[\\x20\\x09-\\x0D]+", bare)} if bare else set()
 
-    found = {i: terms(t) for i, t in texts.items()}
-    df = Counter(t for s in found.values() for t in s)
-    codes = {t % imatch.CODES for t, n in df.items() if imatch.BAND[0] <= math.log(len(texts) / n) <= imatch.BAND[1]}
-
-    def fingerprint(s):
-        kept = sorted(t for t in s if t % imatch.CODES in codes) or sorted(s)
-        level = max(4, math.floor(math.log2(max(1, len(kept)) / imatch.FILL)))
+    df = Counter(t for x in texts for t in terms(x))
+    inside = [t for t, n in df.items() if imatch.BAND[0] <= math.log(len(texts) / n) <= imatch.BAND[1]]
+    size = imatch.LEAST_CODES
+    while size < imatch.ROOM * len(inside):
+        size *= 2
+    codes = {t % size for t in inside}
+
+    def fingerprint(text):
+        found = sorted(terms(text))
+        kept = [t for t in found if t % size in codes]
+        subsets = [found, kept, *([] for _ in range(imatch.SERIES * imatch.DEPTH))]
+        for t in kept:
+            for series in range(imatch.SERIES):
+                for depth in range(imatch.DEPTH):
+                    if t >> 2 * (series * imatch.DEPTH + depth) & 3:
+                        break
+                    subsets[2 + depth * imatch.SERIES + series].append(t)
         out = []
-        for l in (level, level + 1):
-            parts = {}
-            for t in kept:
-                parts.setdefault(t >> (imatch.BITS - l), []).append(t)
-            for subset, of in parts.items():
-                seed = 42
-                for t in of:
-                    seed = spark_hash(t, seed)
-                parts[subset] = seed & 0xFFFFFFFF
-            out.append(parts)
-        return level, *out
+        for s in subsets:
+            seed = 42
+            for t in s:
+                seed = spark_hash(t, seed)
+            out.append(seed if s else None)
+        return out
 
-    return {i: fingerprint(s) for i, s in found.items()}
+    return fingerprint
 
 
 def brute_likeness(a, b):
-    pairs = [(x, y) for la, x in ((a[0], a[1]), (a[0] + 1, a[2])) for lb, y in ((b[0], b[1]), (b[0] + 1, b[2])) if la == lb]
-    if not pairs:
-        return 0.0
-    same = sum(len(x.items() & y.items()) for x, y in pairs)
-    some = sum(len(x.keys() | y.keys()) for x, y in pairs)
-    return same / some if some else 1.0
+    some = [(x, y) for x, y in zip(a, b) if x is not None or y is not None]
+    return sum(x == y for x, y in some) / len(some) if some else 1.0
 
 
 def test_imatch(spark, sf, texts, edge, empty):
@@ -195,13 +196,16 @@ def test_imatch(spark, sf, texts, edge, empty):
     equal = {}
     for i in ids:
         assert equal.setdefault(texts[i], rows[i].fingerprint) == rows[i].fingerprint
-    want = brute_imatch(texts)
+    fingerprint = brute_imatch(list(texts.values()))
+    shown = lambda f: ".".join("" if h is None else f"{h:x}" for h in f)
     for a, b in zip(ids, ids[1:] + ids[:1]):
-        level, here, after = rows[a].fingerprint.split(":")
-        shown = [{v >> 32: v & 0xFFFFFFFF for v in (int(h, 16) for h in part.split(".") if h)} for part in (here, after)]
-        assert (int(level), *shown) == want[a]
-        assert rows[a].near_next == pytest.approx(brute_likeness(want[a], want[b]))
-    assert np.mean([r.near_edited for r in rows.values()]) > 10 * np.mean([r.near_next for r in rows.values()])
+        n = len(texts[a]) // 4
+        own, other, after = fingerprint(texts[a]), fingerprint(texts[a][: len(texts[a]) - n] + texts[b][:n]), fingerprint(texts[b])
+        assert (rows[a].fingerprint, rows[a].edited_fingerprint) == (shown(own), shown(other))
+        assert rows[a].near_edited == pytest.approx(brute_likeness(own, other)) and rows[a].near_next == pytest.approx(brute_likeness(own, after))
+    near, far = (np.mean([getattr(r, c) for r in rows.values()]) for c in ("near_edited", "near_next"))
+    print("likeness to the edited text and to the next", near, far)
+    assert near > 0.1 and near > 10 * far
     flags = imatch.lexicon(edge)
     marked = imatch.with_next(imatch.with_fingerprint(edge, "text", flags, "fp"), ["doc_id"], tie="text", blocks=3).orderBy(F.asc_nulls_last("doc_id")).collect()
     assert [r.next_doc_id for r in marked] == [2, 3, 4, 5, 6, 7, 7, None, 1]
@@ -215,7 +219,12 @@ def test_imatch_reads_every_term(spark):
     rows = imatch.with_fingerprint(df, "text", imatch.lexicon(df), "fp").select("doc_id", "fp", imatch.as_text(F.col("fp")).alias("shown")).collect()
     assert len({r.shown for r in rows}) == len(texts)  # any one term of a thousand shows
     whole, other = [next(r.fp for r in rows if r.doc_id == i) for i in (0, 1)]
-    assert len(whole.here) > 500 and 0.99 < len(set(whole.next) & set(other.next)) / len(whole.next) < 1
+    assert whole[0] != other[0] and len(whole) == 2 + imatch.SERIES * imatch.DEPTH
+    few = spark.createDataFrame([(1, "a b"), (2, "b  A"), (3, "a c"), (4, ""), (5, None)], "doc_id long, text string")
+    found = {r.doc_id: r.fp for r in imatch.with_fingerprint(few, "text", imatch.lexicon(few), "fp").collect()}  # no term is in the band
+    assert found[1] == found[2] and found[4] == found[5] and found[4][0] is None
+    pair = lambda i, j: spark.createDataFrame([(found[i], found[j])], "a array<bigint>, b array<bigint>").select(imatch.likeness(F.col("a"), F.col("b")).alias("x")).first().x
+    assert (pair(1, 2), pair(1, 3), pair(4, 5), pair(1, 4)) == (1.0, 0.0, 1.0, 0.0)
 
 
 def test_toxicity(spark, edge, empty):

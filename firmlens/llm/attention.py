@@ -8,7 +8,7 @@ scored in one window. Gradients are written out; training is Adam over batches o
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -122,19 +122,23 @@ class Attention:
         return loss, g
 
 
-def train(model: Attention, ids: np.ndarray, targets: np.ndarray, outside: np.ndarray, inside: np.ndarray, steps: int, batch: int = 256, seed: int = 3) -> list[float]:
-    """Adam over random batches of windows, as ``loss_and_gradients`` takes them; returns the losses."""
-    rng = np.random.default_rng(seed)
-    m = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
-    v = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
-    losses = []
-    for step in range(1, steps + 1 if len(ids) else 1):
-        w = rng.integers(0, len(ids), min(batch, len(ids)))
-        loss, g = model.loss_and_gradients(ids[w], targets[w], outside[w], inside[w])
-        losses.append(loss)
-        rate = 0.01 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
-        for k in model.NAMES:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
-            setattr(model, k, (getattr(model, k) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32))
-    return losses
+class Adam:
+    """Adam over batches of windows as they come; rows of the embedding move only when a batch has their ids."""
+
+    def __init__(self, model: Attention, rate: float = 0.01):
+        self.model, self.rate, self.steps = model, rate, 0
+        self.first = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
+        self.second = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
+
+    def step(self, ids: np.ndarray, targets: np.ndarray, outside: np.ndarray, inside: np.ndarray) -> float:
+        """One batch, as ``loss_and_gradients`` takes it; returns the loss."""
+        self.steps += 1
+        met, local = np.unique(ids, return_inverse=True)
+        loss, g = replace(self.model, embed=self.model.embed[met]).loss_and_gradients(local.reshape(ids.shape), targets, outside, inside)
+        rate = self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 200) ** 0.5
+        for k in self.model.NAMES:
+            at = met if k == "embed" else slice(None)
+            m, v = 0.9 * self.first[k][at] + 0.1 * g[k], 0.99 * self.second[k][at] + 0.01 * g[k] * g[k]
+            self.first[k][at], self.second[k][at] = m, v
+            getattr(self.model, k)[at] -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)
+        return loss

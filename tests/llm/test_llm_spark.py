@@ -266,31 +266,63 @@ def test_lm(spark, sf, texts, edge):
 
 def fitted(spark, docs, learns):
     table = lm.read(docs, learns, Q.vocabulary(), {}, Scratch(spark, "t"), "text", ["doc_id"])
-    return lm.fit(table.filter("block is not null"), Q.vocabulary())
+    return lm.fit(table.filter("_fl_learns"), Q.vocabulary(), Scratch(spark, "t"))
 
 
 def test_lm_model(spark):
-    """Shares sum to one, scores are the sums of their parts, and held-out texts are foretold better than by the counts alone."""
+    """Shares sum to one, scores are the sums of their parts, and held-out texts are foretold better than by the contract's own base."""
     docs = spark.read.parquet(f"{LEARN}/documents.parquet")
-    learn = docs.filter(~quality.held_out("doc_id", 5, 1))
     model = fitted(spark, docs, ~quality.held_out("doc_id", 5, 1))
     size = len(model.class_of)
-    for before in (model.start, 320, size - 1):
-        share = np.exp(model.emission(np.full(size, before), np.arange(size)))
-        sums = np.bincount(model.class_of, weights=share, minlength=lm.CLASSES)
-        assert np.allclose(sums[np.unique(model.class_of)], 1, atol=1e-3)
     library = Tokenizer.from_file(Q.vocabulary())
-    held = [r.text for r in docs.filter(quality.held_out("doc_id", 5, 1)).collect() if r.text]
-    text = lm.B.lower_ascii(held[0])
+    rows = spark.createDataFrame(Q.op7_lm(spark, LEARN).toPandas()).cache()
+    held = docs.filter(quality.held_out("doc_id", 5, 1) & F.col("text").isNotNull()).orderBy("doc_id").limit(1).first()
+    text = lm.B.lower_ascii(held.text)
     ids = np.array([model.start, *library.encode(text, add_special_tokens=False).ids, model.end])
-    logs = model.attention.class_logs(ids[:-1], model.class_of[ids[1:]], np.array([len(ids) - 1]), model.attention.tables()) + model.emission(ids[:-1], ids[1:])
-    assert model.log10([text])[0] == pytest.approx(logs.sum() / math.log(10), rel=1e-5)
-    scored = model.log10([lm.B.lower_ascii(t) for t in held])
-    total = np.bincount([i for r in learn.collect() for i in [*library.encode(lm.B.lower_ascii(r.text or ""), add_special_tokens=False).ids, model.end]], minlength=size) + 0.05
-    unigram = np.log10(total / total.sum())
-    base = sum(unigram[[*library.encode(lm.B.lower_ascii(t), add_special_tokens=False).ids, model.end]].sum() for t in held)
-    print("held out, log10 of all: model", scored.sum(), "id counts", base)
-    assert scored.sum() > base
+    for upto in (1, 2, 3, 40):  # every id of the vocabulary as the next one
+        inputs = np.tile(ids[:upto], size)
+        targets = np.tile(ids[1 : upto + 1], size)
+        targets[upto - 1 :: upto] = np.arange(size)
+        logs = model.logs(inputs, targets, np.full(size, upto))[upto - 1 :: upto]
+        assert np.exp(logs.astype(np.float64)).sum() == pytest.approx(1, abs=2e-3)
+    own = model.logs(ids[:-1], ids[1:], np.array([len(ids) - 1])).sum() / math.log(10)
+    assert model.log10([text])[0] == pytest.approx(own, rel=1e-5)
+    assert rows.filter(F.col("doc_id") == held.doc_id).first().score == pytest.approx(own, rel=1e-4)
+    sums = {r.held_out: r for r in rows.groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("score"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).collect()}
+    print("log10 a token, learning rows and held out:", sums[False], sums[True])
+    assert sums[True].score > sums[True].base and sums[False].score > sums[False].base
+
+
+def test_lm_counts_against_brute_force(spark):
+    texts = ["a b a b c", "a b", "", None, "b a"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size, start, end = lm.special_ids(Q.vocabulary())
+    table = lm.read(docs, F.lit(True), Q.vocabulary(), {}, Scratch(spark, "t"), "text", ["doc_id"])
+    library, want = Tokenizer.from_file(Q.vocabulary()), Counter()
+    for t in texts:
+        ids = [start, start, *library.encode(t or "", add_special_tokens=False).ids, end]
+        for x, y, z in zip(ids, ids[1:], ids[2:]):
+            want.update([1 << 54 | z, 2 << 54 | y << 18 | z, 3 << 54 | x << 36 | y << 18 | z])
+    assert {r.key: r.n for r in lm.grams(table, size, start, end).collect()} == want
+
+
+def test_lm_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    """Any split of the table gives the same scores but for the rounding of sums, with several shards."""
+    monkeypatch.setattr(lm, "SHARD", 1 << 14)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = [{r.doc_id: r.score for r in lm.score(docs.repartition(n), F.lit(True), Q.vocabulary(), Scratch(spark, "t"), keep=["doc_id"]).collect()} for n in (1, 4)]
+    assert found[0].keys() == found[1].keys() and all(found[1][i] == pytest.approx(x, rel=1e-6) for i, x in found[0].items())
+
+
+def test_lm_keys():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 5000))
+    table = lm.Keys(keys)
+    assert (table.places(keys) == np.arange(len(keys))).all() and (table.places(keys[:-1] + 1)[keys[:-1] + 1 != keys[1:]] == -1).all()
+    assert (lm.Keys(keys[:0]).places(keys) == -1).all()
+    for n in (1, 16, 17, 1100):
+        ids, seen = np.arange(n + 1), 0
+        x, y, outside, inside = lm.piece_windows(ids, seen)
+        assert sorted(y[inside]) == list(range(1, n + 1)) and (x[:, lm.SPAN - lm.STRIDE :][inside] + 1 == y[inside]).all()
 
 
 def test_token_files(spark, sf, texts, edge, empty):

@@ -87,8 +87,11 @@ class Attention:
         x = self.embed[ids]
         xq = x[:, SPAN - STRIDE :]
         q, k, v = xq @ self.query, x @ self.key, x @ self.value
-        mask = np.where(_CAUSAL, self.bias[np.clip(_GAP, 0, SPAN - 1)], -1e9) + np.where(outside, -1e9, 0)[:, None, :]
-        s = q @ k.transpose(0, 2, 1) * KEY**-0.5 + mask
+        kind = self.bias.dtype.type  # all is in the weights' type
+        s = q @ k.transpose(0, 2, 1)
+        s *= kind(KEY**-0.5)
+        s += np.where(_CAUSAL, self.bias[np.clip(_GAP, 0, SPAN - 1)], kind(-1e9))
+        s += np.where(outside, kind(-1e9), kind(0))[:, None, :]
         p = np.exp(s - s.max(2, keepdims=True))
         p /= p.sum(2, keepdims=True)
         c = p @ v
@@ -101,7 +104,7 @@ class Attention:
         loss = float(-(np.log(np.maximum(prob[rows, columns, targets], 1e-12)) * inside).sum() / n)
         d = prob
         d[rows, columns, targets] -= 1
-        d *= (inside / n)[:, :, None]
+        d *= (inside / n).astype(kind)[:, :, None]
         g = {"out": np.einsum("nth,ntc->hc", h, d, optimize=True), "out_bias": d.sum((0, 1))}
         dh = (d @ self.out.T) * (1 - h * h)
         g["own"], g["seen"], g["hidden_bias"] = np.einsum("ntw,nth->wh", xq, dh, optimize=True), np.einsum("ntw,nth->wh", c, dh, optimize=True), dh.sum((0, 1))
@@ -110,7 +113,7 @@ class Attention:
         ds = p * (dp - (dp * p).sum(2, keepdims=True))
         per_gap = np.bincount(np.clip(_GAP, 0, SPAN - 1)[_CAUSAL], weights=ds.sum(0)[_CAUSAL], minlength=SPAN)
         g["bias"] = per_gap.astype(np.float32)
-        ds *= KEY**-0.5
+        ds *= kind(KEY**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         g["query"], g["key"], g["value"] = np.einsum("ntw,ntk->wk", xq, dq, optimize=True), np.einsum("ntw,ntk->wk", x, dk, optimize=True), np.einsum("ntw,ntk->wk", x, dv, optimize=True)
         dx = dk @ self.key.T + dv @ self.value.T

@@ -65,6 +65,16 @@ def test_roles_of_pages(spark, cut):
     assert got == {("Client Service Associate", False), ("Lead Planner", False), ("Tax & Trust Associate", True), ('Senior "Quant" Analyst', True)}
 
 
+def test_numbers_as_the_query_takes_them(spark):
+    """Area codes give no label and more digits may follow, as in the query's SQL; both are the operator's otherwise."""
+    lines = ["at +1 (877) 555-5242 insh", "27.204.213.132 4116106959541135", "fax 800-555-0100", "Mobile 617-555-2001 ext. 12"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    rows = df.select(F.flatten(F.collect_list(S.numbers_in(F.col("x"), (), False))).alias("a"), F.flatten(F.collect_list(S.numbers_in(F.col("x")))).alias("b")).first()
+    got = [{(p.number, p.extension, p.label) for p in c} for c in rows]
+    both = {("8005550100", None, "fax"), ("6175552001", "12", "mobile")}
+    assert got == [both | {("8775555242", None, None), ("2131324116", None, None)}, both | {("8775555242", None, "toll_free")}]
+
+
 def fragments(html):
     return [y for x in re.split(S.BLOCKS, html) if (y := re.sub(r"\s+", " ", x).strip(" "))]
 

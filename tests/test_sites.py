@@ -75,6 +75,13 @@ def test_numbers_as_the_query_takes_them(spark):
     assert got == [both | {("8775555242", None, None), ("2131324116", None, None)}, both | {("8775555242", None, "toll_free")}]
 
 
+def test_shouted_text_is_no_title(spark):
+    bad = ["TA!! ESCIÓNÍ!! DOGAAS!! ÑJA!! EZAR!! OSBO!! COOS!! BO!! MENT", "SU!! ÍMICI.!! CIOS!! DE!! ASUECO,!! LA,!! LA!! RAÍ!! JA", "Coos Bo Ment", "CIOS De Asueco", "Analyst? Yes"]
+    good = ["Deputy COO, Boston", "CTO of Research", "Analysts and Associate"]
+    df = spark.createDataFrame([(t,) for t in bad + good], "t string").select("t", S.is_title(F.col("t")).alias("ok"))
+    assert {r.t: r.ok for r in df.collect()} == {**dict.fromkeys(bad, False), **dict.fromkeys(good, True)}
+
+
 def fragments(html):
     return [y for x in re.split(S.BLOCKS, html) if (y := re.sub(r"\s+", " ", x).strip(" "))]
 

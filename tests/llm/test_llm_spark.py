@@ -492,6 +492,28 @@ def test_line_dedup_has_no_gap(spark):
     assert everything >= 0.95 and min(found.values()) >= 0.75
 
 
+def test_line_dedup_finds_lone_pairs_in_mixed_buckets(spark):
+    """Lone pairs among many lines that are all somewhat alike, not next to each other in any order: none is left out."""
+    rng = np.random.default_rng(21)
+    base = [f"word{i}" for i in range(40)]
+
+    def other(words, n):
+        out = list(words)
+        for k in rng.choice(40, n, replace=False):
+            out[k] = f"x{rng.integers(10**6)}"
+        return out
+
+    lines = [other(base, 3) for _ in range(800)]
+    lines += [other(x, 1) for x in lines[:200]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    sets = [line_shingles(x) for _, x in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if jaccard(sets[a], sets[b]) >= linededup.SIMILAR]
+    group = brute_components(pairs, range(len(rows)))
+    assert len(set(group.values())) == 800
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), keep=["doc_id"]).collect()
+    assert {r.doc_id for r in out if r.n_dropped} == {i for i in range(len(rows)) if group[i] != i}
+
+
 def test_line_dedup_hot_bucket(spark):
     """Thousands of alike lines: comparisons stay in proportion, and all copies go but one."""
     rng = np.random.default_rng(8)

@@ -51,8 +51,8 @@ from .tables import add_up, blocks
 KEPT, OFF = 1 << 21, 0.75
 #: Ids of a shard, rounds, targets of a piece of text, windows of a batch.
 SHARD, ROUNDS, PIECE, BATCH = 1 << 22, 3, 1024, 256
-#: Keys that a task counts at a time, and bits of an id in a key.
-COUNTED, ID_BITS = 1 << 22, 18
+#: Keys that a task counts at a time, bytes of ids that it makes keys of at a time, and bits of an id in a key.
+COUNTED, KEYED, ID_BITS = 1 << 20, 1 << 18, 18
 #: A word is frequent from a share of one in FREQUENT of all tokens; so there are FREQUENT at most.
 FREQUENT = 100_000
 #: Weights are summed as integers of this many to one.
@@ -274,24 +274,32 @@ def stored(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def grams(learn: DataFrame, size: int, start: int, end: int) -> DataFrame:
-    """(key, n) of all ids, pairs and triples of the texts; a task counts COUNTED keys at a time."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def counted_keys(batches: Iterator[pa.RecordBatch], size: int, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    """(key, n) of all ids, pairs and triples of the texts, COUNTED keys at a time; a key can come more than once."""
+    held: list[np.ndarray] = []
 
-        def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+    def counted() -> pa.RecordBatch:
+        keys = np.concatenate(held)
+        held.clear()
+        keys.sort()
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(keys[first], pa.int64()), pa.array(np.diff(np.r_[first, len(keys)]), pa.int64())], names=["key", "n"])
 
-        for batch in B.cut(it, "_fl_ids"):
-            inputs, targets, lengths = sequences(*_ids(batch, size), start, end)
-            held.append(gram_keys(inputs, targets, B.starts(lengths)))
-            if sum(map(len, held)) > COUNTED:
-                yield counted()
-        if held:
+    for batch in B.cut(batches, "_fl_ids", KEYED):
+        inputs, targets, lengths = sequences(*_ids(batch, size), start, end)
+        held.append(gram_keys(inputs, targets, B.starts(lengths)))
+        if sum(map(len, held)) > COUNTED:
             yield counted()
+    if held:
+        yield counted()
+
+
+def grams(learn: DataFrame, size: int, start: int, end: int) -> DataFrame:
+    """(key, n) of all ids, pairs and triples of the texts."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # texts are encoded by now; a worker that did so would hold its words through all later stages
+        return counted_keys(it, size, start, end)
 
     return learn.select("_fl_ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -194,3 +197,17 @@ def test_packed_cells():
         assert (tables._unpacked(tables._packed(cells)) == cells).all()
 
 
+def test_lm_counts_keys_in_bounded_memory():
+    """A task that counts ids, pairs and triples of a batch of 4 million ids holds little of it at a time, and counts all of them."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 300, 20_000).astype("<u2") for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts], pa.binary())], names=["_fl_ids"])
+    found = Counter()
+    tracemalloc.start()
+    for part in lm.counted_keys(iter([batch]), 1000, 998, 999):
+        at = np.flatnonzero(part["key"].to_numpy() < 2 << 3 * lm.ID_BITS)
+        found.update(dict(zip((part["key"].to_numpy()[at] & lm._ID).tolist(), part["n"].to_numpy()[at].tolist())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == Counter(np.concatenate(texts).tolist()) + Counter({999: len(texts)})
+    assert peak < 80e6, peak

@@ -540,6 +540,22 @@ def test_line_dedup_hot_bucket(spark):
     assert kept <= 1 + 3000 * (lonely / 50 + 0.12)
 
 
+def test_line_dedup_meets_all_components_of_large_buckets(spark, monkeypatch):
+    """Every pair of different components that agrees in AGREE minima is met from signatures alone, in buckets of more than CROWD lines too."""
+    monkeypatch.setattr(linededup, "MOST", 16)
+    rng = np.random.default_rng(4)
+    minima = rng.integers(0, 3, (60, linededup.MINIMA))
+    minima[:, :4] = 1 << linededup.LANE - 2  # one band holds all of them
+    packed = [[sum(int(x) << linededup.LANE * r for r, x in enumerate(row[4 * k : 4 * k + 4])) for k in range(linededup.MINIMA // 4)] for row in minima]
+    signed = spark.createDataFrame([(i, 0, *row) for i, row in enumerate(packed)], "key long, kind int, " + ", ".join(f"s{k} long" for k in range(linededup.MINIMA // 4)))
+    met = spark.createDataFrame([(0, 7, i, 0, 60) for i in range(60)], "kind int, bucket long, key long, lead long, n long")
+    label = {i: 0 if i < 45 else i - i % 2 for i in range(60)}
+    mixed = linededup.labelled(met, spark.createDataFrame(list(label.items()), "node long, label long"))
+    assert {(r.most, r.outside) for r in mixed.collect()} == {(0, 15)}
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if label[a] != label[b] and (minima[a] == minima[b]).sum() >= linededup.AGREE}
+    assert want and {(r.a, r.b) for r in linededup.apart(mixed, signed).collect()} == want
+
+
 def test_clashing_columns(spark, edge):
     names = ["ids", "decoded", "score", "fp", "component_id", "media", "size", "rate", "copies", "kept_text", "doc", "tag", "places", "fingerprint", "n_tokens", "tail", "rid", "next_text"]
     odd = edge.withColumns({n: F.lit("x") for n in names})

@@ -187,7 +187,9 @@ def one_of_each(df: DataFrame, scratch: Scratch, threshold: int = 2, doc_id: str
     tagged = df.withColumn("_fl_tag", F.xxhash64(text))
     marked = fingerprints(tagged, text, "_fl_fp", list(dict.fromkeys([*keep, doc_id, "_fl_tag"]))).withColumn("_fl_rid", F.monotonically_increasing_id())
     marked = scratch.save(marked, "fingerprints")
+    before = scratch.made
     order = F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), F.col("_fl_tag").alias("tag"), F.col("_fl_rid").alias("rid"))
     least = scratch.save(marked.groupBy(F.col("_fl_fp").alias("node")).agg(F.min(order).alias("least")), "nodes")
-    stays = _grouped(least, scratch, threshold).groupBy("c").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_fl_stays"))
+    stays = scratch.save(_grouped(least, scratch, threshold).groupBy("c").agg(F.min("least").alias("least")).select(F.col("least.rid").alias("_fl_stays")), "stays")
+    scratch.drop_since(before, stays)
     return marked.join(stays, F.col("_fl_rid") == F.col("_fl_stays"), "left_semi").select(*keep)

@@ -556,6 +556,63 @@ def test_line_dedup_meets_all_components_of_large_buckets(spark, monkeypatch):
     assert want and {(r.a, r.b) for r in linededup.apart(mixed, signed).collect()} == want
 
 
+def test_line_dedup_pairs_stay_in_proportion(spark):
+    """Many lines near one text but not similar to each other: few pairs are read, and no link is lost."""
+    rng = np.random.default_rng(17)
+    base = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(900):
+        w = list(base)
+        for k in rng.choice(40, rng.integers(3, 8), replace=False):
+            w[k] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    for i in range(60):
+        w = rows[5 * i][1].split()
+        w[int(rng.integers(40))] = f"x{rng.integers(10**6)}"
+        rows.append((900 + i, " ".join(w)))
+    made = {}
+
+    class Counting(Scratch):
+        def save(self, df, name):
+            out = super().save(df, name)
+            made[name] = out.count()
+            return out
+
+    scratch = Counting(spark, "t")
+    out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), scratch, keep=["doc_id"])
+    gone = {r.doc_id for r in out.collect() if r.n_dropped}
+    sets = [line_shingles(t) for _, t in rows]
+    every = range(len(rows))
+    group = brute_components([(a, b) for a in every for b in every[a + 1 :] if jaccard(sets[a], sets[b]) >= linededup.SIMILAR], every)
+    assert gone == {i for i in every if group[i] != i} and len(gone) >= 50
+    assert made["third-likely"] + made.get("rest-likely", 0) < 20 * len(rows)
+
+
+def test_line_dedup_makes_a_pair_once(spark):
+    """Lines that share all bands are one pair of the first band."""
+    s = ", ".join(f"s{k} long" for k in range(linededup.MINIMA // 4))
+    signed = spark.createDataFrame([(i, 0, *([7] * (linededup.MINIMA // 4))) for i in range(4)], f"key long, kind int, {s}")
+    rows = signed.select("kind", "key", F.explode(F.array(*linededup.bands())).alias("bucket"))
+    met = rows.select("kind", "bucket", "key", F.lit(0).cast("long").alias("lead"), F.lit(4).cast("long").alias("n"))
+    mixed = linededup.labelled(met, spark.createDataFrame([(0, 0)], "node long, label long"))
+    found = linededup.apart(mixed, signed)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    band = F.array_position(F.array(*linededup.bands()), F.col("bucket")).cast("int") - 1
+    lanes = [F.lit(7).cast("long").alias(f"{x}{k}") for x in "ab" for k in range(linededup.MINIMA // 4)]
+    seen = signed.limit(1).select(F.explode(F.array(*linededup.bands())).alias("bucket"), "*").select(band.alias("band"), *lanes)
+    assert sorted(r.band for r in seen.filter(~linededup.met_before(F.col("band"))).collect()) == [0]
+
+
+def test_stages_leave_no_tables_behind(spark, sf):
+    """Of the tables that line dedup and near-dedup write only those stay that their results read."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lines, copies = Scratch(spark, "t"), Scratch(spark, "t")
+    kept, one = linededup.line_dedup(docs, lines), simhash.one_of_each(docs, copies)
+    assert [x.split("-", 1)[1] for x in os.listdir(lines.path.removeprefix("file:"))] == ["gone"]
+    assert sorted(x.split("-", 1)[1] for x in os.listdir(copies.path.removeprefix("file:"))) == ["fingerprints", "stays"]
+    assert kept.count() == docs.count() and one.count() <= docs.count()
+
+
 def test_clashing_columns(spark, edge):
     names = ["ids", "decoded", "score", "fp", "component_id", "media", "size", "rate", "copies", "kept_text", "doc", "tag", "places", "fingerprint", "n_tokens", "tail", "rid", "next_text"]
     odd = edge.withColumns({n: F.lit("x") for n in names})

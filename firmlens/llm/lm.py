@@ -368,7 +368,7 @@ def piece_windows(ids: np.ndarray, seen: int) -> tuple[np.ndarray, np.ndarray, n
     return ids[np.clip(place, 0, len(ids) - 1)], ids[np.clip(query + 1, 0, len(ids) - 1)], place < 0, query < seen + n
 
 
-def train_apart(model: Attention, class_of: np.ndarray, parts: DataFrame) -> Attention:
+def train_apart(model: Attention, class_of: np.ndarray, parts: DataFrame, scratch: Scratch) -> Attention:
     """The mean of what the shards make of the model, each from its own windows in their order, weighted by their number."""
     shared = parts.sparkSession.sparkContext.broadcast((model, class_of))
     sizes = [getattr(model, k).size for k in model.NAMES]
@@ -405,7 +405,7 @@ def train_apart(model: Attention, class_of: np.ndarray, parts: DataFrame) -> Att
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed], pa.binary())], names=["block", "cells"])
 
     ordered = parts.repartition("shard").sortWithinPartitions("shard", "place", "ids").select("shard", "seen", "ids")
-    total = add_up(ordered.mapInArrow(run, "block int, cells binary"), sum(sizes) + 1)
+    total = add_up(ordered.mapInArrow(run, "block int, cells binary"), sum(sizes) + 1, scratch)
     shared.unpersist()
     if not total[-1]:
         return model
@@ -426,6 +426,7 @@ def fit(learn: DataFrame, vocabulary: str, scratch: Scratch) -> LanguageModel:
     single = F.col("key") < 2 << 3 * ID_BITS
     total = found.filter(single).agg(F.sum("n")).first()[0] or 0
     kept = found.filter(single | (F.col("n") * KEPT >= total)).toArrow()  # the vocabulary and KEPT pairs and triples at most
+    scratch.drop(found)
     counts = Counts.of(size, start, end, kept["key"].to_numpy(), kept["n"].to_numpy())
     ids = counts.own * total
     class_of, vectors = group_ids(neighbours(counts, ids))
@@ -433,7 +434,7 @@ def fit(learn: DataFrame, vocabulary: str, scratch: Scratch) -> LanguageModel:
     attention = Attention.fresh(vectors + np.random.default_rng(2).normal(0, 0.1, vectors.shape), np.log(np.maximum(mass, 1e-9)))
     shards = 1 << max(0, (total - 1) // SHARD).bit_length()
     for turn in range(ROUNDS):
-        attention = train_apart(attention, class_of, pieces(learn, size, start, end, shards).filter(F.col("turn") == turn))
+        attention = train_apart(attention, class_of, pieces(learn, size, start, end, shards).filter(F.col("turn") == turn), scratch)
     return LanguageModel(vocabulary, attention, class_of, counts, np.maximum(counts.of_classes(class_of), 1e-30), start, end)
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..core.scratch import Scratch
 from . import batches as B
 
 _BLOCK = 1 << 14
@@ -22,8 +23,11 @@ def blocks(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(at), _packed(parts[at])
 
 
-def add_up(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of tables of ``size`` cells that ``parts`` (block, cells) hold in blocks, added up block by block as a stream."""
+def add_up(parts: DataFrame, size: int, scratch: Scratch | None = None) -> np.ndarray:
+    """The sum of tables of ``size`` cells that ``parts`` (block, cells) hold in blocks, added up block by block as a stream.
+
+    With ``scratch`` the sum is written there first, so that the shuffle files of ``parts`` are gone when it is there.
+    """
 
     def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -39,8 +43,12 @@ def add_up(parts: DataFrame, size: int) -> np.ndarray:
     n = -(-size // _BLOCK)
     tasks = max(1, min(n, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     out = np.zeros((n, _BLOCK), np.int64)
-    for row in parts.repartition(tasks, F.col("block")).mapInArrow(total, "block int, cells binary").collect():
+    summed = parts.repartition(tasks, F.col("block")).mapInArrow(total, "block int, cells binary")
+    held = scratch.save(summed, "sums") if scratch else None
+    for row in (held or summed).collect():
         out[row.block] = np.frombuffer(row.cells, np.int64)
+    if scratch:
+        scratch.drop(held)
     return out.reshape(-1)[:size]
 
 

@@ -314,6 +314,13 @@ def test_lm_scores_do_not_depend_on_the_split(spark, monkeypatch):
     assert found[0].keys() == found[1].keys() and all(found[1][i] == pytest.approx(x, rel=1e-6) for i, x in found[0].items())
 
 
+def test_lm_leaves_no_tables_behind(spark, sf):
+    """What a model was made of, and the sums of its training, are gone before texts are scored."""
+    scratch = Scratch(spark, "t")
+    lm.score(spark.read.parquet(f"{sf}/documents.parquet"), F.lit(True), Q.vocabulary(), scratch)
+    assert sorted(x.split("-", 1)[1] for x in os.listdir(scratch.path.removeprefix("file:"))) == ["read", "words"]
+
+
 def test_lm_keys():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 5000))
     table = lm.Keys(keys)

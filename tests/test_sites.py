@@ -75,6 +75,22 @@ def test_numbers_as_the_query_takes_them(spark):
     assert got == [both | {("8775555242", None, None), ("2131324116", None, None)}, both | {("8775555242", None, "toll_free")}]
 
 
+def test_a_cut_word_is_no_label(spark):
+    """Words that the 30 characters before a number or the 20 after it cut say nothing; whole ones at the limits do."""
+    tags = "<i></i>" * 8  # a blank each
+    lines = [
+        "estiat that. Annd aned the from. Thshhe +1 (464) 555-4443 in and.", "llislnbt.52@mail0.example.com ie. Zu +1 (366) 555-6376 beheit", "asue domi co ciónasco. Ciónarque ciezco comies íí +1 (904) 555-8577 rrllque",
+        "the hotel of an inn and some more +1 (464) 555-4444", "étel of an inn and so more words +1 (464) 555-4445", "of t. Annd aned the from. Thshhe +1 (464) 555-4446", "a tel of an inn and so more wor +1 (464) 555-4447",
+        f"415-555-0101 {tags}mobility", f"415-555-0102 {tags}mob of", "(t) 415-555-0103",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    got = {p.number: p.label for r in df.select(S.numbers_in(F.col("x")).alias("p")).collect() for p in r.p}
+    assert got == {
+        "4645554443": None, "3665556376": None, "9045558577": None, "4645554444": None, "4645554445": None, "4645554446": "office", "4645554447": "office",
+        "4155550101": None, "4155550102": "mobile", "4155550103": "office",
+    }
+
+
 def test_shouted_text_is_no_title(spark):
     bad = ["TA!! ESCIÓNÍ!! DOGAAS!! ÑJA!! EZAR!! OSBO!! COOS!! BO!! MENT", "SU!! ÍMICI.!! CIOS!! DE!! ASUECO,!! LA,!! LA!! RAÍ!! JA", "Coos Bo Ment", "CIOS De Asueco", "Analyst? Yes"]
     good = ["Deputy COO, Boston", "CTO of Research", "Analysts and Associate"]

@@ -610,6 +610,30 @@ def test_line_dedup_makes_a_pair_once(spark):
     assert sorted(r.band for r in seen.filter(~linededup.met_before(F.col("band"))).collect()) == [0]
 
 
+def test_line_dedup_reads_similar_pairs_only(spark):
+    """Of lines that share a bucket all similar ones of different components are met, also those that agree in its band alone, and hardly any others."""
+    rng = np.random.default_rng(31)
+    syllables = ["the", "er", "an", "on", "in", "re", "st", "ou", "ti", "ed"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    lines = [" ".join(word() for _ in range(rng.integers(20, 90))) for _ in range(240)]
+    for x in lines[:60]:
+        words = x.split()
+        words[int(rng.integers(len(words)))] = word()
+        lines.append(" ".join(words))
+    minima = rng.integers(0, 1 << linededup.LANE - 1, (len(lines), linededup.MINIMA))
+    minima[:, [i % linededup.MINIMA for i in linededup.BAND]] = 1
+    packed = [[sum(int(x) << linededup.LANE * r for r, x in enumerate(row[4 * k : 4 * k + 4])) for k in range(linededup.MINIMA // 4)] for row in minima]
+    signed = spark.createDataFrame([(i, 1, *row) for i, row in enumerate(packed)], "key long, kind int, " + ", ".join(f"s{k} long" for k in range(linededup.MINIMA // 4)))
+    met = signed.select("kind", linededup.bands()[0].alias("bucket"), "key", F.lit(0).cast("long").alias("lead"), F.lit(len(lines)).cast("long").alias("n"))
+    mixed = linededup.labelled(met, spark.createDataFrame([(0, 0), (1, 0)], "node long, label long"))
+    sketched = linededup.sketches(spark.createDataFrame(list(enumerate(lines)), "key long, line string"))
+    got = {(r.a, r.b) for r in linededup.apart(mixed, signed, sketched).collect()}
+    sets = [line_shingles(x) for x in lines]
+    want = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if jaccard(sets[a], sets[b]) >= linededup.SIMILAR and (a, b) != (0, 1)}
+    assert len(want) > 50 and want <= got and len(got) < 2 * len(want)
+    assert {r.key: r.size for r in sketched.collect()} == dict(enumerate(map(len, sets)))
+
+
 def test_stages_leave_no_tables_behind(spark, sf):
     """Of the tables that line dedup and near-dedup write only those stay that their results read."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
